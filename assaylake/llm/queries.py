@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import mixing, packing, simhash
-from assaylake.llm._common import table
+from assaylake.llm import language, mixing, packing, simhash, toxicity
+from assaylake.llm._common import crc_mod, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=crc_mod("doc_id", 3) != 1)
+    scored = toxicity.classify(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language.fit(docs, learn=crc_mod("doc_id", 4) != 2)
+    found = language.identify(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"), F.col("lang_rejected").alias("rejected"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +37,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op8_mixing": op8_mixing, "op9_packing": op9_packing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op6_simhash": op6_simhash, "op8_mixing": op8_mixing, "op9_packing": op9_packing}
 ORACLES = {"op8_mixing": mixing.ORACLE}
