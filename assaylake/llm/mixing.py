@@ -60,7 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     ranges = RANGES_PER_PARTITION * partitions(docs.sparkSession)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("*", word_count(text_col).alias("mix_size"), F.substring(digest, 1, 16).alias("mix_key"))
+    sized = docs.select("*", word_count(text_col).alias("mix_size"), F.substring(digest, 1, 16).alias("mix_key"), F.xxhash64(text_col).alias("mix_tie"))
     sized = sized.withColumn("mix_range", F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int"))
     parts = stash(sized.groupBy(F.col(source_col).alias("source"), F.col("mix_range").alias("part")).agg(F.sum("mix_size").alias("part_size")))
     inside = Window.partitionBy("source").orderBy("part")
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = offsets.join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source")))
     plan = plan.select(F.col("source").alias("mix_source"), "part", "part_offset", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     joined = sized.join(plan, (sized[source_col].eqNullSafe(F.col("mix_source"))) & (F.col("mix_range") == F.col("part")))
-    order = Window.partitionBy(source_col, "mix_range").orderBy("mix_key", id_col, "mix_size", F.xxhash64(text_col))
+    order = Window.partitionBy(source_col, "mix_range").orderBy("mix_key", id_col, "mix_size", "mix_tie")
     start = F.col("part_offset") + F.coalesce(F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = F.floor(F.col("mix_target") + 0.5).cast("long")
     size = F.greatest(F.col("mix_source_size"), F.lit(1))

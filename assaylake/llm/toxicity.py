@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A linear classifier over the words of a sentence and their beginnings; a document scores as its worst
-sentence. It is fitted to document labels as a multiple-instance problem: in each round the worst sentence of a
-document stands for it. For every labelled sentence with an identity term there are counterfactuals in which
+A linear classifier over the words of a sentence and their beginnings, fitted to document labels as a
+multiple-instance problem: in each round the worst sentence of a document stands for it. The score of a document
+weighs its worst sentence against the evidence of all its words and its length; these few weights are fitted to
+scores of documents that the word weights had not seen. For every labelled sentence with an identity term there are counterfactuals in which
 the term is swapped for others of its kind, and the squared change of the score is part of the loss; so a
 group's name alone cannot make a sentence toxic, even where the labels are biased against it.
 """
@@ -23,12 +24,12 @@ from assaylake.llm._common import slices
 
 THRESHOLD = 0.7
 #: Labelled documents of each class from which the classifier is fitted, about; the bound of the sample.
-DOCS_PER_CLASS = 2500
+DOCS_PER_CLASS = 2000
 #: The fit keeps the features that differ most between the classes, so many at most, from so many documents each at least.
 MAX_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 3, 3.5
-PREFIXES = (4, 5, 6)
-COUNTERFACTUAL, RIDGE = 4.0, 2e-4
-ROUNDS, STEPS = 6, 60
+PREFIXES = (4, 5, 6, 7, 8)
+COUNTERFACTUAL, RIDGE = 4.0, 3e-5
+ROUNDS, STEPS = 6, 100
 CACHE_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -64,10 +65,11 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Feature weights and a bias."""
+    """Feature weights and a bias of sentences, and the weights of the measures of a document."""
 
     weights: dict[str, float]
     bias: float
+    document: tuple[float, ...] = (0.0, 1.0)
 
     def word_scores(self) -> WordScores:
         return WordScores(self.weights)
@@ -87,10 +89,23 @@ class WordScores(dict):
         return value
 
 
-def score(text: str | None, scores: WordScores, bias: float) -> float:
-    """The score of the worst sentence, 0 to 1; without a word, that of the bias alone."""
-    worst = max((sum(map(scores.__getitem__, s)) for s in sentences(text)), default=0.0)
-    return 1.0 / (1.0 + float(np.exp(-np.clip(bias + worst, -40.0, 40.0))))
+def measures(text: str | None, scores: WordScores, bias: float) -> list[float]:
+    """1; the logit of the worst sentence; the positive word scores of the whole text, as a logarithm and for each
+    root of its length; the length as a logarithm."""
+    worst, total, words = 0.0, 0.0, 0
+    for sentence in SENTENCE.split((text or "").lower()):
+        found = WORD.findall(sentence)
+        if found:
+            words += len(found)
+            worst = max(worst, sum(map(scores.__getitem__, set(found))))
+            total += sum(s for s in map(scores.__getitem__, found) if s > 1.0)
+    return [1.0, bias + worst, float(np.log1p(total)), total / (words + 20) ** 0.5, float(np.log1p(words))]
+
+
+def score(text: str | None, scores: WordScores, model: ToxicityModel) -> float:
+    """The score of a whole text, 0 to 1."""
+    logit = sum(w * x for w, x in zip(model.document, measures(text, scores, model.bias), strict=False))
+    return 1.0 / (1.0 + float(np.exp(-min(40.0, max(-40.0, logit)))))
 
 
 def _select(docs: list[list[set[str]]], labels: np.ndarray) -> list[str]:
@@ -116,12 +131,14 @@ def _select(docs: list[list[set[str]]], labels: np.ndarray) -> list[str]:
 def _rows(groups: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The sentences as a sparse matrix: row and column of each feature."""
     rows, columns = [], []
+    known: dict[str, list[int]] = {}
     for i, words in enumerate(groups):
         for w in words:
-            for f in features(w):
-                if f in index:
-                    rows.append(i)
-                    columns.append(index[f])
+            if w not in known:
+                known[w] = [index[f] for f in features(w) if f in index]
+            for column in known[w]:
+                rows.append(i)
+                columns.append(column)
     return np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
 
 
@@ -131,6 +148,32 @@ def train(texts: list[str | None], labels: list[int], counterfactual: float = CO
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, (3.0 if len(y) and y[0] else -3.0))
     docs = [sentences(t) for t in texts]
+    fold = np.arange(len(docs)) % 2
+    seen = np.zeros((len(docs), 5))
+    for k in (0, 1):
+        part = _train_sentences([d for d, f in zip(docs, fold, strict=True) if f != k], y[fold != k], counterfactual)
+        scores = part.word_scores()
+        seen[fold == k] = np.array([measures(t, scores, part.bias) for t, f in zip(texts, fold, strict=True) if f == k]).reshape(-1, 5)
+    model = _train_sentences(docs, y, counterfactual)
+    return ToxicityModel(model.weights, model.bias, _logistic(seen, y))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, both classes with the same weight in all."""
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    scale = np.append(1.0, x[:, 1:].std(axis=0) + 1e-6)
+    z, w = x / scale, np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hessian = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z / len(y) + ridge * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(hessian, z.T @ (weight * (p - y)) / len(y) + ridge * w), -2, 2)
+    return tuple(float(v) for v in w / scale)
+
+
+def _train_sentences(docs: list[list[set[str]]], y: np.ndarray, counterfactual: float) -> ToxicityModel:
+    """Weights of words, fitted to the worst sentences of documents."""
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel({}, -1.0)
     names = _select(docs, y)
     index = {f: i for i, f in enumerate(names)}
     flat = [s for d in docs for s in d]
@@ -202,17 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
 def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` and ``toxicity``, the score of each whole text, 0 to 1.
 
-    Null and empty texts score as a sentence without words. A score depends on the text alone, so repeated rows agree.
+    Null and empty texts score as a text without words. A score depends on the text alone, so repeated rows agree.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
     kept: dict[str, WordScores] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = kept.setdefault("scores", shared.value.word_scores())
-        bias = shared.value.bias
+        scores, model = kept.setdefault("scores", shared.value.word_scores()), shared.value
         for batch in slices(batches):
-            found = pa.array([score(t, scores, bias) for t in batch.column(place).to_pylist()], pa.float64())
+            found = pa.array([score(t, scores, model) for t in batch.column(place).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=pa.schema([*batch.schema, ("toxicity", pa.float64())]))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
