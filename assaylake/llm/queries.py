@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import chat, html_extract, language, mixing, order_minhash, packing, simhash, topk, toxicity
+from assaylake.llm import chat, html_extract, language, mixing, ngram_lm, order_minhash, packing, simhash, topk, toxicity
 from assaylake.llm._common import crc_mod, table
 
 
@@ -34,6 +34,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"), learn=crc_mod("doc_id", 10) != 0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_chat": op3_chat,
     "op4_html": op4_html,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_simhash": op6_simhash,
     "op7_order_minhash": op7_order_minhash,
     "op8_mixing": op8_mixing,
