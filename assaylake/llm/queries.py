@@ -69,6 +69,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it uses this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -80,5 +86,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "pipeline": pipeline,
 }
 ORACLES = {"op8_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}

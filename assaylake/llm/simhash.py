@@ -245,7 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate class; rows with a null id stay."""
+    """One row of each near-duplicate class, with the columns of ``docs``: a row with the smallest id. Rows with a null
+    id stay."""
     found = near_duplicates(docs, id_col, text_col)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs[id_col] == keep["kept_id"], "left").where(F.col("kept_id").isNotNull() | docs[id_col].isNull()).drop("kept_id").select(*(docs[c] for c in docs.columns))
+    kept = docs.join(keep, docs[id_col].cast("long") == keep["kept_id"]).dropDuplicates(["kept_id"]).drop("kept_id")
+    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
