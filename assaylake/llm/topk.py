@@ -5,6 +5,9 @@ all lists of a block in step, each from the end that its own component's sign fa
 the components read so far; what is unread is bounded by the list's last read value from above and by the
 list's end from below. Reading stops when all vectors outside the candidates have an upper bound below the k-th
 best lower bound, or below the k-th best score of earlier blocks; the candidates' final scores decide.
+
+The vectors of a block stand side by side, so that a step of reading is done for all lists at once: a component
+beyond the last value read of its list counts as that value, whatever it is.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from assaylake.llm._common import partitions, stash
 
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 512
-#: Shares of the lists after which the bounds are looked at.
-DEPTHS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+#: Shares of the lists after which the bounds are looked at, with and without a score to beat.
+DEPTHS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+FIRST_DEPTHS = (0.75, 0.85, 1.0)
 #: With so few candidates left in a block, or fewer, their scores are resolved.
-RESOLVE_SHARE = 1 / 16
+RESOLVE_SHARE = 1 / 10
 
 
 def quantise(vector: str, scale: int = 256) -> Column:
@@ -49,36 +53,32 @@ class Block:
         starts = np.searchsorted(owner[by_owner], np.arange(len(first)))
         counts = np.diff(np.append(starts, len(ids)))
         self.ids = [ids[by_owner[s : s + min(c, k + 1)]] for s, c in zip(starts, counts, strict=True)]
-        self.lists = np.argsort(self.values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(self.values, self.lists.T, axis=0).T.copy()
-        self.float = self.values.astype(np.float64)
+        width = self.values.shape[1]
+        self.sorted = np.sort(self.values, axis=0)
+        # sums of products stay exact in 32-bit floats where they are small enough
+        largest = int(np.abs(self.values).max(initial=0))
+        self.exact = np.float32 if largest * largest * max(1, width) < 1 << 24 else np.float64
+        self.float = self.values.astype(self.exact)
 
     def best(self, query: np.ndarray, query_id: int, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The k best (score, id) of the block but the query's own id; those below ``floor`` may be missing."""
         n = len(self.values)
-        dims = np.flatnonzero(query)
         candidates = np.arange(n)
-        if len(dims) and n > 4 * k:
-            q = query[dims].astype(np.float64)
-            up = q > 0
-            ends = np.where(up, self.sorted[dims, 0], self.sorted[dims, n - 1]) * q
-            unread = np.ones((n, len(dims)))
-            partial = np.zeros(n)
-            column = np.arange(len(dims))[:, None]
-            at = 0
-            for depth in DEPTHS:
+        if query.any() and n > 4 * k:
+            kind = self.exact if int(np.abs(query).max()) * int(np.abs(self.values).max(initial=0)) * len(query) < 1 << 24 else np.float64
+            q = query.astype(kind)
+            down = query > 0  # such a list is read from its highest value on
+            ends = np.where(down, self.sorted[0], self.sorted[n - 1]).astype(kind)
+            for depth in DEPTHS if floor is not None else FIRST_DEPTHS:
                 to = int(np.ceil(n * depth))
-                places = np.where(up[:, None], np.arange(n - to, n - at)[None, :], np.arange(at, to)[None, :])
-                read = self.lists[dims[:, None], places]
-                unread[read.ravel(), np.broadcast_to(column, read.shape).ravel()] = 0.0
-                partial += np.bincount(read.ravel(), weights=(self.sorted[dims[:, None], places] * q[:, None]).ravel(), minlength=n)
-                at = to
-                frontier = np.where(up, self.sorted[dims, n - to], self.sorted[dims, to - 1]) * q
-                bounds = unread @ np.stack([frontier, ends], axis=1)
-                upper, lower = partial + bounds[:, 0], partial + bounds[:, 1]
-                # one vector may be the query's own, so the bar is the (k + 1)-th best lower bound
-                bar = np.partition(lower, n - k - 1)[n - k - 1]
-                bar = bar if floor is None else max(bar, float(floor))
+                last = np.where(down, self.sorted[n - to], self.sorted[to - 1]).astype(kind)
+                known = np.minimum(np.maximum(self.float, np.where(down, last, -np.inf).astype(kind)), np.where(down, np.inf, last).astype(kind))
+                upper = known @ q
+                bar = -np.inf if floor is None else float(floor)
+                if floor is None:
+                    lower = np.where(self.float == known, self.float, ends) @ q
+                    # one vector may be the query's own, so the bar is the (k + 1)-th best lower bound
+                    bar = float(np.partition(lower, n - k - 1)[n - k - 1])
                 candidates = np.flatnonzero(upper >= bar - 1e-6 * (1 + abs(bar)))
                 if len(candidates) <= max(2 * k, n * RESOLVE_SHARE):
                     break
