@@ -54,7 +54,7 @@ def dense(queries: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame
         return df.withColumn("vector", F.transform("vector", lambda x: F.when(size == 0, 0.0).otherwise(x / size)))
 
     v = unit(vectors).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    q = unit(queries).select("query_id", F.col("vector").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    q = unit(queries).select("query_id", F.col("vector").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     dot = F.aggregate(F.zip_with("query", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return q.join(v, "block").select("query_id", "chunk_id", dot.alias("score"))
 
