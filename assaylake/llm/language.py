@@ -20,7 +20,7 @@ from assaylake.llm._common import slices
 
 ORDER = 4
 #: Labelled documents of each language from which its model is fitted, about; the bound of the sample.
-DOCS_PER_LANGUAGE = 400
+DOCS_PER_LANGUAGE = 240
 #: A calibration text may lie so many deviations above the mean of its language at least before texts are rejected.
 LEAST_LIMIT = 12.0
 #: No language counts as more even than this, in nats per letter: texts that mix languages stay.
@@ -186,7 +186,8 @@ class LanguageModels:
             self.contexts.append(self._join([(m[n]["contexts"], np.log(np.maximum(m[n]["weights"], 1e-12))) for m in per_language], lambda rows, column: 0.0))
             levels = [(m[n]["keys"], np.log(m[n]["p"])) for m in per_language]
             self.grams.append(self._join(levels, lambda rows, column: np.nan))
-        self._fill([_counts([t for ts in counted.values() for t in ts], n + 1) for n in range(order)])
+        for n in range(order):
+            self._fill(n, _counts([t for ts in counted.values() for t in ts], n + 1))
         self._calibrate(held if all(len(h) >= 5 for h in held.values()) else points)
 
     @staticmethod
@@ -198,20 +199,20 @@ class LanguageModels:
             values[np.searchsorted(keys, k), i] = v
         return HashArray(keys, values.astype(np.float32))
 
-    def _fill(self, tables) -> None:
-        """Give languages that lack an n-gram of another language the value that they back off to."""
-        for n, (keys, _, context, suffix) in enumerate(tables):
-            grams = self.grams[n]
-            at = np.searchsorted(grams.keys, keys)
-            back = self.contexts[n].find(context)
-            weight = np.where(back[:, None] >= 0, self.contexts[n].values[back], 0.0)
-            if n == 0:
-                low = np.full((len(keys), len(self.languages)), self.floor)
-            else:
-                place = self.grams[n - 1].find(suffix)
-                low = np.where(place[:, None] >= 0, self.grams[n - 1].values[place], self.floor)
-            now = grams.values[at]
-            grams.values[at] = np.where(np.isnan(now), weight + low, now)
+    def _fill(self, n: int, table: tuple[np.ndarray, ...]) -> None:
+        """Give languages that lack an n-gram of another language the value that they back off to; lower orders first."""
+        keys, _, context, suffix = table
+        grams = self.grams[n]
+        at = np.searchsorted(grams.keys, keys)
+        back = self.contexts[n].find(context)
+        weight = np.where(back[:, None] >= 0, self.contexts[n].values[back], 0.0)
+        if n == 0:
+            low = np.full((len(keys), len(self.languages)), self.floor)
+        else:
+            place = self.grams[n - 1].find(suffix)
+            low = np.where(place[:, None] >= 0, self.grams[n - 1].values[place], self.floor)
+        now = grams.values[at]
+        grams.values[at] = np.where(np.isnan(now), weight + low, now)
 
     def _logs(self, padded: np.ndarray) -> np.ndarray:
         """Log probabilities of the letters of ``padded`` from place ``order - 1`` on, in each language."""

@@ -24,7 +24,7 @@ from assaylake.llm._common import slices
 
 THRESHOLD = 0.7
 #: Labelled documents of each class from which the classifier is fitted, about; the bound of the sample.
-DOCS_PER_CLASS = 2000
+DOCS_PER_CLASS = 1600
 #: The fit keeps the features that differ most between the classes, so many at most, from so many documents each at least.
 MAX_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 3, 3.5
 PREFIXES = (4, 5, 6, 7, 8)
@@ -53,9 +53,10 @@ IDENTITY_TERMS = (
 )
 
 
-def sentences(text: str | None) -> list[set[str]]:
-    """The words of each sentence in lower case."""
-    return [found for s in SENTENCE.split((text or "").lower()) if (found := set(WORD.findall(s)))]
+def sentences(text: str | None, known: dict[str, str] | None = None) -> list[tuple[str, ...]]:
+    """The distinct words of each sentence in lower case; ``known`` lets texts share their strings."""
+    same = {} if known is None else known
+    return [tuple(same.setdefault(w, w) for w in found) for s in SENTENCE.split((text or "").lower()) if (found := sorted(set(WORD.findall(s))))]
 
 
 def features(word: str) -> list[str]:
@@ -108,7 +109,7 @@ def score(text: str | None, scores: WordScores, model: ToxicityModel) -> float:
     return 1.0 / (1.0 + float(np.exp(-min(40.0, max(-40.0, logit)))))
 
 
-def _select(docs: list[list[set[str]]], labels: np.ndarray) -> list[str]:
+def _select(docs: list[list[tuple[str, ...]]], labels: np.ndarray) -> list[str]:
     """Features whose document frequency differs between the classes beyond chance, and all identity terms."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for doc, label in zip(docs, labels, strict=True):
@@ -128,7 +129,7 @@ def _select(docs: list[list[set[str]]], labels: np.ndarray) -> list[str]:
     return list(dict.fromkeys([*chosen, *(t for kind in IDENTITY_TERMS for t in kind)]))
 
 
-def _rows(groups: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(groups: list[tuple[str, ...]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The sentences as a sparse matrix: row and column of each feature."""
     rows, columns = [], []
     known: dict[str, list[int]] = {}
@@ -147,8 +148,12 @@ def train(texts: list[str | None], labels: list[int], counterfactual: float = CO
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, (3.0 if len(y) and y[0] else -3.0))
-    docs = [sentences(t) for t in texts]
-    fold = np.arange(len(docs)) % 2
+    known: dict[str, str] = {}
+    docs = [sentences(t, known) for t in texts]
+    del known
+    fold = np.zeros(len(docs), dtype=np.int64)  # both folds have their share of either class
+    for label in (0, 1):
+        fold[y == label] = np.arange(int((y == label).sum())) % 2
     seen = np.zeros((len(docs), 5))
     for k in (0, 1):
         part = _train_sentences([d for d, f in zip(docs, fold, strict=True) if f != k], y[fold != k], counterfactual)
@@ -170,7 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return tuple(float(v) for v in w / scale)
 
 
-def _train_sentences(docs: list[list[set[str]]], y: np.ndarray, counterfactual: float) -> ToxicityModel:
+def _train_sentences(docs: list[list[tuple[str, ...]]], y: np.ndarray, counterfactual: float) -> ToxicityModel:
     """Weights of words, fitted to the worst sentences of documents."""
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, -1.0)
@@ -184,10 +189,10 @@ def _train_sentences(docs: list[list[set[str]]], y: np.ndarray, counterfactual:
         for term in kind:
             kinds.setdefault(term, []).extend(t for t in kind if t != term)
     # a swap changes the features of one word; sentences that differ in the same swap share a row with its count
-    swaps = Counter((term, other) for s in flat for term in s & kinds.keys() for other in kinds[term])
+    swaps = Counter((term, other) for s in flat for term in kinds.keys() & set(s) for other in kinds[term])
     pairs = list(swaps)
-    out_row, out_column = _rows([{a} for a, _ in pairs], index)
-    in_row, in_column = _rows([{b} for _, b in pairs], index)
+    out_row, out_column = _rows([(a,) for a, _ in pairs], index)
+    in_row, in_column = _rows([(b,) for _, b in pairs], index)
     share = np.array([swaps[p] for p in pairs], dtype=float) / max(1, sum(swaps.values()))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, bias = np.zeros(len(names)), -1.0
