@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Texts are handed to Python code in slices of this many rows, whatever the size of an Arrow batch.
 SLICE_ROWS = 512
@@ -53,3 +54,16 @@ def crc_mod(column: str, modulus: int) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A prefix from ``stem`` that no column of ``df`` starts with, whatever the case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(stem.lower()) for c in taken):
+        stem = f"_{stem}"
+    return stem
+
+
+def with_columns(df: DataFrame, added: dict[str, DataType]) -> StructType:
+    """The schema of ``df`` with more columns."""
+    return StructType([*df.schema.fields, *(StructField(n, t) for n, t in added.items())])

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType
 
-from assaylake.llm._common import slices
+from assaylake.llm._common import slices, with_columns
 
 PATH_SIZE, WORD_SIZE, MEASURES = 160, 24, 8
 HIDDEN = 24
@@ -437,21 +438,20 @@ def main_texts(pages: list[str | None], model: BlockLabeller) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, html_col: str = "html", model: BlockLabeller | None = None) -> DataFrame:
-    """The columns of ``pages`` and ``main_text``.
+def extract(pages: DataFrame, html_col: str = "html", model: BlockLabeller | None = None, text_col: str = "main_text") -> DataFrame:
+    """The columns of ``pages`` and ``main_text``; a column of that name is replaced.
 
     A null or empty page, and one without an article, gives an empty text. Unclosed, misnested and cut-off markup
     is read as a browser would close it. A page is labelled by itself, so repeated rows agree. An empty table
     gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    place = pages.columns.index(html_col)
+    rows = pages.drop(text_col)
+    place = rows.columns.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             found = pa.array(main_texts(batch.column(place).to_pylist(), shared.value), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=pa.schema([*batch.schema, ("main_text", pa.string())]))
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema]
-    return pages.mapInArrow(run, ", ".join([*fields, "main_text string"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=pa.schema([*batch.schema, (text_col, pa.string())]))
 
+    return rows.mapInArrow(run, with_columns(rows, {text_col: StringType()}))

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from assaylake.llm._common import slices
+from assaylake.llm._common import slices, with_columns
 
 ORDER = 4
 #: Labelled documents of each language from which its model is fitted, about; the bound of the sample.
@@ -314,23 +315,24 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     return LanguageModels({lang: [t for _, t in sorted(found)] for lang, found in texts.items() if found}, order)
 
 
-def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
     """The columns of ``docs`` and ``lang_pred``, ``lang_score`` (0 to 1), ``lang_bits`` (cross-entropy per letter),
-    ``lang_rejected``.
+    ``lang_rejected``; columns of these names are replaced. Another prefix gives other names.
 
     A null text or one without a letter is ``und`` with score 0 and rejected. Ties go to the first language in
     code-point order. Texts are scored whole and independently, so repeated rows agree. Without a labelled
     row there is no model, and every text is ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    place = docs.columns.index(text_col)
-    extra = [("lang_pred", pa.string()), ("lang_score", pa.float64()), ("lang_bits", pa.float64()), ("lang_rejected", pa.bool_())]
+    names = [f"{prefix}{n}" for n in ("pred", "score", "bits", "rejected")]
+    rows = docs.drop(*names)
+    place = rows.columns.index(text_col)
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            lang, score, bits, rejected = shared.value.predict(batch.column(place).to_pylist())
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=pa.schema([*batch.schema, *extra]))
+            found = shared.value.predict(batch.column(place).to_pylist())
+            new = [pa.array(x, k) for x, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=pa.schema([*batch.schema, *zip(names, kinds, strict=True)]))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string, lang_score double, lang_bits double, lang_rejected boolean"]))
+    return rows.mapInArrow(run, with_columns(rows, dict(zip(names, (StringType(), DoubleType(), DoubleType(), BooleanType()), strict=True))))

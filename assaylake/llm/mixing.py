@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm._common import partitions, stash
+from assaylake.llm._common import partitions, stash, unused
 
 SEED = 17
 #: A source may be repeated so many times.
@@ -47,53 +47,57 @@ def _targets(sources: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, prefix: str = "mix_") -> DataFrame:
     """What the mix takes of each document.
 
     :return: the columns of ``docs`` and ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_taken``: words
-        of the document and its source, the budget of the source, words taken with repeats counted.
+        of the document and its source, the budget of the source, words taken with repeats counted. Columns of
+        ``docs`` that start with the prefix are left out.
 
     A null source is a source of its own, the last one. Null and empty texts have size 0 and are taken 0 times.
     Repeated rows are documents of their own and follow each other. The last document of a budget is taken in
     part, from its start. An empty table gives an empty result. The key depends on id and seed alone, so
     reruns agree.
     """
+    n = lambda name: f"{prefix}{name}"
+    rows = docs.drop(*(c for c in docs.columns if c.lower().startswith(prefix.lower())))
     ranges = RANGES_PER_PARTITION * partitions(docs.sparkSession)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("*", word_count(text_col).alias("mix_size"), F.substring(digest, 1, 16).alias("mix_key"), F.xxhash64(text_col).alias("mix_tie"))
-    sized = sized.withColumn("mix_range", F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int"))
-    parts = stash(sized.groupBy(F.col(source_col).alias("source"), F.col("mix_range").alias("part")).agg(F.sum("mix_size").alias("part_size")))
+    sized = rows.select("*", word_count(text_col).alias(n("size")), F.substring(digest, 1, 16).alias(n("key")), F.xxhash64(text_col).alias(n("tie")))
+    sized = sized.withColumn(n("range"), F.floor(F.conv(F.substring(n("key"), 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int"))
+    parts = stash(sized.groupBy(F.col(source_col).alias("source"), F.col(n("range")).alias("part")).agg(F.sum(n("size")).alias("part_size")))
     inside = Window.partitionBy("source").orderBy("part")
     offsets = parts.select("source", "part", F.coalesce(F.sum("part_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_offset"))
     targets = _targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")))
     plan = offsets.join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source")))
-    plan = plan.select(F.col("source").alias("mix_source"), "part", "part_offset", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    joined = sized.join(plan, (sized[source_col].eqNullSafe(F.col("mix_source"))) & (F.col("mix_range") == F.col("part")))
-    order = Window.partitionBy(source_col, "mix_range").orderBy("mix_key", id_col, "mix_size", "mix_tie")
-    start = F.col("part_offset") + F.coalesce(F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    budget = F.floor(F.col("mix_target") + 0.5).cast("long")
-    size = F.greatest(F.col("mix_source_size"), F.lit(1))
+    plan = plan.select(F.col("source").alias(n("source")), F.col("part").alias(n("part")), F.col("part_offset").alias(n("offset")), F.col("source_size").alias(n("source_size")), F.col("target").alias(n("target")))
+    joined = sized.join(plan, sized[source_col].eqNullSafe(plan[n("source")]) & (sized[n("range")] == plan[n("part")]))
+    order = Window.partitionBy(source_col, n("range")).orderBy(n("key"), id_col, n("size"), n("tie"))
+    start = F.col(n("offset")) + F.coalesce(F.sum(n("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    budget = F.floor(F.col(n("target")) + 0.5).cast("long")
+    size = F.greatest(F.col(n("source_size")), F.lit(1))
     epochs = F.floor(budget / size).cast("long")
-    taken = epochs * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), budget - epochs * size - F.col("mix_start")))
-    out = joined.withColumn("mix_start", start).withColumn("mix_taken", taken.cast("long"))
-    return out.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    taken = epochs * F.col(n("size")) + F.greatest(F.lit(0), F.least(F.col(n("size")), budget - epochs * size - F.col(n("start"))))
+    out = joined.withColumn(n("start"), start).withColumn(n("taken"), taken.cast("long"))
+    return out.select(*rows.columns, n("size"), n("source_size"), n("target"), n("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: a document once for each time that it is taken whole, and
-    the first words of the one at which a budget ends."""
-    mixed = mix(docs, id_col, text_col, source_col, seed)
-    whole = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.greatest(F.col("mix_size"), F.lit(1)))).otherwise(0).cast("int")
-    left = F.when(F.col("mix_size") > 0, F.col("mix_taken") % F.greatest(F.col("mix_size"), F.lit(1))).otherwise(0).cast("int")
-    head = F.when(F.col("mix_left") > 0, F.regexp_extract(text_col, r"^[\x20\x09-\x0D]*", 0)).otherwise("")
-    rows = mixed.withColumn("mix_left", left).withColumn("mix_copies", F.array_repeat(F.lit(0), whole))
-    rows = rows.withColumn("mix_copies", F.when(F.col("mix_left") > 0, F.array_append("mix_copies", F.col("mix_left"))).otherwise(F.col("mix_copies")))
-    rows = rows.withColumn("mix_copy", F.explode("mix_copies"))
-    words = F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("mix_copy"))
-    text = F.when(F.col("mix_copy") == 0, F.col(text_col)).otherwise(F.rtrim(F.concat(head, F.array_join(words, ""))))
+    the first words of the one at which a budget ends, whose ``n_chars`` is counted anew."""
+    prefix = unused(docs, "mix_")
+    size, taken, left, copies, copy = (f"{prefix}{x}" for x in ("size", "taken", "left", "copies", "copy"))
+    mixed = mix(docs, id_col, text_col, source_col, seed, prefix)
+    words = F.greatest(F.col(size), F.lit(1))
+    whole = F.when(F.col(size) > 0, F.floor(F.col(taken) / words)).otherwise(0).cast("int")
+    rows = mixed.withColumn(left, F.when(F.col(size) > 0, F.col(taken) % words).otherwise(0).cast("int")).withColumn(copies, F.array_repeat(F.lit(0), whole))
+    rows = rows.withColumn(copy, F.explode(F.when(F.col(left) > 0, F.array_append(copies, F.col(left))).otherwise(F.col(copies))))
+    head = F.regexp_extract(text_col, r"^[\x20\x09-\x0D]*", 0)
+    first = F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col(copy))
+    text = F.when(F.col(copy) == 0, F.col(text_col)).otherwise(F.rtrim(F.concat(head, F.array_join(first, ""))))
     out = rows.withColumn(text_col, text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("mix_copy") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(copy) == 0, F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
     return out.select(*docs.columns)
 
 

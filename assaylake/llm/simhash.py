@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm._common import slices, stash
+from assaylake.llm._common import slices, stash, unused
 from assaylake.llm.components import components
 
 SEED = 42
@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate class, with the columns of ``docs``: a row with the smallest id. Rows with a null
     id stay."""
+    kept_id = f"{unused(docs, 'kept_')}id"
     found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["kept_id"]).dropDuplicates(["kept_id"]).drop("kept_id")
-    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(keep, docs[id_col].cast("long") == keep[kept_id]).dropDuplicates([kept_id])
+    return kept.select(*(docs[c] for c in docs.columns)).union(docs.where(F.col(id_col).isNull()))

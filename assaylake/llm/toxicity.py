@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from assaylake.llm._common import slices
+from assaylake.llm._common import slices, with_columns
 
 THRESHOLD = 0.7
 #: Labelled documents of each class from which the classifier is fitted, about; the bound of the sample.
@@ -247,20 +248,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     return train([t for _, _, t in found], [k for _, k, _ in found])
 
 
-def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and ``toxicity``, the score of each whole text, 0 to 1.
+def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """The columns of ``docs`` and ``toxicity``, the score of each whole text, 0 to 1; a column of that name is replaced.
 
     Null and empty texts score as a text without words. A score depends on the text alone, so repeated rows agree.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    rows = docs.drop(score_col)
+    place = rows.columns.index(text_col)
     kept: dict[str, WordScores] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, model = kept.setdefault("scores", shared.value.word_scores()), shared.value
         for batch in slices(batches):
             found = pa.array([score(t, scores, model) for t in batch.column(place).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=pa.schema([*batch.schema, ("toxicity", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=pa.schema([*batch.schema, (score_col, pa.float64())]))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "toxicity double"]))
+    return rows.mapInArrow(run, with_columns(rows, {score_col: DoubleType()}))
