@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators over evaluation, ledger and retrieval relations."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers, generators and sinks."""
