@@ -13,25 +13,25 @@ CONFIDENCE, ITERATIONS, SEED, LEAST_SAMPLES = 0.95, 2000, 42, 30
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 
 
-def draw(key: Column, iteration: Column) -> Column:
-    """A uniform number in [0, 1) from a hash that any engine can compute."""
-    digest = F.md5(F.concat(key, F.lit(":"), iteration.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+def hex_bound(p: float) -> str:
+    """The hex digits at which a draw reaches a probability."""
+    return f"{int(p * (1 << 32)):08x}"
 
 
 def bootstrap(rows: DataFrame, *by: str, key: str = "sample_id", value: str = "value", iterations: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
     """Percentile intervals of means by Poisson resampling: each row has an independent Poisson(1) weight in each
-    iteration, drawn from a hash of its key.
+    iteration, drawn from a hash of its key that any engine can compute; a digest serves four iterations.
 
     Needs no row numbers and no driver, and combines before the shuffle; the rows of a group never meet in one task.
     """
     some = rows.where(F.col(value).isNotNull())
-    spread = some.select(*by, key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
-    u = draw(F.col(key), F.col("i"))
+    fours = some.select(*by, F.col(key).alias("k"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // 4) - 1))).alias("four"))
+    hashed = fours.withColumn("digest", F.md5(F.concat("k", F.lit(":"), F.col("four").cast("string")).cast("binary")))
+    parts = F.array(*(F.struct((F.col("four") * 4 + j).alias("i"), F.substring("digest", 8 * j + 1, 8).alias("u")) for j in range(4)))
     weight = F.lit(len(POISSON))
     for w, bound in reversed(list(enumerate(POISSON))):
-        weight = F.when(F.col("u") < bound, w).otherwise(weight)
-    weighed = spread.withColumn("u", u).withColumn("w", weight)
+        weight = F.when(F.col("u") < hex_bound(bound), w).otherwise(weight)
+    weighed = hashed.select(*by, "v", F.inline(parts)).where(F.col("i") < iterations).withColumn("w", weight)
     means = weighed.groupBy(*by, "i").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
     low, high = int((1 - confidence) / 2 * iterations), min(int((1 + confidence) / 2 * iterations), iterations - 1)
     ordered = F.array_sort(F.collect_list(F.round("m", 9)))  # one number for each iteration

@@ -286,14 +286,14 @@ def unpaired_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bootstrap_sql(source: str, key: str, iterations: int = 200) -> str:
-    cases = " ".join(f"WHEN u < {bound!r} THEN {w}" for w, bound in enumerate(stats.POISSON))
+    cases = " ".join(f"WHEN u < '{stats.hex_bound(bound)}' THEN {w}" for w, bound in enumerate(stats.POISSON))
     low, high = int(0.025 * iterations), min(int(0.975 * iterations), iterations - 1)
     return f"""SELECT g.{key}, g.n, round(g.mean, 6) AS mean, round(c.lo, 6) AS ci_low, round(c.hi, 6) AS ci_high, g.n < 30 AS underpowered
       FROM (SELECT {key}, count(*) AS n, avg(value) AS mean FROM {source} GROUP BY {key}) g JOIN (
         SELECT {key}, list_sort(list(m))[{low + 1}] AS lo, list_sort(list(m))[{high + 1}] AS hi FROM (
           SELECT {key}, i, round(sum(w * value) / nullif(sum(w), 0), 9) AS m FROM (
             SELECT {key}, i, value, CASE {cases} ELSE {len(stats.POISSON)} END AS w FROM (
-              SELECT {key}, i, value, CAST(CAST('0x' || substr(md5(sample_id || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM {source}, (SELECT unnest(range({iterations})) AS i)))
+              SELECT {key}, i, value, substr(md5(sample_id || ':' || CAST(i // 4 AS VARCHAR)), CAST(i % 4 * 8 + 1 AS INTEGER), 8) AS u FROM {source}, (SELECT unnest(range({iterations})) AS i)))
           GROUP BY {key}, i) GROUP BY {key}) c ON c.{key} = g.{key}"""
 
 
