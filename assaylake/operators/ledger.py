@@ -233,6 +233,7 @@ def missing_periods(books: Books, category: str = "Payroll") -> DataFrame:
 
 
 def last_complete_revenue(books: Books) -> DataFrame:
-    """The revenue of the second newest month."""
-    ranked = monthly_flows(books).withColumn("r", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("month")))).where("r = 2")
-    return _every(books, ranked.select(KEY, "month", F.coalesce(F.col("inflow").cast("decimal(24,2)"), F.lit(0).cast("decimal(24,2)")).alias("value")))
+    """The revenue of the second newest month that has any."""
+    earning = monthly_flows(books).where("inflow is not null")
+    ranked = earning.withColumn("r", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("month")))).where("r = 2")
+    return _every(books, ranked.select(KEY, "month", F.col("inflow").cast("decimal(24,2)").alias("value")))

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+TOOL_METRICS = (
+    "tool_selection_accuracy", "tool_execution_success", "tool_result_utilization", "tool_security_rejection",
+    "tool_invocation_rate", "tool_argument_validity", "tool_hallucination_rate", "tool_error_recovery",
+)
+
+
 def _any(calls: Column, test: str) -> Column:
     return F.exists(calls, lambda c: c[test])
 

@@ -242,6 +242,6 @@ def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.missing_periods(books(spark, sf_dir))
 
 
-@query("last_complete_revenue", _sql("SELECT b.business_id, f.month, CASE WHEN f.month IS NOT NULL THEN CAST(coalesce(f.inflow, 0) AS DECIMAL(24,2)) END AS value FROM business b LEFT JOIN flows f ON f.business_id = b.business_id AND f.r = 2"), decimals="value")
+@query("last_complete_revenue", _sql("SELECT b.business_id, f.month, CAST(f.inflow AS DECIMAL(24,2)) AS value FROM business b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY month DESC) AS k FROM flows WHERE inflow IS NOT NULL) f ON f.business_id = b.business_id AND f.k = 2"), decimals="value")
 def last_complete_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.last_complete_revenue(books(spark, sf_dir))
