@@ -94,7 +94,7 @@ def direction(text: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-case words and numbers without stopwords, repeats kept."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]+|\d[\d,.]*"), F.lit(0))
-    clean = F.transform(found, lambda t: F.when(t.rlike(r"^\d"), F.replace(F.regexp_replace(t, r"[.,]+$", ""), F.lit(","), F.lit(""))).otherwise(t))
+    clean = F.transform(found, lambda t: F.when(t < "a", F.replace(F.rtrim(t, F.lit(".,")), F.lit(","), F.lit(""))).otherwise(t))
     return F.filter(clean, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 

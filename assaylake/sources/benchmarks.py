@@ -118,15 +118,15 @@ def answer_shape(answer: Column) -> Column:
     return F.when(plain.rlike(r"(?i)^(yes|no)\b"), "boolean").when((F.length(plain) < 40) & parse_number(plain).isNotNull(), "numeric").otherwise("analytical")
 
 
-def financebench(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """JSON lines of questions about filings, with evidence by document and page."""
-    raw = spark.read.schema("financebench_id string, company string, doc_name string, question_type string, question_reasoning string, question string, answer string, justification string, evidence array<struct<evidence_text:string,doc_name:string,evidence_page_num:string>>").json(path)
+def filings_qa(spark: SparkSession, path: str, split: str, id_field: str = "id") -> DataFrame:
+    """JSON lines of questions about filings, with evidence by document and page; ``id_field`` names the record's id."""
+    raw = spark.read.schema(f"`{id_field}` string, company string, doc_name string, question_type string, question_reasoning string, question string, answer string, justification string, evidence array<struct<evidence_text:string,doc_name:string,evidence_page_num:string>>").json(path)
     shape = answer_shape(F.col("answer"))
     number = F.when(shape == "numeric", parse_number(F.col("answer"))["value"])
     evidence = F.transform("evidence", lambda e: F.struct(F.coalesce(e["doc_name"], F.col("doc_name")).alias("document_id"), e["evidence_page_num"].try_cast("int").alias("page"), e["evidence_text"].alias("text_snippet")))
     metadata = F.create_map(F.lit("answer_shape"), shape, F.lit("company"), F.coalesce("company", F.lit("")), F.lit("doc_name"), F.coalesce("doc_name", F.lit("")), F.lit("question_type"), F.coalesce("question_type", F.lit("")))
     text = F.filter(F.transform("evidence", lambda e: e["evidence_text"]), lambda t: t.isNotNull())
-    return raw.where("financebench_id is not null").select(*sample("financebench", split, F.col("financebench_id"), F.concat(F.lit("financebench_"), F.coalesce("question_type", F.lit("open"))), _tags("evidence_grounding", "retrieval"), F.col("question"), text, F.array().cast(_TABLE), gold_answer(F.col("answer"), number, shape), metadata, (evidence.alias("evidence"),)))
+    return raw.where(F.col(id_field).isNotNull()).select(*sample("filings_qa", split, F.col(id_field), F.concat(F.lit("filings_qa_"), F.coalesce("question_type", F.lit("open"))), _tags("evidence_grounding", "retrieval"), F.col("question"), text, F.array().cast(_TABLE), gold_answer(F.col("answer"), number, shape), metadata, (evidence.alias("evidence"),)))
 
 
 def secque(spark: SparkSession, paths: dict[str, str], split: str) -> DataFrame:
@@ -159,7 +159,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Readers by name.
-READERS = {"finqa": finqa, "tatqa": tatqa, "convfinqa": convfinqa, "finance_reasoning": finance_reasoning, "financebench": financebench, "secque": secque}
+READERS = {"finqa": finqa, "tatqa": tatqa, "convfinqa": convfinqa, "finance_reasoning": finance_reasoning, "filings_qa": filings_qa, "secque": secque}
 
 
 def read_samples(spark: SparkSession, benchmark: str, source, split: str) -> DataFrame:

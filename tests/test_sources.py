@@ -59,9 +59,9 @@ def test_answer_shapes(spark, answer, shape):
     assert spark.createDataFrame([(answer,)], "a string").select(benchmarks.answer_shape(F.col("a")).alias("s")).first().s == shape
 
 
-def test_financebench_and_secque(spark, tmp_path):
-    rows = [{"financebench_id": "f1", "company": "C", "doc_name": "D", "question_type": "metrics", "question_reasoning": "", "question": "q", "answer": "$5", "justification": "", "evidence": [{"evidence_text": "t", "doc_name": "D", "evidence_page_num": "7"}]}]
-    got = benchmarks.financebench(spark, put(tmp_path / "x.jsonl", rows, lines=True), "open").first()
+def test_filings_qa_and_secque(spark, tmp_path):
+    rows = [{"qa_id": "f1", "company": "C", "doc_name": "D", "question_type": "metrics", "question_reasoning": "", "question": "q", "answer": "$5", "justification": "", "evidence": [{"evidence_text": "t", "doc_name": "D", "evidence_page_num": "7"}]}]
+    got = benchmarks.filings_qa(spark, put(tmp_path / "x.jsonl", rows, lines=True), "open", id_field="qa_id").first()
     assert got.gold.numeric_value == 5.0 and got.evidence[0].page == 7 and got.metadata["answer_shape"] == "numeric"
     record = lambda k: {"QID": k, "question_type": "t", "Question": "q", "ground_truth_answer": "a", "context_markdown_with_headers": "# Acme Corp 10-K for 2021\nbody", "accession_number": "1"}
     paths = {c: put(tmp_path / f"{c}.jsonl", [record(f"{c}{i}") for i in (2, 1)], lines=True) for c in ("risk", "analyst")}
