@@ -6,6 +6,9 @@ top node the fingerprints lie in the order of their Gray rank, which puts finger
 patterns side by side; runs of them form nodes, and nodes are cut into groups. A node keeps the mask of the
 bits that all its members share and their values. A search adds up the differences on the shared bits from
 the node down to the group and the member, and drops a whole subtree as soon as they exceed the radius.
+
+Up to seven different bits leave one block with at most one. For such a radius a fingerprint is also shown, as a
+probe, to the top nodes that have one of its set bits cleared; so each pair of top nodes meets once.
 """
 
 from __future__ import annotations
@@ -24,26 +27,37 @@ from assaylake.llm.components import components
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
+#: The radius of candidates whose shingles are compared afterwards.
+WIDE_RADIUS = 7
 BLOCKS, BLOCK_BITS = 4, 16
 NODE_ROWS, GROUP_ROWS = 256, 16
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """The hashes of the shingles of k words, repeats included; fewer words are one shingle."""
+    if len(words) <= k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if k > 1 else words
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64, count=len(words) - k + 1)
+
+
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
     """The 64-bit SimHash of a text: a bit is set if it is set in over half the shingle hashes.
 
     A text with fewer words than a shingle counts as one shingle; a null text or one without a word gives 0.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    k = words_per_shingle
-    if len(words) < k:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64, count=len(words) - k + 1)
+    return _majority(shingle_hashes(words_of(text), words_per_shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 65_536):
         part = hashes[start : start + 65_536]
@@ -131,8 +145,27 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-_PIECE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("node", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("fps", pa.binary()), ("labels", pa.binary())])
-_PIECE_DDL = "a long, b long, bucket int, node long, mask long, pattern long, fps binary, labels binary"
+_PIECE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("node", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("fps", pa.binary()), ("labels", pa.binary()), ("probes", pa.binary())])
+_PIECE_DDL = "a long, b long, bucket int, node long, mask long, pattern long, fps binary, labels binary, probes binary"
+
+
+def _nearest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of pairs that connect what all pairs connect, the nearest first: those of a larger distance only link what
+    those of smaller ones leave apart. A pair or two for each step of growth, never all of a dense group."""
+    chosen: list[np.ndarray] = []
+    label = np.arange(n)
+    for level in np.unique(far):
+        todo = np.flatnonzero(far == level)
+        while True:
+            todo = todo[label[a[todo]] != label[b[todo]]]
+            if not len(todo):
+                break
+            la, lb = label[a[todo]], label[b[todo]]
+            pick = np.union1d(np.unique(la, return_index=True)[1], np.unique(lb, return_index=True)[1])
+            chosen.append(todo[pick])
+            grown = _forest(n, np.concatenate([label, la[pick]]), np.concatenate([np.arange(n), lb[pick]]))
+            label = grown
+    return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -140,12 +173,26 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], schema=_PIECE)
 
 
-def _index_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of one range of (bucket, Gray rank): their inner links, and the nodes that do not hold a whole bucket."""
-    carry: tuple[np.ndarray, ...] = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    opened = None  # the bucket that lies open at the left edge of the carry: its earlier part went before, or may lie in another range
+def _pairs(tree: GrayTree, queries: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Close pairs (place of the query, place in the tree) and their distances, for many queries in parts."""
+    found = [np.zeros((3, 0), np.int64)]
+    for at in range(0, len(queries), 2048):
+        q, place = tree.probe(queries[at : at + 2048], nodes[at : at + 2048], radius)
+        found.append(np.stack([q + at, place, np.bitwise_count(queries[q + at] ^ tree.values[place]).astype(np.int64)]))
+    return tuple(np.concatenate(found, axis=1))
 
-    def work(bucket, fp, rep, left, final):
+
+class _Indexer:
+    """Nodes of one range of (bucket, Gray rank): their inner links, and the nodes that do not hold a whole bucket.
+
+    Without ``checked`` links are transitive and a star stands for a group; with it, links are pairs that still have to be
+    checked, and the nearest pairs that connect a group stand for it. Two probes are never a pair.
+    """
+
+    def __init__(self, radius: int, checked: bool):
+        self.radius, self.checked = radius, checked
+
+    def work(self, bucket, fp, rep, probe, left, final) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         sizes = np.diff(np.append(starts, len(bucket)))
         whole = np.ones(len(starts), dtype=bool)
@@ -155,75 +202,102 @@ def _index_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         owner, nth = _expand(np.arange(len(starts)), np.zeros(len(starts), np.int64), -(-sizes // NODE_ROWS))
         node_starts = starts[owner] + nth * NODE_ROWS
         tree = GrayTree(fp, node_starts)
-        node_of = np.repeat(np.arange(len(node_starts)), tree.sizes)
-        found = [np.zeros((2, 0), np.int64)]
-        for at in range(0, len(fp), 8192):
-            q, place = tree.probe(fp[at : at + 8192], node_of[at : at + 8192])
-            q = q + at
-            found.append(np.stack([q[q < place], place[q < place]]))
-        pairs = np.concatenate(found, axis=1)
-        label = _forest(len(fp), pairs[0], pairs[1])
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        yield _links(rep[linked], rep[label[linked]])
-        low = rep[label]
+        q, place, far = _pairs(tree, fp, np.repeat(np.arange(len(node_starts)), tree.sizes), self.radius)
+        keep = (q < place) & ~(probe[q] & probe[place])
+        q, place, far = q[keep], place[keep], far[keep]
+        low = rep
+        if self.checked:
+            some = _nearest(len(fp), q, place, far)
+            yield _links(rep[q[some]], rep[place[some]])
+        else:
+            label = _forest(len(fp), q, place)
+            linked = np.flatnonzero(label != np.arange(len(fp)))
+            yield _links(rep[linked], rep[label[linked]])
+            low = rep[label]
         for k in np.flatnonzero(~(whole[owner] & (sizes[owner] <= NODE_ROWS))):
             at = slice(node_starts[k], node_starts[k] + tree.sizes[k])
-            name = xxhash.xxh64_intdigest(fp[at].tobytes(), int(bucket[at.start])) >> 1
-            yield pa.RecordBatch.from_pylist(
-                [{"bucket": int(bucket[at.start]), "node": name, "mask": int(tree.mask[k].view(np.int64)), "pattern": int(tree.pattern[k].view(np.int64)), "fps": fp[at].tobytes(), "labels": low[at].tobytes()}], schema=_PIECE
-            )
-
-    first = True
-    for batch in batches:
-        new = (np.asarray(batch.column(0), dtype=np.int32), np.asarray(batch.column(1), dtype=np.int64).view(np.uint64), np.asarray(batch.column(2), dtype=np.int64))
-        bucket, fp, rep = (np.concatenate(x) for x in zip(carry, new, strict=True))
-        if first and len(bucket):
-            opened, first = int(bucket[0]), False
-        if not len(bucket):
-            continue
-        last = int(np.searchsorted(bucket, bucket[-1]))  # where the last, perhaps unfinished bucket starts
-        cut = last if last else (len(bucket) // NODE_ROWS) * NODE_ROWS if len(bucket) > 16 * NODE_ROWS else 0
-        if cut:
-            yield from work(bucket[:cut], fp[:cut], rep[:cut], opened, final=not last)
-            opened = None if last else int(bucket[0])
-        carry = (bucket[cut:], fp[cut:], rep[cut:])
-    if len(carry[0]):
-        yield from work(*carry, opened, final=True)
-
-
-def _cross_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between two nodes of a bucket; of the links between the same two labels one is kept."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            fa, fb = (np.frombuffer(row[k], dtype=np.uint64) for k in ("fps_a", "fps_b"))
-            la, lb = (np.frombuffer(row[k], dtype=np.int64) for k in ("labels_a", "labels_b"))
-            tree = GrayTree(fb, np.zeros(1, np.int64))
-            q, place = tree.probe(fa, np.zeros(len(fa), np.int64))
-            names, at = np.unique(np.concatenate([la[q], lb[place]]), return_inverse=True)
-            label = _forest(len(names), at[: len(q)], at[len(q) :])
-            linked = np.flatnonzero(label != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[label[linked]])], names=["a", "b"])
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges ``a``, ``b`` that connect exactly the fingerprints which links of at most three bits connect.
-
-    :param distinct: ``fp``, ``rep``: each distinct fingerprint once and the node that stands for it.
+            name = xxhash.xxh64_intdigest(fp[at].tobytes() + rep[at].tobytes(), int(bucket[at.start])) >> 1
+            row = {"bucket": int(bucket[at.start]), "node": name, "mask": int(tree.mask[k].view(np.int64)), "pattern": int(tree.pattern[k].view(np.int64)), "fps": fp[at].tobytes(), "labels": low[at].tobytes(), "probes": np.packbits(probe[at]).tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=_PIECE)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: tuple[np.ndarray, ...] = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+        opened = None  # the bucket that lies open at the left edge of the carry: its earlier part went before, or may lie in another range
+        first = True
+        for batch in batches:
+            new = (np.asarray(batch.column(0), dtype=np.int32), np.asarray(batch.column(1), dtype=np.int64).view(np.uint64), np.asarray(batch.column(2), dtype=np.int64), np.asarray(batch.column(3).to_numpy(zero_copy_only=False), dtype=bool))
+            rows = tuple(np.concatenate(x) for x in zip(carry, new, strict=True))
+            bucket = rows[0]
+            if not len(bucket):
+                continue
+            if first:
+                opened, first = int(bucket[0]), False
+            last = int(np.searchsorted(bucket, bucket[-1]))  # where the last, perhaps unfinished bucket starts
+            cut = last if last else (len(bucket) // NODE_ROWS) * NODE_ROWS if len(bucket) > 16 * NODE_ROWS else 0
+            if cut:
+                yield from self.work(*(x[:cut] for x in rows), opened, final=not last)
+                opened = None if last else int(bucket[0])
+            carry = tuple(x[cut:] for x in rows)
+        if len(carry[0]):
+            yield from self.work(*carry, opened, final=True)
+
+
+class _Crosser:
+    """Links between two nodes of a bucket."""
+
+    def __init__(self, radius: int, checked: bool):
+        self.radius, self.checked = radius, checked
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fa, fb = (np.frombuffer(row[k], dtype=np.uint64) for k in ("fps_a", "fps_b"))
+                la, lb = (np.frombuffer(row[k], dtype=np.int64) for k in ("labels_a", "labels_b"))
+                pa_, pb = (np.unpackbits(np.frombuffer(row[k], dtype=np.uint8), count=n).astype(bool) for k, n in (("probes_a", len(fa)), ("probes_b", len(fb))))
+                q, place, far = _pairs(GrayTree(fb, np.zeros(1, np.int64)), fa, np.zeros(len(fa), np.int64), self.radius)
+                keep = ~(pa_[q] & pb[place])
+                q, place, far = q[keep], place[keep], far[keep]
+                names, at = np.unique(np.concatenate([la[q], lb[place]]), return_inverse=True)
+                left, right = at[: len(q)], at[len(q) :]
+                if self.checked:
+                    some = _nearest(len(names), left, right, far)
+                    a, b = names[left[some]], names[right[some]]
+                else:  # of the links between the same two labels one is kept
+                    label = _forest(len(names), left, right)
+                    linked = np.flatnonzero(label != np.arange(len(names)))
+                    a, b = names[linked], names[label[linked]]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, checked: bool = False) -> DataFrame:
+    """Edges ``a``, ``b`` that connect exactly the fingerprints which links of at most ``radius`` bits connect.
+
+    :param distinct: ``fp``, ``rep``: fingerprints and the node that stands for each.
+    :param checked: the edges are to be checked by other means; each is then a close pair itself.
 
     Within a node, and between two nodes, a spanning forest stands for the links, so a dense group of n
-    fingerprints gives less than n edges per node and never its pairs.
+    fingerprints gives less than n edges per node and never its pairs (with ``checked`` some more).
     """
+    if not 0 <= radius < 2 * BLOCKS:
+        raise ValueError(f"a radius of {radius} bits needs more blocks")
     spark = distinct.sparkSession
-    filed = [F.struct((F.lit(k << BLOCK_BITS) + F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).cast("int").alias("bucket"), F.col("fp"), F.col("rep"), gray_rank("fp").alias("rank")) for k in range(BLOCKS)]
-    rows = distinct.select(F.inline(F.array(*filed)))
-    pieces = stash(rows.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank").select("bucket", "fp", "rep").mapInArrow(_index_partition, _PIECE_DDL))
+    value = [F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for k in range(BLOCKS)]
+    filed = [F.struct((F.lit(k << BLOCK_BITS) + value[k]).alias("bucket"), F.lit(False).alias("probe")) for k in range(BLOCKS)]
+    shown = F.array(*filed)
+    if radius >= BLOCKS:
+        probes = [F.when(value[k].bitwiseAND(F.lit(1 << bit)) != 0, F.struct((F.lit(k << BLOCK_BITS) + value[k] - F.lit(1 << bit)).alias("bucket"), F.lit(True).alias("probe"))) for k in range(BLOCKS) for bit in range(BLOCK_BITS)]
+        shown = F.filter(F.array(*filed, *probes), lambda x: x.isNotNull())
+    rows = distinct.select("fp", "rep", gray_rank("fp").alias("rank"), F.inline(shown))
+    pieces = stash(rows.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank").select("bucket", "fp", "rep", "probe").mapInArrow(_Indexer(radius, checked), _PIECE_DDL))
     nodes = pieces.where("bucket is not null")
-    a = nodes.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "mask", "pattern", "fps", "labels")))
-    b = nodes.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "mask", "pattern", "fps", "labels")))
-    near = F.bit_count(F.col("pattern_a").bitwiseXOR(F.col("pattern_b")).bitwiseAND(F.col("mask_a")).bitwiseAND(F.col("mask_b"))) <= RADIUS
-    pairs = a.join(b, "bucket").where((F.col("node_a") < F.col("node_b")) & near).select("fps_a", "labels_a", "fps_b", "labels_b", F.xxhash64("node_a", "node_b").alias("deal"))
+    parts_of = ("node", "mask", "pattern", "fps", "labels", "probes")
+    a = nodes.select("bucket", *(F.col(c).alias(f"{c}_a") for c in parts_of))
+    b = nodes.select("bucket", *(F.col(c).alias(f"{c}_b") for c in parts_of))
+    near = F.bit_count(F.col("pattern_a").bitwiseXOR(F.col("pattern_b")).bitwiseAND(F.col("mask_a")).bitwiseAND(F.col("mask_b"))) <= radius
+    sides = ("fps_a", "labels_a", "probes_a", "fps_b", "labels_b", "probes_b")
+    pairs = a.join(b, "bucket").where((F.col("node_a") < F.col("node_b")) & near).select(*sides, F.xxhash64("node_a", "node_b").alias("deal"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cross = pairs.repartition(parts, "deal").select("fps_a", "labels_a", "fps_b", "labels_b").mapInArrow(_cross_partition, "a long, b long")
+    cross = pairs.repartition(parts, "deal").select(*sides).mapInArrow(_Crosser(radius, checked), "a long, b long")
     return pieces.where("a is not null").select("a", "b").union(cross)
 
 
@@ -244,11 +318,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _prints_of_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``fp0``, ``fp1``, ``digest``: two SimHashes of the distinct words by different hashes, and a hash of the
+    words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                hashes = shingle_hashes(list(set(words)), 1)
+                again = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                again = (again ^ (again >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                found.append((_majority(hashes), _majority(again ^ (again >> np.uint64(31))), xxhash.xxh64_intdigest(b" ".join(words))))
+            columns = [batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp0", "fp1", "digest"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp0 long, fp1 long, digest long")
+
+
+def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id``, ``hashes``: the distinct shingle hashes of each text, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(words_of(t), k) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, hashes binary")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+    """Classes of documents whose shingles of ``words`` words have a Jaccard similarity of at least ``similarity``.
+
+    Candidates differ in at most ``radius`` bits of a SimHash of their distinct words, which a changed word moves less
+    than it moves shingles; a second SimHash finds those that the first one parts by chance. Of the candidates of a dense group the nearest pairs that connect it are compared, by
+    their whole shingle sets; links that hold make the classes.
+
+    :return: ``doc_id``, ``component_id``: one row per document with an id that is not null.
+
+    Equal words in order are equal documents, whatever the white space and the case of A-Z. Texts without a word are
+    equal. Rows with the same id count as one document.
+    """
+    prints = stash(_prints_of_words(docs, id_col, text_col).where("doc_id is not null"))
+    nodes = stash(prints.groupBy("digest", "fp0", "fp1").agg(F.min("doc_id").alias("rep")))
+    near = [links(nodes.select(F.col(fp).alias("fp"), "rep"), radius, checked=True) for fp in ("fp0", "fp1")]
+    edges = stash(near[0].union(near[1]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ends, F.col("doc_id") == F.col("end"), "left_semi")
+    sets = stash(_shingle_sets(texts, words).groupBy("doc_id").agg(F.max("hashes").alias("hashes")))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = edges.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a long, b long")
+    label = components(held)
+    named = nodes.join(label, nodes["rep"] == label["node"], "left").select(F.col("digest").alias("key"), F.col("fp0").alias("key0"), F.coalesce("label", "rep").alias("component_id"))
+    return prints.join(named, (prints["digest"] == named["key"]) & (prints["fp0"] == named["key0"])).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate class, with the columns of ``docs``: a row with the smallest id. Rows with a null
-    id stay."""
+    id stay.
+
+    :param similarity: classes by the similarity of five-word shingles; without it, by fingerprints alone.
+    """
     kept_id = f"{unused(docs, 'kept_')}id"
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col) if similarity is None else similar_documents(docs, similarity, id_col=id_col, text_col=text_col)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     kept = docs.join(keep, docs[id_col].cast("long") == keep[kept_id]).dropDuplicates([kept_id])
     return kept.select(*(docs[c] for c in docs.columns)).union(docs.where(F.col(id_col).isNull()))

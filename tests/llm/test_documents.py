@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -75,6 +76,56 @@ def test_simhash_links_every_close_pair_of_a_dense_cluster(spark):
     assert all(got.get(i, i) == want[i] for i in range(len(order)))
 
 
+def test_wide_radius_links_every_close_pair(spark):
+    draw = np.random.default_rng(8)
+    values = [int(x) for x in draw.integers(0, 1 << 63, size=40)]
+    for _ in range(700):
+        base = values[int(draw.integers(0, len(values)))]
+        for bit in draw.integers(0, 64, size=draw.integers(1, 10)):
+            base ^= 1 << int(bit)
+        values.append(base)
+    order = sorted(set(values))
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in order]
+    rows = spark.createDataFrame(list(zip(signed, range(len(signed)), strict=True)), "fp long, rep long")
+    array = np.array(order, dtype=np.uint64)
+    near = [(i, int(j)) for i in range(len(order)) for j in i + 1 + np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= 7)]
+    want = reach(near, range(len(order)))
+    edges = simhash.links(rows, 7, checked=True)
+    assert all(bin(order[r.a] ^ order[r.b]).count("1") <= 7 for r in edges.collect())
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert all(got.get(i, i) == want[i] for i in range(len(order)))
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(rows, 8)
+
+
+def test_similar_documents_hold_the_similarity(spark):
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(5000)}"
+    base = [[word() for _ in range(300)] for _ in range(30)]
+    rows, group = [], []
+    for g, w in enumerate(base):
+        rows.append(" ".join(w))
+        group.append(g)
+        for _ in range(3):  # few changed words
+            near = list(w)
+            for _ in range(draw.randint(0, 4)):
+                near[draw.randrange(300)] = word()
+            rows.append("  ".join(near).upper())
+            group.append(g)
+        rows.append(" ".join(sorted(w)))  # the same words in another order are another document
+        group.append(f"sorted {g}")
+    rows += ["", None, "\n", "one", "ONE ", "one two"]
+    group += ["none"] * 3 + ["one"] * 2 + ["two"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)] + [(None, "x", 1), (0, rows[0], 1)], "doc_id long, text string, fp int")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    first = {g: group.index(g) for g in group}
+    apart = [i for i, g in enumerate(group) if got[i] != first[g]]
+    assert len(apart) <= 2 and all(got[i] == i for i in apart)  # candidates are found with high probability, none is made up
+    kept = [r.doc_id for r in simhash.deduplicate(docs, similarity=0.8).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted({*first.values(), *apart}) and kept.count(None) == 1
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
 def test_components_of_chains_loops_and_nothing(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 9), (7, 8), (8, 7), (100, 50), (50, 25), (None, 3)] + [(i, i + 1) for i in range(200, 260)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
