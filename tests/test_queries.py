@@ -64,3 +64,13 @@ def test_entry_has_all_queries(spark):
 def test_relations_leave_no_views(spark):
     plans.QUERIES["cash_balance"](spark, SF_DIR).collect()
     assert [t for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith(("orders", "lineitem"))] == []
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from assaylake.__main__ import main
+
+    assert main(["list"]) == 0 and "cash_balance" in capsys.readouterr().out
+    assert main(["run", "cash_balance", "--data", SF_DIR, "--out", str(tmp_path / "out"), "--format", "json"]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() == 25
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "--data", SF_DIR])
