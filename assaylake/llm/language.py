@@ -50,7 +50,10 @@ _LETTERS = _letter_table()
 def letters(text: str | None) -> np.ndarray:
     """The text as lower-case letters, with one space for each run of anything else, and none at either end."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    out = np.where(points < (1 << 16), _LETTERS[points & 0xFFFF], points) if len(points) and points.max() >= (1 << 16) else _LETTERS[points]
+    out = _LETTERS[points & 0xFFFF]
+    for point in np.unique(points[points >= (1 << 16)]):  # beyond the basic plane letters are rare
+        char = chr(point)
+        out[points == point] = ord(char.lower()) if char.isalpha() and len(char.lower()) == 1 else _SPACE
     if not len(out):
         return out
     space = out == _SPACE

@@ -233,6 +233,11 @@ def test_language_models_tell_and_reject(docs, corpus, clashing, nothing):
     assert language.identify(nothing, models).count() == 0
 
 
+def test_letters():
+    text = lambda t: "".join(map(chr, language.letters(t)))
+    assert text("😀 !") == text("12 ² \n") == text(None) == "" and text(" Ab😀\n\nÇd1e ") == "ab çd e" and text("\U00010400x") == "\U00010428x"
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     models = language.LanguageModels({"x": ["abca bcab cabb"] * 4, "y": ["zzxx zxzx"] * 4}, 3)
     letters = sorted({*"abczx "})
