@@ -74,3 +74,19 @@ def test_command_line(spark, capsys, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 25
     with pytest.raises(SystemExit):
         main(["run", "nothing", "--data", SF_DIR])
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_the_columns_that_are_used(spark):
+    plan = _plan(plans.QUERIES["benchmark_pass_rates"](spark, SF_DIR))
+    assert "o_orderdate" not in plan.split("ReadSchema")[1] and "o_custkey" not in plan.split("ReadSchema")[1]
+    plan = _plan(plans.QUERIES["overdue_receivables"](spark, SF_DIR))
+    assert "c_acctbal" not in plan and "o_orderstatus" in plan.split("PushedFilters")[1]
+
+
+def test_no_query_of_the_library_forms_all_pairs(spark):
+    for name in ("bm25_topk", "dense_topk", "paired_discordance", "capability_macro_rollup", "conversation_analysis", "metric_results"):
+        assert "CartesianProduct" not in _plan(plans.QUERIES[name](spark, SF_DIR)), name
