@@ -34,7 +34,7 @@ from assaylake.llm._common import partitions, shared_dir, slices
 from assaylake.llm.elias_fano import NgramTrie, dequantise, quantise
 
 #: Tokens of a block, about, and tokens of the corpus for each shard, about.
-BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_000_000
 LEAST_COUNT = 2
 DISCOUNT = 1.3
 ADD = 0.1
@@ -346,14 +346,16 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     least = n_train // (FREQUENT * shards) + 1
 
     def nominate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a word over the share in the corpus is over it in some block, and is counted in all blocks below
         for batch in batches:
             for words, counts, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 c = _unzip(counts, "<u4").astype(np.int64)
-                some = np.flatnonzero(c * FREQUENT * shards >= max(1, n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, dtype="<i8")[some])], names=["word"])
+                some = np.flatnonzero(c * 2 * FREQUENT * shards >= max(1, n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, dtype="<i8")[some]), pa.array(c[some])], names=["word", "n"])
 
-    nominated = np.array([r[0] for r in blocks.select("words", "counts", "n_train").mapInArrow(nominate, "word long").distinct().collect()], dtype=np.int64)
+    # A word over the share in the corpus has half of that share in the blocks where it is over half the share itself, for
+    # the other blocks hold less. So fewer than 2 * FREQUENT * shards words come to be counted in all blocks.
+    over = blocks.select("words", "counts", "n_train").mapInArrow(nominate, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    nominated = np.array([r[0] for r in over.where(F.col("n") * (2 * FREQUENT * shards) >= n_train).select("word").collect()], dtype=np.int64)
     named = spark.sparkContext.broadcast(np.sort(nominated))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
