@@ -182,6 +182,12 @@ def _pairs(tree: GrayTree, queries: np.ndarray, nodes: np.ndarray, radius: int)
     return tuple(np.concatenate(found, axis=1))
 
 
+def _told_here(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which pairs this top node tells: none of two probes, and with a probe only pairs so far apart that no two blocks
+    need be equal; the others are told where they are both filed."""
+    return ~(a & b) & (~(a | b) | (far >= BLOCKS))
+
+
 class _Indexer:
     """Nodes of one range of (bucket, Gray rank): their inner links, and the nodes that do not hold a whole bucket.
 
@@ -203,7 +209,7 @@ class _Indexer:
         node_starts = starts[owner] + nth * NODE_ROWS
         tree = GrayTree(fp, node_starts)
         q, place, far = _pairs(tree, fp, np.repeat(np.arange(len(node_starts)), tree.sizes), self.radius)
-        keep = (q < place) & ~(probe[q] & probe[place])
+        keep = (q < place) & _told_here(probe[q], probe[place], far)
         q, place, far = q[keep], place[keep], far[keep]
         low = rep
         if self.checked:
@@ -255,7 +261,7 @@ class _Crosser:
                 la, lb = (np.frombuffer(row[k], dtype=np.int64) for k in ("labels_a", "labels_b"))
                 pa_, pb = (np.unpackbits(np.frombuffer(row[k], dtype=np.uint8), count=n).astype(bool) for k, n in (("probes_a", len(fa)), ("probes_b", len(fb))))
                 q, place, far = _pairs(GrayTree(fb, np.zeros(1, np.int64)), fa, np.zeros(len(fa), np.int64), self.radius)
-                keep = ~(pa_[q] & pb[place])
+                keep = _told_here(pa_[q], pb[place], far)
                 q, place, far = q[keep], place[keep], far[keep]
                 names, at = np.unique(np.concatenate([la[q], lb[place]]), return_inverse=True)
                 left, right = at[: len(q)], at[len(q) :]
@@ -319,22 +325,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _prints_of_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``fp0``, ``fp1``, ``digest``: two SimHashes of the distinct words by different hashes, and a hash of the
-    words in order."""
+    """``doc_id``, ``fp``, ``digest``: the SimHash of the distinct words, and a hash of the words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                hashes = shingle_hashes(list(set(words)), 1)
-                again = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                again = (again ^ (again >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                found.append((_majority(hashes), _majority(again ^ (again >> np.uint64(31))), xxhash.xxh64_intdigest(b" ".join(words))))
+                found.append((_majority(shingle_hashes(list(set(words)), 1)), xxhash.xxh64_intdigest(b" ".join(words))))
             columns = [batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*found, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp0", "fp1", "digest"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp0 long, fp1 long, digest long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, digest long")
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -352,7 +354,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """Classes of documents whose shingles of ``words`` words have a Jaccard similarity of at least ``similarity``.
 
     Candidates differ in at most ``radius`` bits of a SimHash of their distinct words, which a changed word moves less
-    than it moves shingles; a second SimHash finds those that the first one parts by chance. Of the candidates of a dense group the nearest pairs that connect it are compared, by
+    than it moves shingles; pairs of the least similarity may lie farther apart by chance. Of the candidates of a dense group the nearest pairs that connect it are compared, by
     their whole shingle sets; links that hold make the classes.
 
     :return: ``doc_id``, ``component_id``: one row per document with an id that is not null.
@@ -361,11 +363,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     equal. Rows with the same id count as one document.
     """
     prints = stash(_prints_of_words(docs, id_col, text_col).where("doc_id is not null"))
-    nodes = stash(prints.groupBy("digest", "fp0", "fp1").agg(F.min("doc_id").alias("rep")))
-    near = [links(nodes.select(F.col(fp).alias("fp"), "rep"), radius, checked=True) for fp in ("fp0", "fp1")]
-    edges = stash(near[0].union(near[1]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = stash(prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("rep")))
+    edges = stash(links(nodes.select("fp", "rep"), radius, checked=True).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ends, F.col("doc_id") == F.col("end"), "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ends.hint("merge"), F.col("doc_id") == F.col("end"), "left_semi")  # the ends grow with the data, so they are never broadcast
     sets = stash(_shingle_sets(texts, words).groupBy("doc_id").agg(F.max("hashes").alias("hashes")))
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b"))
@@ -381,8 +382,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     held = edges.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a long, b long")
     label = components(held)
-    named = nodes.join(label, nodes["rep"] == label["node"], "left").select(F.col("digest").alias("key"), F.col("fp0").alias("key0"), F.coalesce("label", "rep").alias("component_id"))
-    return prints.join(named, (prints["digest"] == named["key"]) & (prints["fp0"] == named["key0"])).select("doc_id", "component_id")
+    named = nodes.join(label, nodes["rep"] == label["node"], "left").select(F.col("digest").alias("key"), F.col("fp").alias("key0"), F.coalesce("label", "rep").alias("component_id"))
+    return prints.join(named, (prints["digest"] == named["key"]) & (prints["fp"] == named["key0"])).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
