@@ -39,6 +39,13 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``column``: a join on it does not move the table."""
+    name = f"assaylake_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(df.sparkSession)}/{name}").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:

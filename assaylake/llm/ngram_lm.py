@@ -19,7 +19,6 @@ first word of a text stands the end of the one before.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm._common import partitions, shared_dir, slices
+from assaylake.llm._common import bucketed, partitions, slices
 from assaylake.llm.elias_fano import NgramTrie, dequantise, quantise
 
 #: Tokens of a block, about, and tokens of the corpus for each shard, about.
@@ -320,13 +319,6 @@ def _score(row: dict, answers: list[dict], frequent: dict[int, float], shards: i
     return {"doc_id": row["doc_ids"], "held_out": (np.frombuffer(row["held"], dtype=np.uint8) > 0).tolist(), "n_tokens": (np.frombuffer(row["sizes"], dtype="<u4").astype(np.int64) + 1).tolist(), "n_known": total((c > 0).astype(np.int64)).tolist(), "train_tokens": [n_train] * len(starts), "base_score": total(np.log10(p1)).tolist(), "score": total(np.log10(p3)).tolist()}
 
 
-def _bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """``df`` as a table in the shared folder, in buckets of ``column``: a join on it does not move the table."""
-    name = f"assaylake_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(df.sparkSession)}/{name}").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows for which ``learn`` holds, and score all rows.
 
@@ -340,7 +332,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = _bucketed(rows.mapInArrow(_read_blocks, _BLOCK_DDL), "block", parts)
+    blocks = bucketed(rows.mapInArrow(_read_blocks, _BLOCK_DDL), "block", parts)
     n_train = blocks.agg(F.sum("n_train")).first()[0] or 0
     shards = max(parts, -(-n_train // SHARD_TOKENS))
     least = n_train // (FREQUENT * shards) + 1
@@ -391,7 +383,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_pylist(list(_answer(waiting, hot.value, waiting[0]["shard"])), schema=schema)
 
     asked = blocks.select("block", "doc_ids", "held", "sizes", "ranks", "words", "counts").mapInArrow(ask, _MESSAGE_DDL)
-    answers = _bucketed(asked.repartition(parts, "shard").sortWithinPartitions("shard", "block").mapInArrow(answer, _ANSWER_DDL), "block", parts)
+    answers = bucketed(asked.repartition(parts, "shard").sortWithinPartitions("shard", "block").mapInArrow(answer, _ANSWER_DDL), "block", parts)
     vocabulary = answers.agg(F.sum("vocabulary")).first()[0] or 0
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,15 +13,16 @@ probe, to the top nodes that have one of its set bits cleared; so each pair of t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm._common import slices, stash, unused
+from assaylake.llm._common import bucketed, partitions, slices, stash, unused
 from assaylake.llm.components import components
 
 SEED = 42
@@ -31,6 +32,10 @@ RADIUS = 3
 WIDE_RADIUS = 7
 BLOCKS, BLOCK_BITS = 4, 16
 NODE_ROWS, GROUP_ROWS = 256, 16
+#: Shingles that at least ORDER_LEAST of one in ORDER_SHARE documents have are common; COMMON_SHINGLES of them at most.
+ORDER_SHARE, ORDER_LEAST, COMMON_SHINGLES = 8, 3, 50_000
+#: Members of a class under one shingle that are listed together, about.
+LIST_ROWS = 1024
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -324,64 +329,123 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"))
 
 
-def _prints_of_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``fp``, ``digest``: the SimHash of the distinct words, and a hash of the words in order."""
+def _prints_of_words(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``doc_id``, ``fp``, ``digest``, ``hashes``: the SimHash of the distinct words, a hash of the words in order, and the
+    distinct hashes of the shingles of k words, sorted, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = []
+            found, sets = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 found.append((_majority(shingle_hashes(list(set(words)), 1)), xxhash.xxh64_intdigest(b" ".join(words))))
-            columns = [batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*found, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest"])
+                sets.append(np.unique(shingle_hashes(words, k) >> np.uint64(32)).astype("<u4").tobytes())
+            columns = [batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*found, strict=True)), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "hashes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, digest long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, digest long, hashes binary")
 
 
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id``, ``hashes``: the distinct shingle hashes of each text, sorted, as bytes."""
+def _held(edges: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The edges ``a``, ``b`` whose whole shingle sets are similar enough."""
+    left = prints.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a"))
+    right = prints.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return edges.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a long, b long")
+
+
+def _common_shingles(nodes: DataFrame) -> np.ndarray:
+    """Shingles of many documents, the rarest first. Found in a share of the documents: they only settle an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(words_of(t), k) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<i4"))], names=["shingle"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
+    some = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(ORDER_SHARE)) == 0).select("hashes")
+    counted = some.mapInArrow(run, "shingle int").groupBy("shingle").count().where(F.col("count") >= ORDER_LEAST)
+    top = counted.orderBy(F.desc("count"), "shingle").limit(COMMON_SHINGLES).collect()
+    return np.array([r["shingle"] for r in reversed(top)], dtype=np.int32).view(np.uint32)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many shingles of n, the first in an order that all sets share, meet those of any set that is similar enough."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _candidates(nodes: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a``, ``b`` of documents in different classes that can have the similarity.
+
+    Sets of sizes m <= n with this Jaccard similarity share at least a shingle among the first of each in one order, and m is at
+    least the similarity times n. The order has common shingles last. Shingles inside one class make no pair.
+    """
+    common = nodes.sparkSession.sparkContext.broadcast(_common_shingles(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
+        by_value = np.argsort(late)
+        ordered = late[by_value]
+        for batch in slices(batches):
+            shingles, reps, sizes = [np.zeros(0, dtype=np.uint32)], [], []
+            for rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(data, dtype="<u4")
+                if len(ordered):
+                    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+                    is_late = ordered[at] == h
+                    first = np.concatenate([h[~is_late], late[np.sort(by_value[at[is_late]])]])
+                else:
+                    first = h
+                first = first[: prefix_length(len(h), similarity)]
+                shingles.append(first)
+                reps.append(np.full(len(first), rep, dtype=np.int64))
+                sizes.append(np.full(len(first), len(h), dtype=np.int32))
+            if reps:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int32)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes))], names=["shingle", "rep", "size"])
+
+    same = Window.partitionBy("shingle")
+    posts = nodes.select("rep", "hashes").mapInArrow(run, "shingle int, rep long, size int")
+    shared = posts.withColumns({"low": F.min("rep").over(same), "high": F.max("rep").over(same)}).where("low < high").select("shingle", "rep", "size")
+    classed = shared.join(label, F.col("rep") == F.col("node"), "left").select("shingle", "rep", "size", F.coalesce("label", "rep").alias("class"))
+    apart = classed.withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same), "n": F.count("*").over(same)}).where("low < high")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / LIST_ROWS)).alias("part")  # so that no list is long
+    lists = stash(apart.groupBy("shingle", "class", part).agg(F.collect_list(F.struct("rep", "size")).alias("members")))
+    one = lists.select("shingle", F.col("class").alias("class_a"), F.col("members").alias("members_a"))
+    two = lists.select("shingle", F.col("class").alias("class_b"), F.col("members").alias("members_b"))
+    met = one.join(two, "shingle").where("class_a < class_b").select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
+    fits = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    return met.where(fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a <> b").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
-    """Classes of documents whose shingles of ``words`` words have a Jaccard similarity of at least ``similarity``.
+    """Classes of documents whose shingles of ``words`` words have a Jaccard similarity of at least ``similarity``: two
+    documents are in one class exactly if a chain of similar pairs connects them.
 
-    Candidates differ in at most ``radius`` bits of a SimHash of their distinct words, which a changed word moves less
-    than it moves shingles; pairs of the least similarity may lie farther apart by chance. Of the candidates of a dense group the nearest pairs that connect it are compared, by
-    their whole shingle sets; links that hold make the classes.
+    First, pairs that differ in at most ``radius`` bits of a SimHash of their distinct words, of a dense group the nearest
+    ones that connect it, are compared by their whole shingle sets; they make most classes, without the pairs inside them.
+    Then every pair of different classes that can have the similarity is compared: all that share one of the rarest
+    shingles of both.
 
     :return: ``doc_id``, ``component_id``: one row per document with an id that is not null.
 
     Equal words in order are equal documents, whatever the white space and the case of A-Z. Texts without a word are
-    equal. Rows with the same id count as one document.
+    equal. Rows with the same id count as one document. Shingles are compared by 32 bits of their hashes.
     """
-    prints = stash(_prints_of_words(docs, id_col, text_col).where("doc_id is not null"))
+    parts = partitions(docs.sparkSession)
+    prints = bucketed(_prints_of_words(docs, id_col, text_col, words).where("doc_id is not null").repartition(parts, "doc_id"), "doc_id", parts)  # so joins do not move the shingles
     nodes = stash(prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("rep")))
+    sets = prints.join(nodes.select("rep").distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "hashes")
     edges = stash(links(nodes.select("fp", "rep"), radius, checked=True).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ends.hint("merge"), F.col("doc_id") == F.col("end"), "left_semi")  # the ends grow with the data, so they are never broadcast
-    sets = stash(_shingle_sets(texts, words).groupBy("doc_id").agg(F.max("hashes").alias("hashes")))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(common >= similarity * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    held = edges.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a long, b long")
-    label = components(held)
+    near = components(_held(edges, prints, similarity))
+    rest = _held(stash(_candidates(sets, near, similarity)), prints, similarity)
+    label = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     named = nodes.join(label, nodes["rep"] == label["node"], "left").select(F.col("digest").alias("key"), F.col("fp").alias("key0"), F.coalesce("label", "rep").alias("component_id"))
     return prints.join(named, (prints["digest"] == named["key"]) & (prints["fp"] == named["key0"])).select("doc_id", "component_id")
 

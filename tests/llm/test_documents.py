@@ -128,6 +128,30 @@ def test_similar_documents_hold_the_similarity(spark):
     assert simhash.similar_documents(docs.limit(0)).count() == 0
 
 
+def similar_classes(rows, similarity=0.8):
+    """The classes by brute force over all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in rows]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return reach(near, range(len(rows)))
+
+
+def test_similar_documents_equal_brute_force_over_one_vocabulary(spark):
+    """Texts over the same words: every pair is a candidate by words, and those of 0.8 lie among many false ones."""
+    draw = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(120)]
+    rows = []
+    for _ in range(60):
+        w = draw.sample(vocabulary, 120)
+        near = list(w)
+        for k in draw.sample(range(0, 116), 2):
+            near[k], near[k + 1] = near[k + 1], near[k]
+        rows += [" ".join(w), " ".join(near)]
+    want = similar_classes(rows)
+    assert sum(want[i] != i for i in want) > 30
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+
+
 def test_components_of_chains_loops_and_nothing(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 9), (7, 8), (8, 7), (100, 50), (50, 25), (None, 3)] + [(i, i + 1) for i in range(200, 260)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
