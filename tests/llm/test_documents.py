@@ -152,6 +152,27 @@ def test_similar_documents_equal_brute_force_over_one_vocabulary(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
 
 
+def test_similar_documents_find_pairs_of_least_similarity(spark):
+    """Words changed here and there until the similarity is just 0.8, a shared passage, and each text again in another order."""
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for g in range(30):
+        w = [word() for _ in range(300 if g % 3 else 40)] + (passage if g % 2 else [])
+        rows.append(" ".join(w))
+        for changes in (2, 5, 6, 7):
+            near = list(w)
+            for _ in range(changes if g % 3 else changes // 3):
+                near[draw.randrange(len(near))] = word()
+            rows.append("  ".join(near).upper())
+        rows.append(" ".join(sorted(w)))
+    rows += ["", None, "one", "ONE ", "one two"]
+    want = similar_classes(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+
+
 def test_components_of_chains_loops_and_nothing(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 9), (7, 8), (8, 7), (100, 50), (50, 25), (None, 3)] + [(i, i + 1) for i in range(200, 260)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
