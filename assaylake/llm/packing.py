@@ -44,7 +44,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Ids of pre-tokens as bytes, by a byte-level BPE file of the tokenizers library; each pre-token is merged once.
 
-    Strings of special tokens inside a text are ordinary text.
+    ``encode_text`` gives the file's added tokens, as ``<|endoftext|>``, their own ids; to ``encode`` all is ordinary text.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -54,7 +54,13 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model, self.letters = Tokenizer.from_file(path).model, _byte_letters()
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        added = {token.content: (i, token) for i, token in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take in or need what stands beside them are not supported")
+        self.added = {content: np.array([i], dtype="<u4").tobytes() for content, (i, _) in added.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
         self.split = regex.compile(PATTERN).findall
         self.fast = _FAST.findall
 
@@ -79,6 +85,14 @@ class WordEncoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
 
 
+    def encode_text(self, text: str) -> np.ndarray:
+        """The ids that the library gives a text: added tokens first, what lies between them by words."""
+        parts = self.parts(text) if self.parts else [text]
+        if len(parts) == 1:
+            return self.encode(text)
+        return np.frombuffer(b"".join(self.added[p] if i % 2 else self.encode(p).tobytes() for i, p in enumerate(parts)), dtype="<u4")
+
+
 def default_tokenizer() -> str:
     from public_tokenizers import path
 
@@ -99,7 +113,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encoder.encode(text or ""), end])
+                ids = np.concatenate([encoder.encode_text(text or ""), end])
                 for start in range(0, len(ids), sequence_tokens):
                     piece = ids[start : start + sequence_tokens]
                     data = piece.tobytes()

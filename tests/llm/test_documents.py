@@ -268,6 +268,19 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert packing.WordEncoder.of(path).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "one  <|endoftext|>two's <|endoftext", "x"]
+    pieces = packing.cut_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for p in pieces:
+        ids = [*whole.encode(texts[p.doc_id], add_special_tokens=False).ids, packing.END_ID]
+        assert packing._ids(p.ids).tolist() == ids and p.doc_tokens == len(ids)
+    assert 50256 in packing._ids(next(p.ids for p in pieces if p.doc_id == 0))
+
+
 def test_language_models_tell_and_reject(docs, corpus, clashing, nothing):
     models = language.fit(docs)
     found = language.identify(clashing, models)
