@@ -51,11 +51,15 @@ def tokens(text: str | None) -> list[bytes]:
 
 def _zip(array: np.ndarray) -> bytes:
     """Bytes of an array, its bytes of equal rank together, compressed."""
+    if not len(array):
+        return b""
     planes = np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unzip(data: bytes, kind: str) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=kind)
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)

@@ -386,6 +386,24 @@ def test_language_model_of_nothing(nothing, docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.held_out for r in none)
 
 
+def test_language_model_of_more_shards_than_words(docs, corpus, spark, monkeypatch):
+    learn = crc_mod("doc_id", 10) != 0
+    few = {str(r.doc_id): r for r in ngram_lm.score_texts(docs, learn).collect()}
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 200)
+    many = ngram_lm.score_texts(docs, learn).collect()
+    assert len(many) == len(corpus)
+    for r in many:
+        one = few[str(r.doc_id)]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (one.n_tokens, one.n_known, one.train_tokens)
+        assert r.base_score == pytest.approx(one.base_score) and abs(r.score - one.score) <= 0.06 * r.n_tokens
+
+
+def test_language_model_of_empty_texts(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else " ") for i in range(6)], "doc_id long, text string").coalesce(1)
+    found = ngram_lm.score_texts(rows, F.lit(True)).collect()
+    assert len(found) == 6 and all((r.n_tokens, r.n_known, r.train_tokens) == (1, 1, 6) for r in found)
+
+
 @pytest.mark.parametrize(("n", "universe"), [(0, 1), (1, 1), (1, 1 << 45), (500, 500), (700, 1 << 20), (5000, 1 << 50)])
 def test_elias_fano_access_and_successor(n, universe, tmp_path):
     draw = np.random.default_rng(n)
