@@ -2,7 +2,7 @@
 
 Training and scoring take one round trip. Documents are read in blocks. A block sends every shard one message:
 its distinct words, pairs and triples there with their training counts. The shard adds up the messages of all
-blocks, builds the trie of the pairs and triples that occur at least twice, maps its levels into memory, looks
+blocks, builds the trie of the pairs and triples that occur often enough (once, if all are asked for), maps its levels into memory, looks
 up every n-gram of the messages, and answers with exact word counts and quantised probabilities. The block then
 scores its documents from the answers. So the model grows with the corpus, no node ever holds all of it, and what
 moves is the distinct n-grams of blocks.
@@ -11,8 +11,8 @@ A pair lies in the shard of its first word together with its followers; the pair
 beforehand from exact counts, are spread by their second word.
 
 Smoothing is by interpolated absolute discounts: p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1));
-p2(w|v) = (c(vw) - D) / c(v) + b(v) p1(w); p3(w|uv) = (c(uvw) - D) / c(uv) + b(uv) p2(w|v). Only pairs and triples
-with a count of at least two are kept; b is what the kept ones leave of their context's probability. Before the
+p2(w|v) = (c(vw) - D) / c(v) + b(v) p1(w); p3(w|uv) = (c(uvw) - D) / c(uv) + b(uv) p2(w|v). D is smaller for
+a count of one than for others; b is what the kept pairs and triples leave of their context's probability. Before the
 first word of a text stands the end of the one before.
 """
 
@@ -34,8 +34,10 @@ from assaylake.llm.elias_fano import NgramTrie, dequantise, quantise
 
 #: Tokens of a block, about, and tokens of the corpus for each shard, about.
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_000_000
+#: The least count of the pairs and triples that are kept, unless told otherwise.
 LEAST_COUNT = 2
-DISCOUNT = 1.3
+#: What is taken off counts above one, and off a count of one.
+DISCOUNT, DISCOUNT_OF_ONE = 1.3, 0.7
 ADD = 0.1
 END_HASH = xxhash.xxh64_intdigest(b"\n")
 #: A word is frequent if its training count is over N / (FREQUENT * shards).
@@ -241,7 +243,11 @@ _ANSWER = ("word_counts", "word_backs", "pairs", "backs", "triples")
 _ANSWER_DDL = "block long, shard int, vocabulary long, masses binary, " + ", ".join(f"{n} binary" for n in _ANSWER)
 
 
-def _answer(messages: list[dict], frequent: dict[int, int], shard: int) -> Iterator[dict]:
+def _discounted(counts: np.ndarray) -> np.ndarray:
+    return counts - np.where(counts == 1, DISCOUNT_OF_ONE, DISCOUNT)
+
+
+def _answer(messages: list[dict], frequent: dict[int, int], shard: int, least_count: int) -> Iterator[dict]:
     """Build the trie of a shard from the messages of all blocks, and answer each of them from it."""
     words = [np.frombuffer(m["words"], dtype="<u8") for m in messages]
     names, word_at, counts = _add_up(np.concatenate(words), np.concatenate([_unzip(m["word_counts"], "<u4") for m in messages]))
@@ -261,14 +267,14 @@ def _answer(messages: list[dict], frequent: dict[int, int], shard: int) -> Itera
     totals = np.concatenate([counts, np.array(list(frequent.values()), dtype=np.int64)])
     codes, pick = np.unique(codes, return_index=True)
     context = totals[pick]
-    kept = np.flatnonzero(pair_counts >= LEAST_COUNT)
+    kept = np.flatnonzero(pair_counts >= least_count)
     heads = np.searchsorted(codes, pairs[kept] >> _U(32))
     c1 = np.maximum(context[np.minimum(heads, len(codes) - 1)], pair_counts[kept])
     new_place = np.full(len(pairs), -1, dtype=np.int64)
     new_place[kept] = np.arange(len(kept))
-    kept3 = np.flatnonzero(triple_counts >= LEAST_COUNT)
+    kept3 = np.flatnonzero(triple_counts >= least_count)
     parent3 = new_place[(triples[kept3] >> _U(32)).astype(np.int64)]
-    c2, c3 = pair_counts[kept] - DISCOUNT, triple_counts[kept3] - DISCOUNT
+    c2, c3 = _discounted(pair_counts[kept]), _discounted(triple_counts[kept3])
     back = 1 - np.bincount(parent3, weights=c3, minlength=len(kept)) / np.maximum(pair_counts[kept], 1)
     trie = NgramTrie.build(pairs[kept], c2 / c1, np.maximum(back, 1e-9), (parent3.astype(_U) << _U(32)) | (triples[kept3] & _U(0xFFFFFFFF)), c3 / pair_counts[kept][parent3])
     mass = np.bincount(heads, weights=c2, minlength=len(codes))
@@ -323,9 +329,10 @@ def _score(row: dict, answers: list[dict], frequent: dict[int, float], shards: i
     return {"doc_id": row["doc_ids"], "held_out": (np.frombuffer(row["held"], dtype=np.uint8) > 0).tolist(), "n_tokens": (np.frombuffer(row["sizes"], dtype="<u4").astype(np.int64) + 1).tolist(), "n_known": total((c > 0).astype(np.int64)).tolist(), "train_tokens": [n_train] * len(starts), "base_score": total(np.log10(p1)).tolist(), "score": total(np.log10(p3)).tolist()}
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", least_count: int = LEAST_COUNT) -> DataFrame:
     """Train on the rows for which ``learn`` holds, and score all rows.
 
+    :param least_count: pairs and triples that occur less often in training are left out; 1 keeps all.
     :return: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``
         (log10 probabilities).
 
@@ -380,11 +387,11 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             for i in range(batch.num_rows):
                 message = batch.slice(i, 1).to_pylist()[0]
                 if waiting and waiting[0]["shard"] != message["shard"]:
-                    yield pa.RecordBatch.from_pylist(list(_answer(waiting, hot.value, waiting[0]["shard"])), schema=schema)
+                    yield pa.RecordBatch.from_pylist(list(_answer(waiting, hot.value, waiting[0]["shard"], least_count)), schema=schema)
                     waiting.clear()
                 waiting.append(message)
         if waiting:
-            yield pa.RecordBatch.from_pylist(list(_answer(waiting, hot.value, waiting[0]["shard"])), schema=schema)
+            yield pa.RecordBatch.from_pylist(list(_answer(waiting, hot.value, waiting[0]["shard"], least_count)), schema=schema)
 
     asked = blocks.select("block", "doc_ids", "held", "sizes", "ranks", "words", "counts").mapInArrow(ask, _MESSAGE_DDL)
     answers = bucketed(asked.repartition(parts, "shard").sortWithinPartitions("shard", "block").mapInArrow(answer, _ANSWER_DDL), "block", parts)

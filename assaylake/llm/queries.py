@@ -35,7 +35,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_texts(table(spark, sf_dir, "documents"), learn=crc_mod("doc_id", 10) != 0)
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"), learn=crc_mod("doc_id", 10) != 0, least_count=1)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assaylake.llm import elias_fano, language, mixing, ngram_lm, order_minhash, packing, simhash, toxicity
+from assaylake.llm import elias_fano, language, mixing, ngram_lm, order_minhash, packing, queries, simhash, toxicity
 from assaylake.llm._common import crc_mod
 from assaylake.llm.components import components
 
@@ -380,6 +380,35 @@ def test_language_model_scores_equal_brute_force(docs, corpus, monkeypatch):
         assert abs(r.score - score) <= 0.06 * len(w)
 
 
+def test_language_model_keeps_what_occurs_once(spark, tmp_path):
+    """A held-out copy of a text of one training document is scored by its pairs and triples."""
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(200) if not zlib.crc32(str(i).encode()) % 10)
+    rows = [(i, " ".join(f"w{(i * 37 + k * (i + 1)) % 101}" for k in range(30))) for i in learnt[:8]]
+    spark.createDataFrame([*rows, (held, rows[0][1])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_ngram_lm(spark, str(tmp_path)).collect()}[held]
+    train = [[*words(t), b"\n"] for _, t in rows]
+    unigrams, pairs, triples = Counter(w for t in train for w in t), Counter(), Counter()
+    for t in train:
+        pairs.update(zip([b"\n", *t], t, strict=False))
+        triples.update(zip([b"\n", *t], t, t[1:], strict=False))
+    off = lambda c: c - (0.7 if c == 1 else 1.3) if c else 0
+    mass2, mass3 = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        mass2[a] += off(c)
+    for (a, b, _), c in triples.items():
+        mass3[a, b] += off(c)
+    n, v, s, score = sum(unigrams.values()), len(unigrams), [b"\n", *train[0]], 0.0
+    for k in range(1, len(s)):
+        u, x = s[k - 1], s[k]
+        p = off(pairs[u, x]) / unigrams[u] + (1 - mass2[u] / unigrams[u]) * (unigrams[x] + 0.1) / (n + 0.1 * (v + 1))
+        if k > 1:
+            c = pairs[s[k - 2], u]
+            p = off(triples[s[k - 2], u, x]) / c + (1 - mass3[s[k - 2], u] / c) * p
+        score += math.log10(p)
+    assert got.held_out and abs(got.score - score) <= 0.06 * len(train[0])
+
+
 def test_language_model_of_nothing(nothing, docs):
     assert ngram_lm.score_texts(nothing, F.lit(True)).count() == 0
     none = ngram_lm.score_texts(docs, F.lit(False)).collect()
