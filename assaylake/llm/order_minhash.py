@@ -1,12 +1,15 @@
 """Order MinHash fingerprints of texts, in DataFrame functions alone.
 
 The tokens of a text are its words, cut at eight characters; its k-mers are pairs of neighbouring tokens, each
-numbered by how often the pair has occurred before. A single hash of (k-mer, number) deals the k-mers into bins;
-in each bin the two with the least hashes are selected, put back into the order of the text, and hashed as a
-tuple. Two texts agree in a bin if they select the same k-mers there in the same order, so the share of
-agreeing bins falls both with replaced and with reordered passages, as an edit distance does.
-
-Hashes and positions travel packed in one long (40 bits of hash, 24 bits of position), which sorts fast.
+numbered by how often the pair has occurred before. A hash of (k-mer, number) puts the k-mers on a circle; 64
+slots begin at equal distances on it. Each slot selects the two k-mers that follow its begin, which are the least
+ones of a hash counted from there, puts them back into the order of the text, and hashes them as a tuple. A short text leaves arcs
+between slots empty; such a slot goes on to the next k-mers, so every tuple has its two k-mers, and an order, at
+every length. Two texts agree in a slot if they select the same k-mers there in the same order, so the share of
+agreeing slots falls both with replaced and with reordered passages, as an edit distance does.
+
+Hashes and positions travel packed in one long (33 bits of hash, 31 bits of position, more than a text has), which
+sorts fast. Hashes that fall together in 33 bits only number two k-mers as one.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm._common import partitions
+from assaylake.llm._common import partitions, unused
 
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
-BIN_BITS = 6
-POSITION_BITS = 24
+SLOT_BITS = 6
+SLOTS = 1 << SLOT_BITS
+POSITION_BITS = 31
 HASH_DIGITS = 4
 #: Ranges of the id for each shuffle partition.
 RANGES_PER_PARTITION = 2
@@ -33,15 +37,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _packed(hashed: Column, position: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(F.least(position.cast("long"), F.lit(_POSITIONS)))
+    return hashed.bitwiseAND(F.lit(~_POSITIONS)).bitwiseOR(position.cast("long"))
 
 
 def _hash_part(packed: Column) -> Column:
     return F.shiftright(packed, POSITION_BITS)
 
 
-def _bin(packed: Column) -> Column:
-    return F.shiftrightunsigned(packed, 64 - BIN_BITS)
+def _arc(packed: Column) -> Column:
+    """The arc between two slots on which a k-mer lies, from 0 in the order of signed numbers."""
+    return (F.shiftright(packed, 64 - SLOT_BITS) + SLOTS // 2).cast("int")
 
 
 def _kmers(tokens: Column) -> Column:
@@ -67,76 +72,93 @@ def _numbered(kmers: Column) -> Column:
     return F.sort_array(_let(F.sort_array(kmers), runs))
 
 
-def _bins(numbered: Column) -> Column:
-    """For each bin that is not empty: its number and the hash of its tuple, as one int."""
+def _slots(numbered: Column) -> Column:
+    """The hash of the tuple of each slot, from k-mers in the order of the circle; empty without a k-mer."""
+
+    def select(rows: Column) -> Column:
+        n = F.size(rows)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | (_arc(F.get(rows, j)) != _arc(F.get(rows, j - 1))))
+
+        def hashed(j: Column) -> Column:
+            def of(pair: Column) -> Column:
+                x, y = pair["x"], pair["y"]
+                swap = y.bitwiseAND(F.lit(_POSITIONS)) < x.bitwiseAND(F.lit(_POSITIONS))
+                tuple_hash = F.when(swap, F.xxhash64(_hash_part(y), _hash_part(x))).otherwise(F.xxhash64(_hash_part(x), _hash_part(y)))
+                return tuple_hash.bitwiseAND(F.lit((1 << 4 * HASH_DIGITS) - 1)).cast("int")
 
-    def entries(rows: Column) -> Column:
-        first = F.filter(F.transform(rows, lambda x, j: F.struct(x.alias("x"), F.get(rows, j + 1).alias("y"), ((j == 0) | (_bin(x) != _bin(F.get(rows, j - 1)))).alias("first"))), lambda e: e["first"])
+            return _let(F.struct(F.get(rows, j).alias("x"), F.when(n > 1, F.get(rows, (j + 1) % n)).alias("y")), of)
 
-        def entry(e: Column) -> Column:
-            x, y = e["x"], e["y"]
-            second = F.when(y.isNotNull() & (_bin(x) == _bin(y)), y)
-            swap = second.isNotNull() & (second.bitwiseAND(F.lit(_POSITIONS)) < x.bitwiseAND(F.lit(_POSITIONS)))
-            hashed = F.when(swap, F.xxhash64(_hash_part(second), _hash_part(x))).otherwise(F.xxhash64(_hash_part(x), _hash_part(second)))
-            return F.shiftleft(_bin(x), 4 * HASH_DIGITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 4 * HASH_DIGITS) - 1))).cast("int")
+        def spread(found: Column) -> Column:
+            """Every slot up to that of a first k-mer's arc takes what begins there; those after the last go round."""
+            filled = F.transform(found, lambda e, i: F.array_repeat(e["hash"], e["arc"] - F.coalesce(F.get(found, i - 1)["arc"], F.lit(-1))))
+            return F.slice(F.concat(F.flatten(filled), F.array_repeat(F.get(found, F.lit(0))["hash"], SLOTS)), 1, SLOTS)
 
-        return F.transform(first, entry)
+        return _let(F.transform(firsts, lambda j: F.struct(_arc(F.get(rows, j)).alias("arc"), hashed(j).alias("hash"))), spread)
 
-    return _let(numbered, entries)
+    return _let(numbered, lambda rows: F.when(F.size(rows) > 0, select(rows)).otherwise(F.array().cast("array<int>")))
 
 
 def signature(text: Column) -> Column:
-    """The signature of a text: an int for each bin that holds a k-mer, in order; empty for a text without a word."""
+    """The signature of a text: an int for each slot, in order; empty for a text without a word."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return _bins(_numbered(F.when(F.size(tokens) > 0, _let(tokens, _kmers)).otherwise(F.array().cast("array<bigint>"))))
+    return _slots(_numbered(F.when(F.size(tokens) > 0, _let(tokens, _kmers)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def fingerprint(sig: Column) -> Column:
-    """A signature as text: for each bin two hex digits of its number and four of its tuple."""
-    return F.array_join(F.transform(sig, lambda e: F.lower(F.lpad(F.hex(e), 2 + HASH_DIGITS, "0"))), "")
+    """A signature as text: four hex digits for each slot."""
+    return F.array_join(F.transform(sig, lambda e: F.lower(F.lpad(F.hex(e), HASH_DIGITS, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the bins of either signature in which both agree, 0 to 1; two empty signatures are alike."""
-    bins = F.size(F.array_union(F.transform(a, lambda e: F.shiftright(e, 4 * HASH_DIGITS)), F.transform(b, lambda e: F.shiftright(e, 4 * HASH_DIGITS))))
-    return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(bins, F.lit(1)))
+    """The share of the slots in which two signatures agree, 0 to 1; two empty signatures are alike."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(same / SLOTS)
 
 
-def _place(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` lie below ``key``: a search over the roots of blocks, then inside a block."""
+def _place(key: Column, tie: Column, bounds: list[int]) -> Column:
+    """The range of (key, tie) among sorted ``bounds``, found by the roots of blocks, then inside a block. A key that is a bound
+    r times has r ranges, over which its rows are spread in the order of their ties."""
     step = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     if not blocks:
         return F.lit(0)
     roots = F.array(*(F.lit(b[-1]) for b in blocks))
     table = F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks))
-    return _let(F.size(F.filter(roots, lambda b: b < key)), lambda k: F.least(k * step, F.lit(len(bounds))) + F.coalesce(F.size(F.filter(F.get(table, k), lambda b: b < key)), F.lit(0)))
+    below = _let(F.size(F.filter(roots, lambda b: b < key)), lambda k: F.least(k * step, F.lit(len(bounds))) + F.coalesce(F.size(F.filter(F.get(table, k), lambda b: b < key)), F.lit(0)))
+    often = {b: bounds.count(b) for b in {x for x, y in zip(bounds, bounds[1:], strict=False) if x == y}}
+    if not often:
+        return below
+    times = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in often.items() for x in kv)), key), F.lit(1))
+    share = F.shiftrightunsigned(F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 32) * times, 32)
+    return below + share.cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str, tie_col: str, derived: dict[str, Column]) -> DataFrame:
     """``docs`` and ``derived`` columns, with ``next_<column>`` of all of them but the id from the next row by ascending
     id (ties by the hash of ``tie_col``); the first row follows the last. A null id comes first.
 
-    The rows are dealt into ranges of the id by its quantiles; the first row of each range also goes, as a
-    sentinel, to the end of the range before it. So one shuffle of the rows is enough and no range is large.
+    The rows are dealt into ranges of the id by its quantiles, an id of many rows into several by the hash; the first row
+    of each range also goes, as a sentinel, to the end of the range before it. So one shuffle of the rows is enough and
+    only rows that are equal throughout stay together.
     """
     ranges = RANGES_PER_PARTITION * partitions(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    own = unused(docs, "led_")
+    key, tie, place, sentinel, first, to = (f"{own}{n}" for n in ("key", "tie", "range", "sentinel", "first", "to"))
+    id_value = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     fractions = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(key, fractions, 10_000 if ranges < 1000 else 10 * ranges)).first()[0]
-    bounds = sorted(set(found or []))
-    placed = docs.withColumn("next_key", key)
-    placed = placed.withColumn("next_range", _place(F.col("next_key"), bounds).cast("int"))
-    order = Window.orderBy("next_range")  # at most one row for each range
-    firsts = placed.groupBy("next_range").agg(F.min("next_key").alias("first_key"))
-    firsts = firsts.select("first_key", F.coalesce(F.lag("next_range").over(order), F.max("next_range").over(Window.partitionBy())).alias("to_range"))
-    sentinels = placed.join(F.broadcast(firsts), F.col("next_key") == F.col("first_key")).withColumn("next_range", F.col("to_range")).drop("first_key", "to_range")
-    both = placed.withColumn("next_sentinel", F.lit(False)).union(sentinels.withColumn("next_sentinel", F.lit(True)))
-    within = Window.partitionBy("next_range").orderBy("next_sentinel", "next_key", "next_tie")
-    both = both.withColumn("next_tie", F.xxhash64(tie_col)).withColumns(derived)
+    found = docs.agg(F.percentile_approx(id_value, fractions, 10_000 if ranges < 1000 else 10 * ranges)).first()[0]
+    placed = docs.withColumns({key: id_value, tie: F.xxhash64(tie_col)}).withColumn(place, _place(F.col(key), F.col(tie), sorted(found or [])).cast("int"))
+    rank = F.col(key).cast("decimal(38,0)") * F.lit(1 << 48) + F.shiftright(F.col(tie), 16).cast("decimal(38,0)")  # (id, 48 bits of the hash) as one number
+    order = Window.orderBy(place)  # at most one row for each range
+    firsts = placed.groupBy(place).agg(F.min(rank).alias(first))
+    firsts = firsts.select(first, F.coalesce(F.lag(place).over(order), F.max(place).over(Window.partitionBy())).alias(to))
+    sentinels = placed.join(F.broadcast(firsts), rank == F.col(first)).dropDuplicates([to]).withColumn(place, F.col(to)).drop(first, to)
+    both = placed.withColumn(sentinel, F.lit(False)).union(sentinels.withColumn(sentinel, F.lit(True)))
+    within = Window.partitionBy(place).orderBy(sentinel, key, tie)
+    both = both.withColumns(derived)
     columns = [c for c in (*docs.columns, *derived) if c != id_col]
     led = both.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in columns))
-    return led.where(~F.col("next_sentinel")).drop("next_key", "next_range", "next_sentinel", "next_tie")
+    return led.where(~F.col(sentinel)).drop(key, tie, place, sentinel)
 
 
 def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

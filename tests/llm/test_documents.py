@@ -247,6 +247,26 @@ def test_packing_covers_every_id_once(docs, corpus):
         assert at <= 64 and (at == 64 or at & (at - 1) == 0)
 
 
+def test_packing_does_not_depend_on_partitions_and_keeps_to_its_columns(docs, clashing):
+    rows = sorted(map(tuple, packing.pack(docs, sequence_tokens=64).collect()), key=str)
+    assert rows == sorted(map(tuple, packing.pack(clashing.repartition(7), sequence_tokens=64).collect()), key=str)
+
+
+def test_word_encoder_forgets_by_bytes_and_stays_right(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, draw = Tokenizer.from_file(path), random.Random(5)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 8000)
+    monkeypatch.setattr(packing, "LONG_CHARS", 1000)
+    encoder = packing.WordEncoder(path)
+    for n in (50, 400, 60):
+        text = " ".join(str(draw.randrange(10**6)) + "abc"[draw.randrange(3)] for _ in range(n))
+        assert encoder.encode_text(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder) + len(encoder.older) <= 8000 // packing.ENTRY_BYTES + 1
+
+
 def test_pack_window_balances_cost():
     placed = packing.pack_window([100] * 20 + [40] * 20, 200)
     assert sum(t for _, _, t, _, _ in placed) == 2800
@@ -453,24 +473,76 @@ def test_quantised_probabilities_round_down():
 
 
 def plain_signature(text):
+    """Slot by slot: the two k-mers that come first from the begin of the slot on."""
     tokens = re.findall(r"[^\x20\x09-\x0D]{1,8}", text or "")
-    grams = [tuple(tokens[i : i + 2]) for i in range(max(1, len(tokens) - 1))] if tokens else []
-    return grams
+    seen: Counter = Counter()
+    kmers = []
+    for at in range(max(1, len(tokens) - 1) if tokens else 0):
+        h = 42
+        for token in tokens[at : at + 2]:
+            h = xxhash.xxh64_intdigest(token.encode(), h)
+        h -= (h >> 63) << 64
+        part = (h >> 31).to_bytes(8, "little", signed=True)
+        numbered = xxhash.xxh64_intdigest(seen[part].to_bytes(4, "little"), xxhash.xxh64_intdigest(part, 42))
+        seen[part] += 1
+        kmers.append(((numbered - ((numbered >> 63) << 64)) >> 31, at))
+    out = []
+    for slot in range(64 if kmers else 0):
+        begin = (slot - 32) << 27
+        chosen = sorted(kmers, key=lambda k: ((k[0] - begin) % (1 << 33), k[1]))[:2]
+        h = 42
+        for value, _ in sorted(chosen, key=lambda k: k[1]):
+            h = xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), h)
+        out.append(h & 0xFFFF)
+    return out
+
+
+def signatures(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", order_minhash.signature(F.col("text")).alias("s"))
+    return [r.s for r in sorted(rows.collect())]
 
 
-def test_order_minhash_follows_order_and_edits(spark):
-    base = [f"w{i}" for i in range(400)]
-    texts = [" ".join(base), " ".join(base[:300] + [f"v{i}" for i in range(100)]), " ".join(base[200:] + base[:200]), " ".join(f"u{i}" for i in range(400)), "", None, "one", "one one one one", "one one"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", order_minhash.signature(F.col("text")).alias("s"))
-    s = {r.doc_id: r.s for r in rows.collect()}
-    assert s[4] == s[5] == [] and len(s[6]) == 1 and s[7] != s[8]
+def alike(a, b):
+    return sum(x == y for x, y in zip(a, b, strict=True)) / 64
+
+
+def test_order_minhash_equals_brute_force(spark, corpus):
+    texts = [r[1] for r in corpus if len(r[1] or "") < 1000] + ["one", "one one", "one one one one one", "a b a b a b", "länger 😀 als acht"]
+    assert signatures(spark, texts) == [plain_signature(t) for t in texts]
 
-    def like(a, b):
-        bins = {x >> 16 for x in s[a]} | {x >> 16 for x in s[b]}
-        return len(set(s[a]) & set(s[b])) / len(bins)
 
-    assert like(0, 1) > 0.2 > 0.05 > like(0, 3)
-    assert like(0, 2) < 0.8  # the same words in another order are not the same text
+@pytest.mark.parametrize("n", [20, 40, 80, 400])
+def test_order_minhash_keeps_order_at_every_length(spark, n):
+    draw = random.Random(n)
+    texts = [[f"w{draw.randrange(10**6)}" for _ in range(n)] for _ in range(60)]
+    swapped = [t[n // 2 :] + t[: n // 2] for t in texts]
+    changed = [[*t[:-1], "other"] for t in texts]
+    found = signatures(spark, [" ".join(t) for t in texts + swapped + changed])
+    assert 0.35 < np.mean([alike(a, b) for a, b in zip(found[:60], found[60:120], strict=True)]) < 0.6
+    assert np.mean([alike(a, b) for a, b in zip(found[:60], found[120:], strict=True)]) > 1 - 5 / n  # a change takes a k-mer of two and gives one
+    assert np.mean([alike(a, b) for a, b in zip(found[:59], found[1:60], strict=True)]) < 0.05
+
+
+def test_order_minhash_follows_order_and_edits(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base[:300] + [f"v{i}" for i in range(100)]), " ".join(f"u{i}" for i in range(400)), "", None, "one one one one", "one one"]
+    s = signatures(spark, texts)
+    assert s[3] == s[4] == [] and s[5] != s[6]
+    assert alike(s[0], s[1]) > 0.2 > 0.05 > alike(s[0], s[2])
+
+
+def test_rows_of_one_id_are_dealt_over_many_ranges(spark):
+    rows = spark.createDataFrame([(i if i % 3 else None, f"text {i}") for i in range(600)], "doc_id long, text string").withColumn("led_key", F.lit(1))
+    plain = order_minhash.with_next(rows, "doc_id", "text", {"size": F.length("text")})
+    found = plain.select("doc_id", "text", "next_text", "next_led_key", "next_size", F.spark_partition_id().alias("p")).collect()
+    following = {r.text: r.next_text for r in found}
+    assert len(found) == len(following) == 600 and all(r.next_led_key == 1 and r.next_size == len(r.next_text) for r in found)
+    assert len({r.p for r in found if r.doc_id is None}) > 1
+    walk, at = [], "text 1"
+    for _ in range(600):
+        walk.append(int(at.split()[1]))
+        at = following[at]
+    assert at == "text 1" and [i for i in walk if i % 3] == [i for i in range(600) if i % 3] and all(i % 3 == 0 for i in walk[400:])
 
 
 def test_order_minhash_edits_with_the_next_document(docs, corpus, nothing, spark):
