@@ -21,7 +21,7 @@ LAST_MONTHS = 3
 
 @dataclass(frozen=True)
 class Books:
-    """The relations of the books; ``fx_rates`` and ``budget`` hold for all businesses."""
+    """The relations of the books; ``fx_rates`` hold for all businesses, and so does a ``budget`` without ``business_id``."""
 
     business: DataFrame
     transactions: DataFrame
@@ -34,7 +34,7 @@ class Books:
 def in_base(books: Books, rows: DataFrame, *amounts: str) -> DataFrame:
     """The rows with each amount in the base currency; a currency without a rate in the books raises."""
     rates = books.fx_rates.withColumnRenamed("currency", "rate_currency")
-    joined = rows.join(F.broadcast(rates), F.col("currency") == F.col("rate_currency"), "left").drop("rate_currency")  # one row for each currency of the books
+    joined = rows.join(rates, F.col("currency") == F.col("rate_currency"), "left").drop("rate_currency")
     rate = F.coalesce("rate", F.raise_error(F.concat(F.lit("no rate for "), F.col("currency"))).cast("decimal(12,6)"))
     return joined.withColumns({a: half_even(F.col(a) * rate).cast("decimal(18,2)") for a in amounts}).drop("rate")
 
@@ -172,7 +172,7 @@ def budget_variance(books: Books) -> DataFrame:
     by = Window.partitionBy(KEY, "category")
     ranked = spend.withColumn("r", F.row_number().over(by.orderBy(F.desc("month")))).withColumn("n", F.count("*").over(by)).where("r > 1 or n = 1")
     mean = ranked.groupBy(KEY, "category").agg((F.sum("spent").cast("decimal(24,2)") / F.count("*").cast("decimal(10,0)")).alias("mean"))
-    return mean.join(F.broadcast(books.budget), "category").select(KEY, "category", half_even(F.col("mean") - F.col("monthly_budget")).cast("decimal(24,2)").alias("value"))  # one row for each budgeted category
+    return mean.join(books.budget, [k for k in (KEY, "category") if k in books.budget.columns]).select(KEY, "category", half_even(F.col("mean") - F.col("monthly_budget")).cast("decimal(24,2)").alias("value"))
 
 
 def _concentration(books: Books, totals: DataFrame) -> DataFrame:

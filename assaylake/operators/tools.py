@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.numbers import cell_decimal
 
 TOOL_METRICS = (
     "tool_selection_accuracy", "tool_execution_success", "tool_result_utilization", "tool_security_rejection",
@@ -43,13 +44,6 @@ def result_used(outputs: Column, answer: Column) -> Column:
     return F.exists(outputs, lambda a: F.exists(answer, lambda b: F.abs(a - b) <= 0.02 * F.greatest(F.abs(a), F.lit(1.0))))
 
 
-def cell_decimal(cell: Column) -> Column:
-    """The number of a table cell: thousands separators, dollar signs and enclosing parentheses do not count."""
-    plain = F.trim(F.regexp_replace(cell, "[,$]", ""))
-    inner = F.when(plain.rlike(r"^\(.*\)$"), F.regexp_replace(plain, r"^\(+|\)+$", "")).otherwise(plain)
-    return F.when(inner.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), inner.try_cast("decimal(38,6)"))
-
-
 def csv_query(table: DataFrame, where: dict[str, str], aggregate: str, column: str, *by: str) -> DataFrame:
     """Count, sum, mean, min or max of a column over the rows whose cells contain all the wanted texts, whatever the case.
     Cells without a number are skipped, but rows are counted."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 from datetime import date
-from decimal import Decimal
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,20 +153,26 @@ def test_fusion_and_cosine(spark):
 
 
 @pytest.fixture(scope="module")
-def generated(spark):
-    rows = books.books(spark, spark.range(1, 41).withColumnRenamed("id", "seed")).cache()
-    yield rows, books.as_ledger(rows)
-    rows.unpersist()
+def generated(spark, tmp_path_factory):
+    """Books of 40 seeds, written once."""
+    made = books.books(spark.range(1, 41).withColumnRenamed("id", "seed"))
+    folder = tmp_path_factory.mktemp("books")
+    kept = {}
+    for f in dataclasses.fields(made):
+        getattr(made, f.name).write.parquet(str(folder / f.name))
+        kept[f.name] = spark.read.parquet(str(folder / f.name))
+    return books.Firm(**kept)
 
 
 def test_books_hold_their_identities(spark, generated):
-    rows, b = generated
+    b = generated
     cash = {r.business_id: r.value for r in ledger.cash_balance(b).collect()}
-    for seed in (1, 4, 17):
-        w = books.Writer(seed, many_currencies=seed % 4 == 0)
-        opening = next(r["amount"] for r in w.rows if r["kind"] == "business")
-        moved = sum((r["amount"] * Decimal(books.RATES[r["currency"]])).quantize(Decimal("0.01")) for r in w.rows if r["kind"] == "transaction" and r["day"] <= books.AS_OF)
-        assert cash[seed] == opening + moved
+    opening = {r.business_id: r.opening_balance for r in b.business.collect()}
+    moved: dict = {}
+    for t in b.transactions.collect():
+        if t.txn_date <= books.AS_OF:
+            moved[t.business_id] = moved.get(t.business_id, 0) + (t.amount * Decimal(books.RATES[t.currency])).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
+    assert cash == {k: opening[k] + moved[k] for k in opening}
     owed = {r.business_id: r for r in ledger.receivables(b).collect()}
     late = {r.business_id: r for r in ledger.overdue_receivables(b).collect()}
     runway = {r.business_id: r for r in ledger.cash_runway(b).collect()}
@@ -177,15 +184,26 @@ def test_books_hold_their_identities(spark, generated):
         assert 0 <= share[k].value <= 100
     quarter, half = ({r.business_id: r.value for r in ledger.scenario_collect(b, p).collect()} for p in (25, 50))
     assert all(cash[k] <= quarter[k] <= half[k] for k in cash)
-    assert ledger.missing_periods(b).count() == 0
-    assert rows.where("kind = 'transaction'").count() == rows.where("kind = 'transaction'").select("business_id", "id").distinct().count()
+    assert b.transactions.count() == b.transactions.select("business_id", "txn_id").distinct().count()
+    assert 0 < ledger.missing_periods(b).count() < 200 and ledger.duplicate_transactions(b).count() > 0
+    assert {r.currency for r in b.invoices.select("currency").distinct().collect()} > {"USD"} and b.invoices.where("currency <> 'USD' and business_id % 4 <> 0").count() == 0
+
+
+def test_books_are_drawn_by_seed_alone(spark, generated):
+    again = books.books(spark.createDataFrame([(k,) for k in (17, 3)], "seed long"))
+    for name in ("transactions", "invoices", "payables", "budget"):
+        some = getattr(generated, name).where("business_id in (3, 17)")
+        assert sorted(map(str, getattr(again, name).select(some.columns).collect())) == sorted(map(str, some.collect()))
 
 
 def test_books_render_and_hide_instructions(generated):
-    rows, _ = generated
-    grid = books.render(rows).where("business_id = 3").first().rows
-    assert grid[0][0] == "txn_id" and len(grid) == 1 + rows.where("kind = 'transaction' and business_id = 3").count() and [g[1] for g in grid[1:]] == sorted(g[1] for g in grid[1:])
-    hidden = books.inject(rows.where("kind = 'transaction'"), 3).where("description like '%1000000%'").select("place").distinct().collect()
+    tables = {t.table_id: t.rows for t in books.render(generated).where("business_id = 3").first().tables}
+    assert tuple(tables) == books.GRIDS and tables["fx_rates"][1] == ["EUR", "1.09"]
+    grid = tables["transactions"]
+    assert grid[0][0] == "txn_id" and len(grid) == 1 + generated.transactions.where("business_id = 3").count() and [g[1] for g in grid[1:]] == sorted(g[1] for g in grid[1:])
+    plain, raised = dict(map(tuple, tables["summary"])), dict(map(tuple, {t.table_id: t.rows for t in books.render(generated, True).where("business_id = 3").first().tables}["summary"]))
+    assert abs(Decimal(raised["Reported closing balance"]) - Decimal(plain["Reported closing balance"]) * Decimal("1.15")) <= Decimal("0.01")
+    hidden = books.inject(generated.transactions, 3).where("description like '%1000000%'").select("place").distinct().collect()
     assert [r.place for r in hidden] == [3]
 
 
