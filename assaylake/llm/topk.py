@@ -1,13 +1,10 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-Vectors lie in blocks. A block holds, for each component, its vectors sorted by that component. A query reads
-all lists of a block in step, each from the end that its own component's sign favours. Of every vector it knows
-the components read so far; what is unread is bounded by the list's last read value from above and by the
-list's end from below. Reading stops when all vectors outside the candidates have an upper bound below the k-th
-best lower bound, or below the k-th best score of earlier blocks; the candidates' final scores decide.
-
-The vectors of a block stand side by side, so that a step of reading is done for all lists at once: a component
-beyond the last value read of its list counts as that value, whatever it is.
+Vectors lie in blocks. A block holds, for each component, a list of its vectors sorted by that component. A query reads
+all lists of a block in step, in sequence from the end that its own component's sign favours. Of every vector it keeps the
+sum of the products read so far, which is all that it ever learns of it; what is unread is bounded by the list's last
+read value from above and by the list's end from below. When no vector outside the candidates has an upper bound that
+reaches the k-th best lower bound, reading goes on for the candidates alone, until their scores are complete.
 """
 
 from __future__ import annotations
@@ -19,15 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm._common import partitions, stash
+from assaylake.llm._common import partitions, slices, stash
 
-BLOCK_VECTORS = 4096
+#: Vectors of a block, about, and queries that travel together.
+BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 512
-#: Shares of the lists after which the bounds are looked at, with and without a score to beat.
-DEPTHS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-FIRST_DEPTHS = (0.75, 0.85, 1.0)
-#: With so few candidates left in a block, or fewer, their scores are resolved.
-RESOLVE_SHARE = 1 / 10
+#: Shares of the lists after which the bounds are looked at.
+DEPTHS = (0.5, 0.75, 0.9)
 
 
 def quantise(vector: str, scale: int = 256) -> Column:
@@ -38,7 +33,7 @@ def quantise(vector: str, scale: int = 256) -> Column:
 
 
 class Block:
-    """Distinct vectors of a block with their sorted lists.
+    """Distinct vectors of a block as sorted lists: ``names`` and ``values`` of each component from its least value on.
 
     Of the ids that share a vector only the k + 1 least can be among the k best of a query that is one of them.
     """
@@ -48,86 +43,78 @@ class Block:
         ids, values = ids[order], values[order]
         rows = np.ascontiguousarray(values).view(np.dtype((np.void, values.dtype.itemsize * max(1, values.shape[1])))).ravel() if values.shape[1] else np.zeros(len(ids), "V1")
         _, first, owner = np.unique(rows, return_index=True, return_inverse=True)
-        self.values = values[first]
         by_owner = np.argsort(owner, kind="stable")
         starts = np.searchsorted(owner[by_owner], np.arange(len(first)))
         counts = np.diff(np.append(starts, len(ids)))
         self.ids = [ids[by_owner[s : s + min(c, k + 1)]] for s, c in zip(starts, counts, strict=True)]
-        width = self.values.shape[1]
-        self.sorted = np.sort(self.values, axis=0)
-        # sums of products stay exact in 32-bit floats where they are small enough
-        largest = int(np.abs(self.values).max(initial=0))
-        self.exact = np.float32 if largest * largest * max(1, width) < 1 << 24 else np.float64
-        self.float = self.values.astype(self.exact)
-
-    def best(self, query: np.ndarray, query_id: int, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The k best (score, id) of the block but the query's own id; those below ``floor`` may be missing."""
-        n = len(self.values)
-        candidates = np.arange(n)
-        if query.any() and n > 4 * k:
-            kind = self.exact if int(np.abs(query).max()) * int(np.abs(self.values).max(initial=0)) * len(query) < 1 << 24 else np.float64
-            q = query.astype(kind)
-            down = query > 0  # such a list is read from its highest value on
-            ends = np.where(down, self.sorted[0], self.sorted[n - 1]).astype(kind)
-            for depth in DEPTHS if floor is not None else FIRST_DEPTHS:
-                to = int(np.ceil(n * depth))
-                last = np.where(down, self.sorted[n - to], self.sorted[to - 1]).astype(kind)
-                known = np.minimum(np.maximum(self.float, np.where(down, last, -np.inf).astype(kind)), np.where(down, np.inf, last).astype(kind))
-                upper = known @ q
-                bar = -np.inf if floor is None else float(floor)
-                if floor is None:
-                    lower = np.where(self.float == known, self.float, ends) @ q
-                    # one vector may be the query's own, so the bar is the (k + 1)-th best lower bound
-                    bar = float(np.partition(lower, n - k - 1)[n - k - 1])
-                candidates = np.flatnonzero(upper >= bar - 1e-6 * (1 + abs(bar)))
-                if len(candidates) <= max(2 * k, n * RESOLVE_SHARE):
-                    break
-        scores = self.values[candidates] @ query
-        keep = scores >= np.partition(scores, max(0, len(scores) - k - 1))[max(0, len(scores) - k - 1)] if len(scores) else np.zeros(0, bool)
-        found = [(-int(s), int(i)) for s, c in zip(scores[keep], candidates[keep], strict=True) for i in self.ids[c] if i != query_id]
-        return [(-s, i) for s, i in sorted(found)[:k]]
-
-
-_BLOB = "part int, ids binary, width int, data binary"
-
-
-def _blocks(rows: int, part_of: bool):
-    """Rows (id, vector) as blocks of ids and little-endian 64-bit components, padded to the widest with zeros."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() if part_of else 0
-        ids: list[int] = []
-        vectors: list[list[int]] = []
-
-        def flush() -> pa.RecordBatch:
-            width = max(map(len, vectors))
-            data = np.zeros((len(ids), width), dtype="<i8")
-            for i, v in enumerate(vectors):
-                data[i, : len(v)] = v
-            small = data.astype("<i2") if np.abs(data).max(initial=0) < 32_000 else data
-            out = pa.RecordBatch.from_pylist([{"part": part, "ids": np.array(ids, dtype="<i8").tobytes(), "width": width, "data": small.tobytes()}], schema=pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("data", pa.binary())]))
-            ids.clear()
-            vectors.clear()
-            return out
-
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == rows:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    return run
-
-
-def _decode(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        self.size, self.width = len(first), values.shape[1]
+        lists = np.ascontiguousarray(values[first].T)
+        self.names = np.argsort(lists, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(lists, self.names, axis=1)
+        self.largest = float(np.abs(lists).max(initial=0))
+
+    def _read(self, j: int, down: bool, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of list j from place ``start`` to ``stop``, counted from its highest value if ``down``."""
+        part = slice(self.size - stop, self.size - start) if down else slice(start, stop)
+        return self.names[j, part], self.values[j, part]
+
+    def best(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """The k best (score, id) of the block but the query's own id."""
+        n = self.size
+        lists = np.flatnonzero(query[: self.width])  # the others add nothing
+        weights = query[lists]
+        known = np.zeros(n, dtype=np.int64)
+        seen = np.zeros((n, len(lists)), dtype=bool)
+        ends = np.array([w * self._read(j, w > 0, n - 1, n)[1][0] for j, w in zip(lists, weights, strict=True)], dtype=float)
+        candidates, depth = np.arange(n), 0
+        for share in DEPTHS if n > 4 * k else ():
+            start, depth = depth, int(np.ceil(n * share))
+            last = np.zeros(len(lists))
+            for i, (j, w) in enumerate(zip(lists, weights, strict=True)):
+                names, found = self._read(j, w > 0, start, depth)
+                known[names] += found * w  # a vector stands once in a list
+                seen[names, i] = True
+                last[i] = w * found[0 if w > 0 else -1]
+            unread = (~seen).astype(float)
+            slack = 1e-9 * (1 + float(np.abs(weights).sum()) * self.largest)
+            # one vector may be the query's own, so the bar is the (k + 1)-th best lower bound
+            bar = np.partition(known + unread @ ends, n - k - 1)[n - k - 1]
+            candidates = np.flatnonzero(known + unread @ last >= bar - slack)
+            if len(candidates) <= max(4 * k, n // 20):
+                break
+        wanted = np.zeros(n, dtype=bool)
+        wanted[candidates] = True
+        for j, w in zip(lists, weights, strict=True):
+            names, found = self._read(j, w > 0, depth, n)
+            some = wanted[names]
+            known[names[some]] += found[some] * w
+        scores = known[candidates]
+        most = max(0, len(scores) - k - 1)
+        keep = scores >= np.partition(scores, most)[most] if len(scores) else np.zeros(0, bool)
+        told = [(-int(s), int(i)) for s, c in zip(scores[keep], candidates[keep], strict=True) for i in self.ids[c] if i != query_id]
+        return [(-s, i) for s, i in sorted(told)[:k]]
+
+
+def _matrix(vectors: list[list[int]]) -> np.ndarray:
+    """Vectors side by side, shorter ones padded with zeros."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), dtype="<i8")
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
+def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) as blocks of ids and components, in 16 bits where they fit."""
+    schema = pa.schema([("q_ids", pa.binary()), ("q_bytes", pa.int32()), ("q_data", pa.binary())])
+    for batch in slices(batches, BLOCK_QUERIES):
+        data = _matrix(batch.column(1).to_pylist())
+        kind = "<i2" if np.abs(data).max(initial=0) < 32_000 else "<i8"
+        yield pa.RecordBatch.from_pylist([{"q_ids": np.array(batch.column(0).to_pylist(), dtype="<i8").tobytes(), "q_bytes": int(kind[2]), "q_data": data.astype(kind).tobytes()}], schema=schema)
+
+
+def _queries(ids: bytes, size: int, data: bytes) -> tuple[list[int], np.ndarray]:
     names = np.frombuffer(ids, dtype="<i8")
-    kind = "<i2" if len(data) == 2 * len(names) * width else "<i8"
-    return names, np.frombuffer(data, dtype=kind).reshape(len(names), width).astype(np.int64)
+    return names.tolist(), np.frombuffer(data, dtype=f"<i{size}").reshape(len(names), -1).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -139,39 +126,42 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     Rows whose id or vector is null, or whose vector holds a null or a number that is not finite, take no part.
     A shorter vector counts as padded with zeros. Rows that repeat an id count once for each different vector;
     a query excludes every row of its own id. With fewer than k others all are returned. An empty table gives
-    an empty result. Query blocks go to every block of vectors; no pair of rows is formed.
+    an empty result. Vectors are dealt into blocks once; blocks of queries go to each of them and are read as a stream.
     """
     parts = partitions(vectors.sparkSession)
-    rows = stash(vectors.select(F.col(id_col).cast("long").alias("id"), quantise(vector_col, scale).alias("v"), queries.alias("is_query")).where("id is not null and v is not null"))
-    data = rows.select("id", "v").repartition(parts, F.xxhash64("id")).mapInArrow(_blocks(BLOCK_VECTORS, True), _BLOB)
-    asked = rows.where("is_query").select("id", "v").repartition(max(1, parts // 8), F.xxhash64("id")).mapInArrow(_blocks(BLOCK_QUERIES, False), _BLOB)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("to_part"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    pairs = data.join(asked, F.col("part") == F.col("to_part")).select("ids", "width", "data", "q_ids", "q_width", "q_data", F.xxhash64("ids", "q_ids").alias("deal"))
+    read = vectors.select(F.col(id_col).cast("long").alias("id"), quantise(vector_col, scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("id is not null and v is not null")
+    rows = stash(read.groupBy("id", "v").agg(F.max("is_query").alias("is_query")))
+    blocks = max(1, -(-rows.count() // BLOCK_VECTORS))
+    empty = lambda kind: F.lit(None).cast(kind)
+    held = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v", empty("binary").alias("q_ids"), empty("int").alias("q_bytes"), empty("binary").alias("q_data"))
+    asked = rows.where("is_query").select("id", "v").mapInArrow(_query_blocks, "q_ids binary, q_bytes int, q_data binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.lit(1).alias("kind"), empty("long").alias("id"), empty("array<long>").alias("v"), "q_ids", "q_bytes", "q_data")
+    met = held.union(asked).repartition(max(parts, blocks), "part").sortWithinPartitions("part", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, Block | None] = (b"", None)
-        bars: dict[int, list[tuple[int, int]]] = {}
+        part: int | None = None
+        ids: list[int] = []
+        values: list[list[int]] = []
+        block: Block | None = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, values = _decode(row["ids"], row["width"], row["data"])
-                q_ids, q_values = _decode(row["q_ids"], row["q_width"], row["q_data"])
-                width = max(row["width"], row["q_width"])
-                values, q_values = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (values, q_values))
-                key = row["ids"] + width.to_bytes(4, "little")
-                if last[0] != key:
-                    last = (key, Block(ids, values, k))
-                out = []
-                for q_id, q in zip(q_ids.tolist(), q_values, strict=True):
-                    known = bars.setdefault(q_id, [])
-                    found = last[1].best(q, q_id, k, known[k - 1][0] if len(known) >= k else None)
-                    bars[q_id] = sorted({*known, *found}, key=lambda x: (-x[0], x[1]))[:k]
-                    out += [(q_id, i, s) for s, i in found]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.repartition(parts, "deal").select("ids", "width", "data", "q_ids", "q_width", "q_data").mapInArrow(run, "query_id long, vec_id long, score long").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for p, kind, i, v, q_ids, q_bytes, q_data in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if p != part:
+                    part, block = p, None
+                    ids.clear()
+                    values.clear()
+                if kind == 0:
+                    ids.append(i)
+                    values.append(v)
+                    continue
+                if block is None:
+                    block = Block(np.array(ids, dtype=np.int64), _matrix(values), k)
+                found = [(q, i, s) for q, vector in zip(*_queries(q_ids, q_bytes, q_data), strict=True) for s, i in block.best(vector, q, k)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
