@@ -28,14 +28,14 @@ from assaylake.llm.components import components
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
-#: The radius of candidates whose shingles are compared afterwards.
-WIDE_RADIUS = 7
 BLOCKS, BLOCK_BITS = 4, 16
 NODE_ROWS, GROUP_ROWS = 256, 16
 #: Shingles that at least ORDER_LEAST of one in ORDER_SHARE documents have are common; COMMON_SHINGLES of them at most.
 ORDER_SHARE, ORDER_LEAST, COMMON_SHINGLES = 8, 3, 50_000
 #: Members of a class under one shingle that are listed together, about.
 LIST_ROWS = 1024
+#: Words of 64 bits in the sketch of a set.
+SKETCH_WORDS = 8
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -329,21 +329,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes fall on each of some bits: two sets differ in at least as many members as their
+    sketches in bits."""
+    odd = np.bincount(hashes & np.uint32(64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _prints_of_words(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``doc_id``, ``fp``, ``digest``, ``hashes``: the SimHash of the distinct words, a hash of the words in order, and the
-    distinct hashes of the shingles of k words, sorted, as bytes."""
+    """``doc_id``, ``fp``, ``digest``, ``hashes``, ``s0`` and so on: the SimHash of the distinct words, a hash of the words in
+    order, the distinct hashes of the shingles of k words, sorted, as bytes, and their sketch."""
+    names = [f"s{i}" for i in range(SKETCH_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, sets = [], []
+            found, sets, sketches = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 found.append((_majority(shingle_hashes(list(set(words)), 1)), xxhash.xxh64_intdigest(b" ".join(words))))
-                sets.append(np.unique(shingle_hashes(words, k) >> np.uint64(32)).astype("<u4").tobytes())
-            columns = [batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*found, strict=True)), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "hashes"])
+                distinct = np.unique(shingle_hashes(words, k) >> np.uint64(32)).astype("<u4")
+                sets.append(distinct.tobytes())
+                sketches.append(sketch(distinct))
+            columns = [batch.column(0), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in zip(*found, strict=True)), pa.array(sets, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in np.array(sketches).view(np.int64).T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest", "hashes", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, digest long, hashes binary")
+    ddl = "doc_id long, fp long, digest long, hashes binary, " + ", ".join(f"{n} long" for n in names)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
 
 def _held(edges: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
@@ -381,11 +392,13 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def _candidates(nodes: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a``, ``b`` of documents in different classes that can have the similarity.
+def _lists(nodes: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """Documents of different classes that share one of the rarest shingles of both, in lists ``members`` by ``shingle`` and
+    ``class``; ``n`` and ``most`` tell a list's length and the most shingles that one of its members has left.
 
     Sets of sizes m <= n with this Jaccard similarity share at least a shingle among the first of each in one order, and m is at
-    least the similarity times n. The order has common shingles last. Shingles inside one class make no pair.
+    least the similarity times n. The order has common shingles last. Shingles inside one class are left out, and members
+    that have too few shingles left, from this one on, to be similar to the smallest set under it.
     """
     common = nodes.sparkSession.sparkContext.broadcast(_common_shingles(nodes))
 
@@ -394,7 +407,7 @@ def _candidates(nodes: DataFrame, label: DataFrame, similarity: float) -> DataFr
         by_value = np.argsort(late)
         ordered = late[by_value]
         for batch in slices(batches):
-            shingles, reps, sizes = [np.zeros(0, dtype=np.uint32)], [], []
+            shingles, reps, sizes, lefts = [np.zeros(0, dtype=np.uint32)], [], [], []
             for rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(data, dtype="<u4")
                 if len(ordered):
@@ -407,31 +420,83 @@ def _candidates(nodes: DataFrame, label: DataFrame, similarity: float) -> DataFr
                 shingles.append(first)
                 reps.append(np.full(len(first), rep, dtype=np.int64))
                 sizes.append(np.full(len(first), len(h), dtype=np.int32))
+                lefts.append(len(h) - np.arange(len(first), dtype=np.int32))
             if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int32)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes))], names=["shingle", "rep", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int32)), *(pa.array(np.concatenate(x)) for x in (reps, sizes, lefts))], names=["shingle", "rep", "size", "left"])
 
     same = Window.partitionBy("shingle")
-    posts = nodes.select("rep", "hashes").mapInArrow(run, "shingle int, rep long, size int")
-    shared = posts.withColumns({"low": F.min("rep").over(same), "high": F.max("rep").over(same)}).where("low < high").select("shingle", "rep", "size")
-    classed = shared.join(label, F.col("rep") == F.col("node"), "left").select("shingle", "rep", "size", F.coalesce("label", "rep").alias("class"))
-    apart = classed.withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same), "n": F.count("*").over(same)}).where("low < high")
+    posts = nodes.select("rep", "hashes").mapInArrow(run, "shingle int, rep long, size int, left int")
+    shared = posts.withColumns({"low": F.min("rep").over(same), "high": F.max("rep").over(same)}).where("low < high").select("shingle", "rep", "size", "left")
+    classed = shared.join(label, F.col("rep") == F.col("node"), "left").select("shingle", "rep", "size", "left", F.coalesce("label", "rep").alias("class"))
+    apart = classed.withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same), "n": F.count("*").over(same), "least": F.min("size").over(same)}).where("low < high")
+    apart = apart.where(F.col("left") >= _in_common(similarity, F.col("size") + F.greatest("least", similarity * F.col("size"))))
+    words = [f"s{i}" for i in range(SKETCH_WORDS)]
+    sketched = apart.join(nodes.select("rep", *words), "rep")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / LIST_ROWS)).alias("part")  # so that no list is long
-    lists = stash(apart.groupBy("shingle", "class", part).agg(F.collect_list(F.struct("rep", "size")).alias("members")))
-    one = lists.select("shingle", F.col("class").alias("class_a"), F.col("members").alias("members_a"))
-    two = lists.select("shingle", F.col("class").alias("class_b"), F.col("members").alias("members_b"))
-    met = one.join(two, "shingle").where("class_a < class_b").select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
-    fits = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
-    return met.where(fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a <> b").distinct()
+    lists = sketched.groupBy("shingle", "class", part).agg(F.collect_list(F.struct("rep", "size", "left", *words)).alias("members"), F.max("left").alias("most"))
+    return stash(lists.withColumn("n", F.size("members")))
+
+
+def _in_common(similarity: float, sizes: Column) -> Column:
+    """The least that two sets of this total size have in common if they are similar, less what rounding may take."""
+    return similarity / (1 + similarity) * sizes - 1e-6
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """The bits in which two sketches differ."""
+    bits = [F.bit_count(x[f"s{i}"].bitwiseXOR(y[f"s{i}"])) for i in range(SKETCH_WORDS)]
+    return sum(bits[1:], bits[0])
+
+
+def _can(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two members of lists can be similar: by their sizes, by what either has left from the first shingle that they
+    share, and by the least number of members in which their sets differ. Never false for a similar pair, as it holds at the first one."""
+    total = x["size"] + y["size"]
+    fits = F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-9
+    return fits & (F.least(x["left"], y["left"]) >= _in_common(similarity, total)) & (_differ(x, y) <= total - 2 * _in_common(similarity, total))
+
+
+def _sides(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    one, two = (lists.select("shingle", F.col("class").alias(f"class_{s}"), F.col("members").alias(f"members_{s}")) for s in "ab")
+    return one, two
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a <> b").distinct()
+
+
+def _stars(lists: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs that can be similar, for each member of a list and each shingle the closest in the class that has the member with most
+    left: a dense group becomes one class by these, without its pairs."""
+    hub = lists.groupBy("shingle").agg(F.max_by("class", F.struct("most", "n", "class")).alias("hub"))
+    one, two = _sides(lists)
+    met = one.join(hub, "shingle").where("class_a <> hub").join(two.withColumnRenamed("shingle", "under"), (F.col("shingle") == F.col("under")) & (F.col("hub") == F.col("class_b")))
+    each = met.select(F.explode("members_a").alias("x"), "members_b")
+    able = F.filter("members_b", lambda y: _can(F.col("x"), y, similarity))
+    closest = F.array_min(F.transform(able, lambda y: F.struct(_differ(F.col("x"), y).alias("far"), y["rep"].alias("rep"))))
+    return _ordered(each.select("x", closest.alias("y")).where("y is not null"))
+
+
+def _rest(lists: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of members that can be similar and are in different classes still."""
+    now = lists.join(label, F.col("class") == F.col("node"), "left").withColumn("class", F.coalesce("label", "class")).drop("node", "label")
+    one, two = _sides(now)
+    met = one.join(two, "shingle").where("class_a < class_b").select(F.explode("members_a").alias("x"), "members_b")
+    return _ordered(met.select("x", F.explode(F.filter("members_b", lambda y: _can(F.col("x"), y, similarity))).alias("y")))
+
+
+def _edges(label: DataFrame) -> DataFrame:
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Classes of documents whose shingles of ``words`` words have a Jaccard similarity of at least ``similarity``: two
     documents are in one class exactly if a chain of similar pairs connects them.
 
     First, pairs that differ in at most ``radius`` bits of a SimHash of their distinct words, of a dense group the nearest
     ones that connect it, are compared by their whole shingle sets; they make most classes, without the pairs inside them.
-    Then every pair of different classes that can have the similarity is compared: all that share one of the rarest
-    shingles of both.
+    Then documents that share one of the rarest shingles of both are looked at: each with the closest of one class, and
+    last every pair of different classes that can have the similarity, by the bounds of ``_can``.
 
     :return: ``doc_id``, ``component_id``: one row per document with an id that is not null.
 
@@ -441,11 +506,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     parts = partitions(docs.sparkSession)
     prints = bucketed(_prints_of_words(docs, id_col, text_col, words).where("doc_id is not null").repartition(parts, "doc_id"), "doc_id", parts)  # so joins do not move the shingles
     nodes = stash(prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("rep")))
-    sets = prints.join(nodes.select("rep").distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "hashes")
+    sets = prints.join(nodes.select("rep").distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi").drop("digest", "fp").withColumnRenamed("doc_id", "rep")
     edges = stash(links(nodes.select("fp", "rep"), radius, checked=True).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = components(_held(edges, prints, similarity))
-    rest = _held(stash(_candidates(sets, near, similarity)), prints, similarity)
-    label = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
+    lists = _lists(sets, near, similarity)
+    near = components(_edges(near).union(_held(stash(_stars(lists, similarity)), prints, similarity)))
+    label = components(_edges(near).union(_held(stash(_rest(lists, near, similarity)), prints, similarity)))
     named = nodes.join(label, nodes["rep"] == label["node"], "left").select(F.col("digest").alias("key"), F.col("fp").alias("key0"), F.coalesce("label", "rep").alias("component_id"))
     return prints.join(named, (prints["digest"] == named["key"]) & (prints["fp"] == named["key0"])).select("doc_id", "component_id")
 
