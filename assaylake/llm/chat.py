@@ -4,6 +4,10 @@ A template is any function from messages to text. A conversation is rendered tur
 with the one before shows the span that the new turn takes. Rendering the turn with two probe texts instead of
 its own shows where in the span its text begins. If an output does not begin with the one before, the template
 has rewritten history; then the spans are looked for anew in the final output, by probing every turn.
+
+Prefixes of a long conversation would be rendered in quadratic time. Its turns are therefore rendered in windows, each by
+its own successive prefixes, and the windows' outputs laid end to end are held against one rendering of the whole: if they
+agree, the template looks at no turn beyond a window and the spans hold. If they differ, it does, and all prefixes are rendered.
 """
 
 from __future__ import annotations
@@ -75,21 +79,48 @@ def _content(before: list[Message], turn: Message, after: list[Message], rendere
     return start, start + len(rendered) - (len(one) - 1)
 
 
-def render(messages: list[Message], template: Template = chatml) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The output, for each turn (start, end, start of its text, end of its text), and whether history was rewritten.
+Spans = list[tuple[int, int, int, int]]
+#: Turns of a window.
+WINDOW = 16
 
-    A turn that does not show in the output has the span (-1, -1, -1, -1).
-    """
-    spans: list[tuple[int, int, int, int]] = []
-    output, rewritten = template([]), False
+
+def _prefixes(messages: list[Message], template: Template) -> tuple[str, Spans, bool]:
+    """The last output, the spans of the turns by successive prefixes, and whether a prefix rewrote the one before."""
+    spans: Spans = []
+    output = template([])
     for k, turn in enumerate(messages):
         new = template(messages[: k + 1])
         if not new.startswith(output):
-            rewritten = True
-        elif not rewritten:
-            text = _content(messages[:k], turn, [], new, template, len(output))
-            spans.append((len(output), len(new), *(text or (-1, -1))))
+            return template(messages), spans, True
+        text = _content(messages[:k], turn, [], new, template, len(output))
+        spans.append((len(output), len(new), *(text or (-1, -1))))
         output = new
+    return output, spans, False
+
+
+def _windows(messages: list[Message], template: Template) -> tuple[str, Spans] | None:
+    """The output and spans laid end to end from windows of turns, or nothing where the template does not allow that."""
+    head = template([])
+    pieces, spans, at = [head], [], len(head)
+    for start in range(0, len(messages), WINDOW):
+        output, found, rewritten = _prefixes(messages[start : start + WINDOW], template)
+        if rewritten or not output.startswith(head):
+            return None
+        spans += [tuple(x if x < 0 else x - len(head) + at for x in span) for span in found]
+        pieces.append(output[len(head) :])
+        at += len(output) - len(head)
+    whole = template(messages)
+    return (whole, spans) if whole == "".join(pieces) else None
+
+
+def render(messages: list[Message], template: Template = chatml) -> tuple[str, Spans, bool]:
+    """The output, for each turn (start, end, start of its text, end of its text), and whether history was rewritten.
+
+    A turn that does not show in the output has the span (-1, -1, -1, -1).
+    """
+    if len(messages) > WINDOW and (found := _windows(messages, template)):
+        return *found, False
+    output, spans, rewritten = _prefixes(messages, template)
     if rewritten:
         spans = []
         for k, turn in enumerate(messages):

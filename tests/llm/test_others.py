@@ -50,6 +50,28 @@ def test_templates_that_rewrite_history():
     assert rewritten and [text[c:d] for _, _, c, d in spans] == ["x", "yy"]
 
 
+def test_long_conversations_are_rendered_in_windows():
+    messages = [("user" if i % 2 else "assistant", f"text {i} <|im_end|>" * (i % 3)) for i in range(3 * chat.WINDOW + 5)]
+    numbered = lambda m: "BEGIN" + "".join(f"<{i}|{r}|{t}>" for i, (r, t) in enumerate(m))
+    closing = lambda m: chat.chatml(m) + ("<open>" if m and m[-1][0] == "user" else "")
+    for template, windowed in ((chat.chatml, True), (lambda m: "BEGIN" + chat.chatml(m), True), (numbered, False), (closing, False)):
+        assert (chat._windows(messages, template) is not None) == windowed
+        text, spans, rewritten = chat.render(messages, template)
+        assert text == template(messages) and rewritten == (template is closing)
+        assert [chat.unescape(text[c:d]) if template is not numbered else text[c:d] for _, _, c, d in spans] == [t for _, t in messages]
+        if not rewritten:
+            assert (spans, rewritten) == chat._prefixes(messages, template)[1:]
+
+
+def test_work_grows_with_the_turns():
+    def rendered(n):
+        sizes = []
+        chat.render([("user", "x" * 20)] * n, lambda m: sizes.append(len(m)) or chat.chatml(m))
+        return sum(sizes)
+
+    assert rendered(800) < 9 * rendered(100)
+
+
 def test_conversations_with_odd_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "user", "n"), (3, None, "assistant", "first"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (4, 0, "assistant", "x" * 50_000)]
     turns = spark.createDataFrame([(*r, 9, "z") for r in rows], f"{TURN_SCHEMA}, formatted int, spans string")
