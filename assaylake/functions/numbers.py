@@ -102,10 +102,18 @@ def numeric_match(predicted: Column, gold: Column, relative: float | None = None
     return out
 
 
+def token_value(token: Column) -> Column:
+    """The value of a number token, as ``parse_number`` reads it; null where parentheses do not enclose all of it."""
+    plain = strip(token)
+    wrapped = F.startswith(plain, F.lit("(")) & F.endswith(plain, F.lit(")"))
+    value = F.regexp_replace(plain, "[^0-9.]", "").try_cast("double")
+    return F.when(wrapped | ~plain.rlike("[()]"), F.when(wrapped | F.contains(plain, F.lit("-")), -value).otherwise(value))
+
+
 def numbers_in(text: Column) -> Column:
     """All numbers that a text states, in order."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: parse_number(t)["value"]), lambda v: v.isNotNull())
+    return F.filter(F.transform(found, token_value), lambda v: v.isNotNull())
 
 
 def leading_digits(value: Column, n: int = 3) -> Column:

@@ -36,15 +36,16 @@ def dimensions(samples: DataFrame, tags: str = "capability_tags") -> DataFrame:
     return samples.withColumn("dimension", F.explode(fed))
 
 
-def dimension_results(samples: DataFrame, results: DataFrame, preferred: str) -> DataFrame:
+def dimension_results(samples: DataFrame, results: DataFrame, preferred: str | Column) -> DataFrame:
     """The result that counts for each sample and dimension: that of the dimension's own metric where there is one, also
-    if it did not apply, else that of the preferred metric."""
-    tagged = dimensions(samples).select("sample_id", "benchmark", "task_family", "dimension")
+    if it did not apply, else that of the preferred metric, which is a name or a column of the samples."""
+    chosen = F.lit(preferred) if isinstance(preferred, str) else preferred
     own = F.create_map(*(F.lit(x) for pair in DIMENSION_METRIC.items() for x in pair))
+    wanted = dimensions(samples).select("sample_id", "benchmark", "task_family", "dimension", F.try_element_at(own, F.col("dimension")).alias("own_metric"), chosen.alias("preferred_metric"))
     r = results.select("sample_id", "metric_name", score(F.col("value"), F.col("passed")).alias("score"))
-    wanted = tagged.withColumn("own_metric", F.try_element_at(own, F.col("dimension")))
-    joined = wanted.join(r.where(F.col("metric_name").isin(preferred, *DIMENSION_METRIC.values())), "sample_id").where((F.col("metric_name") == F.col("own_metric")) | (F.col("metric_name") == preferred))
-    best = F.max_by("score", F.struct((F.col("metric_name") == F.col("own_metric")).cast("int").alias("rank"), F.lit(0).alias("tie")))
+    is_own = F.col("metric_name") == F.col("own_metric")
+    joined = wanted.join(r, "sample_id").where(is_own | (F.col("metric_name") == F.col("preferred_metric")))
+    best = F.max_by("score", F.coalesce(is_own, F.lit(False)).cast("int"))
     return joined.groupBy("sample_id", "benchmark", "task_family", "dimension").agg(best.alias("score"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,37 +19,71 @@ def hex_bound(p: float) -> str:
     return f"{int(p * (1 << 32)):08x}"
 
 
-def bootstrap(rows: DataFrame, *by: str, key: str = "sample_id", value: str = "value", iterations: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
-    """Percentile intervals of means by Poisson resampling: each row has an independent Poisson(1) weight in each
-    iteration, drawn from a hash of its key that any engine can compute; a digest serves four iterations.
+#: Up to so many equal values their weights are drawn one by one; beyond it their sum is drawn.
+SINGLE_DRAWS = 16
 
-    Needs no row numbers and no driver, and combines before the shuffle; the rows of a group never meet in one task.
+
+def _poisson_sum(n: Column, *label: Column) -> Column:
+    """A draw of the sum of n Poisson(1) weights from the digests of a label: one by one, or by its normal form with the correction
+    for skewness, which is then exact to a unit or so."""
+
+    def digest(*more: Column) -> Column:
+        return F.md5(F.concat_ws(":", *label, *(m.cast("string") for m in more)).cast("binary"))
+
+    def one(u: Column) -> Column:
+        weight = F.lit(len(POISSON))
+        for w, bound in reversed(list(enumerate(POISSON))):
+            weight = F.when(u < hex_bound(bound), w).otherwise(weight)
+        return weight
+
+    single = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(SINGLE_DRAWS)).cast("int")), F.lit(0), lambda s, j: s + one(F.substring(digest(j), 1, 8)))
+    part = lambda k: F.conv(F.substring(digest(), 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    z = F.sqrt(-2 * F.ln(part(0) + 0.5 / (1 << 32))) * F.cos(2 * F.pi() * part(1))
+    return F.when(n <= SINGLE_DRAWS, single.cast("double")).otherwise(F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n.cast("double")) * z + (z * z - 1) / 6 + 0.5).cast("double")))
+
+
+def bootstrap(rows: DataFrame, *by: str, value: str = "value", iterations: int = ITERATIONS, confidence: float = CONFIDENCE) -> DataFrame:
+    """Percentile intervals of means by Poisson resampling: each row has an independent Poisson(1) weight in each iteration.
+
+    Rows of a group with the same value only matter by the sum of their weights, so values are counted first, which combines
+    before the shuffle, and an iteration draws once for each distinct value, from a digest that any engine can compute.
+    A group of one row has its value for both ends.
     """
-    some = rows.where(F.col(value).isNotNull())
-    fours = some.select(*by, F.col(key).alias("k"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // 4) - 1))).alias("four"))
-    hashed = fours.withColumn("digest", F.md5(F.concat("k", F.lit(":"), F.col("four").cast("string")).cast("binary")))
-    parts = F.array(*(F.struct((F.col("four") * 4 + j).alias("i"), F.substring("digest", 8 * j + 1, 8).alias("u")) for j in range(4)))
-    weight = F.lit(len(POISSON))
-    for w, bound in reversed(list(enumerate(POISSON))):
-        weight = F.when(F.col("u") < hex_bound(bound), w).otherwise(weight)
-    weighed = hashed.select(*by, "v", F.inline(parts)).where(F.col("i") < iterations).withColumn("w", weight)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    each = counts.select(*by, "v", "c", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
+    weighed = each.withColumn("w", _poisson_sum(F.col("c"), *(F.col(b).cast("string") for b in by), F.col("v").cast("string"), F.col("i").cast("string")))
     means = weighed.groupBy(*by, "i").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
-    low, high = int((1 - confidence) / 2 * iterations), min(int((1 + confidence) / 2 * iterations), iterations - 1)
     ordered = F.array_sort(F.collect_list(F.round("m", 9)))  # one number for each iteration
-    cuts = means.groupBy(*by).agg(F.get(ordered, F.lit(low)).alias("ci_low"), F.get(ordered, F.lit(high)).alias("ci_high"))
-    plain = some.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    return plain.join(cuts, list(by)).withColumn("underpowered", F.col("n") < LEAST_SAMPLES) if by else plain.crossJoin(cuts).withColumn("underpowered", F.col("n") < LEAST_SAMPLES)
+    tail = (1 - confidence) / 2
+    cuts = means.groupBy(*by).agg(ordered.alias("ms")).select(*by, F.get("ms", F.floor(tail * F.size("ms")).cast("int")).alias("low"), F.get("ms", F.least(F.floor((1 - tail) * F.size("ms")), F.size("ms") - 1).cast("int")).alias("high"))
+    plain = counts.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    both = plain.join(cuts, list(by)) if by else plain.crossJoin(cuts)  # single rows
+    one = F.col("n") == 1
+    return both.select(*by, "n", "mean", F.when(one, F.col("mean")).otherwise(F.col("low")).alias("ci_low"), F.when(one, F.col("mean")).otherwise(F.col("high")).alias("ci_high"), (F.col("n") < LEAST_SAMPLES).alias("underpowered"))
 
 
 def exact_interval(values: list[float], confidence: float = CONFIDENCE, iterations: int = ITERATIONS, seed: int = SEED) -> tuple[float, float, float] | None:
-    """Mean and interval by resampling with the standard generator, in the order of the values."""
-    if not values:
+    """Mean and interval by resampling with the standard generator, in the order of the values.
+
+    The generator's draws below n are its 32-bit words cut to the bits of n, those that reach n left out; they are made in bulk.
+    """
+    if not len(values):
         return None
-    n, mean = len(values), sum(values) / len(values)
+    data = np.asarray(values, dtype=float)
+    n, mean = len(data), float(data.mean())
     if n == 1:
         return mean, mean, mean
-    generator = random.Random(seed)
-    means = sorted(sum(values[generator.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
+    words = np.random.MT19937()
+    _, state, _ = random.Random(seed).getstate()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
+    shift, means, spare = np.uint64(32 - n.bit_length()), [], np.zeros(0, dtype=np.int64)
+    for _ in range(iterations):
+        while len(spare) < n:
+            drawn = (words.random_raw(max(4096, 3 * n)) >> shift).astype(np.int64)
+            spare = np.concatenate([spare, drawn[drawn < n]])
+        means.append(float(data[spare[:n]].sum()) / n)
+        spare = spare[n:]
+    means.sort()
     tail = (1.0 - confidence) / 2.0
     return mean, means[int(tail * iterations)], means[min(int((1.0 - tail) * iterations), iterations - 1)]
 

@@ -8,30 +8,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaylake.sources.tables import table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: Two runs of predictions over the same samples: the first errs by the order key modulo 12, the second by a shifted one.
+#: Two runs of predictions over the same samples of five benchmarks: the first errs by the order key modulo 12, the second by a
+#: shifted one. Stated figures are exact decimals as text, in forms that the key chooses; answers of one benchmark are sentences.
 PREDICTED = """
-SELECT run_id, pos, sample_id, benchmark, task_family, tags, gold, should_refuse, canary, m, key,
+SELECT run_id, pos, sample_id, benchmark, task_family, tags, gold, gold_text, should_refuse, canary, m, key,
+       CASE WHEN gold IS NULL THEN 'Yes' WHEN benchmark = 'secque' THEN 'Revenue ' || CASE key % 3 WHEN 0 THEN 'rose' WHEN 1 THEN 'fell' ELSE 'came' END || ' to ' || gold_text || ' in 2021' ELSE gold_text END AS gold_answer,
+       CASE WHEN gold IS NULL THEN 'boolean' WHEN key % 9 = 0 THEN 'analytical' ELSE 'numeric' END AS shape,
+       'Revenue was ' || coalesce(gold_text, 'not stated') || ' and costs were 350.25.' AS context, 'D' || CAST(key % 7 AS VARCHAR(20)) AS evidence_document,
+       CASE key % 6 WHEN 0 THEN NULL WHEN 1 THEN 'D99' ELSE 'D' || CAST(key % 7 AS VARCHAR(20)) END AS cited,
        CASE WHEN m = 11 THEN FALSE ELSE TRUE END AS has_response,
        CASE WHEN m = 11 THEN CASE WHEN key % 2 = 0 THEN 'ReadTimeout' ELSE 'ServerError' END END AS error_type,
-       CASE WHEN m = 10 THEN TRUE ELSE FALSE END AS insufficient,
-       CASE WHEN canary IS NOT NULL AND key % 3 = 0 AND m < 9 THEN CAST(1000000 AS DOUBLE)
-            WHEN m = 0 THEN gold WHEN m = 1 THEN gold * 1000 WHEN m = 2 THEN gold / 1000000
-            WHEN m = 3 THEN -gold WHEN m = 4 THEN gold * 100 WHEN m = 5 THEN gold * 10000
-            WHEN m = 6 THEN gold * 10 WHEN m = 7 THEN gold * 1.004 WHEN m = 8 THEN gold * 1.07 END AS predicted,
-       CASE WHEN m = 9 AND key % 5 = 0 THEN '{"value": 3}' WHEN m = 9 THEN 'no figure to give' WHEN m = 10 THEN 'cannot be determined' ELSE 'see the figure' END AS content,
+       CASE WHEN m = 10 AND key % 2 = 0 THEN TRUE ELSE FALSE END AS insufficient,
+       CASE WHEN m < 9 AND key % 4 IN (2, 3) AND benchmark <> 'secque' THEN CAST(said AS DOUBLE) END AS number,
+       CASE WHEN m = 11 THEN NULL WHEN m = 9 AND key % 5 = 0 THEN '{"value": 3}' WHEN m = 9 THEN 'nothing to state' WHEN m = 10 THEN 'It cannot be determined from these pages.'
+            WHEN said IS NULL THEN CASE WHEN m < 5 THEN 'Yes' ELSE 'No, it did not' END
+            WHEN benchmark = 'secque' THEN CASE WHEN key % 5 = 0 THEN 'The firm ' ELSE 'Acme ' END || CASE WHEN m % 3 = 0 THEN 'fell' WHEN m % 3 = 1 THEN 'rose' ELSE 'rose and fell' END || ' to ' || said || ' in ' || CASE WHEN key % 4 = 0 THEN '2010' ELSE '2021' END
+            ELSE CASE key % 4 WHEN 1 THEN '$' || said WHEN 3 THEN 'It was ' || said || ' then' ELSE said END || CASE WHEN benchmark = 'finqa' AND m = 4 AND key % 4 <> 3 THEN '%' ELSE '' END END AS answer,
        CASE WHEN m = 11 THEN NULL ELSE key % 900 + 40 END AS prompt_tokens,
        CASE WHEN m = 11 THEN NULL ELSE key % 300 + 5 END AS completion_tokens,
        key % 7 = 0 AS cache_hit
 FROM (
-  SELECT r.run_id, o_orderkey AS pos, o_orderkey AS key, 'orders:test:' || CAST(o_orderkey AS VARCHAR(20)) AS sample_id,
-         o_orderpriority AS benchmark, o_orderstatus AS task_family,
-         CASE o_orderkey % 5 WHEN 0 THEN 'calculation,formula' WHEN 1 THEN 'table_text' WHEN 2 THEN 'evidence_grounding,retrieval'
-              WHEN 3 THEN 'calibration_refusal,unknown_tag' ELSE 'calculation,ratio,bilingual' END AS tags,
-         CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_totalprice END AS gold, o_orderkey % 17 = 0 AS should_refuse,
-         CASE WHEN o_orderkey % 40 = 1 THEN '1000000' END AS canary, (o_orderkey + r.shift) % 12 AS m
-  FROM orders JOIN (SELECT 'a' AS run_id, 0 AS shift UNION ALL SELECT 'b' AS run_id, 5 AS shift) r ON r.shift >= 0) x
+  SELECT *, CAST(gold_text AS DOUBLE) AS gold,
+         CASE WHEN canary IS NOT NULL AND key % 3 = 0 AND m < 9 THEN '1000000.00000000' ELSE CAST(CAST(CAST(gold_text AS DECIMAL(18,2)) * CAST(CASE m WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 0.000001 WHEN 3 THEN -1 WHEN 4 THEN 100 WHEN 5 THEN 10000
+           WHEN 6 THEN 10 WHEN 7 THEN 1.004 WHEN 8 THEN 1.07 END AS DECIMAL(14,6)) AS DECIMAL(30,8)) AS VARCHAR(60)) END AS said
+  FROM (
+    SELECT r.run_id, o_orderkey AS pos, o_orderkey AS key, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'finqa' WHEN '2' THEN 'finance_reasoning' WHEN '3' THEN 'filings_qa' WHEN '4' THEN 'smb_cfo' ELSE 'secque' END AS benchmark,
+           CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'finqa' WHEN '2' THEN 'finance_reasoning' WHEN '3' THEN 'filings_qa' WHEN '4' THEN 'smb_cfo' ELSE 'secque' END || ':test:' || CAST(o_orderkey AS VARCHAR(20)) AS sample_id, o_orderstatus AS task_family,
+           CASE o_orderkey % 5 WHEN 0 THEN 'calculation,formula' WHEN 1 THEN 'table_text' WHEN 2 THEN 'evidence_grounding,retrieval'
+                WHEN 3 THEN 'calibration_refusal,unknown_tag' ELSE 'calculation,ratio,bilingual' END AS tags,
+           CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR(30)) END AS gold_text, o_orderkey % 17 = 0 AS should_refuse,
+           CASE WHEN o_orderkey % 40 = 1 THEN '1000000' END AS canary, (o_orderkey + r.shift) % 12 AS m
+    FROM orders JOIN (SELECT 'a' AS run_id, 0 AS shift UNION ALL SELECT 'b' AS run_id, 5 AS shift) r ON r.shift >= 0) x) y
 """
 
 BUSINESS = """
@@ -73,7 +84,7 @@ SELECT CAST(s_nationkey AS BIGINT), 'L' || CAST(l_orderkey AS VARCHAR(20)) || '-
        -CAST(l_extendedprice AS DECIMAL(18,2)), 'USD',
        CASE l_returnflag WHEN 'R' THEN 'Cost of goods sold' WHEN 'A' THEN 'Payroll' ELSE 'Rent' END,
        CASE WHEN l_linenumber = 3 THEN 'Internal' ELSE s_name END
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 2 = 0
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 """
 
 #: Turns of conversations with an outcome and, on even turns, a dependence on the turn before.
@@ -87,7 +98,7 @@ SQL = {"predicted": PREDICTED, "business": BUSINESS, "fx_rates": FX_RATES, "budg
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation, or a table, of a data folder."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     text = SQL[name].replace("{half_even}", "bround")
     used = {t: relation(spark, sf_dir, t) for t in TABLES if f" {t} " in text or f" {t}\n" in text}
     for t in used:  # tables become parameters of the statement, so no view is left behind

@@ -150,3 +150,9 @@ def test_columns_of_programs(spark):
     rows = spark.createDataFrame([("add(1, 2)", "add(2, 1)", "3.0"), (None, "add(2, 1)", "3.0")], "c string, g string, v string")
     out = [r.s for r in rows.select(programs.program_scores(F.col("c"), F.col("g"), F.col("v"), F.lit(None).cast("array<array<string>>")).alias("s")).collect()]
     assert [o.execution_correct for o in out] == [True, False] and [o.program_correct for o in out] == [True, False]
+
+
+def test_tokens_have_the_values_that_the_parser_gives(spark):
+    tokens = ["5", "5.", "1,577", "(1,577)", "-5", "(-5)", "(5", "5)", "(12)%", "12%", "(12%", "12)%", "- 5", "-$ 5", "$ 1,2,3. ", "($40.5 )", "0", "-0.5", "(0)", "00.10", "1,000,000%"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", numbers.token_value(F.col("t")).alias("v"), numbers.parse_number(F.col("t"))["value"].alias("p")).collect()
+    assert {r.t: r.v for r in rows} == {r.t: r.p for r in rows}
