@@ -8,14 +8,14 @@ one. What is left at the end of a window is cut at powers of two, which need no
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +26,9 @@ SEQUENCE_TOKENS = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Rests that are packed together.
 WINDOW_PIECES = 2048
-#: Pre-tokens that a Python worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 600_000
+#: Texts that are encoded at a time.
+TEXTS = 64
 END_ID = 0
-#: Texts of these characters alone are split alike by the faster of the two pattern engines.
-_UNCOMMON = re.compile("[^\t-\r\x20-~\xa1\xa7\xa9\xab\xae\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-ɏ‐-‧]")
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,56 +36,61 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordEncoder(dict):
-    """Ids of pre-tokens as bytes, by a byte-level BPE file of the tokenizers library; each pre-token is merged once.
+class TextEncoder:
+    """Ids of texts by a byte-level BPE file of the tokenizers library.
 
-    ``encode_text`` gives the file's added tokens, as ``<|endoftext|>``, their own ids; to ``encode`` all is ordinary text.
+    Where the ids of the file follow its merges, as they mostly do, tiktoken merges by the same table, several times as
+    fast and without a memory of words that grows; any other file is left to the library. The file's added tokens, as ``<|endoftext|>``, get
+    their own ids wherever they stand in a text.
     """
 
-    _made: dict[str, WordEncoder] = {}
+    _made: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
-        from public_tokenizers import PATTERN
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        added = {t["content"]: t for t in spec.get("added_tokens", ())}
+        self.added = {content: np.array([t["id"]], dtype="<u4") for content, t in added.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+        self.plain = self._merger(spec, added) or self._library(path, any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added.values()))
+
+    def _library(self, path: str, whole: bool) -> Callable[[str], np.ndarray]:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = tokenizer.model, _byte_letters()
-        added = {token.content: (i, token) for i, token in tokenizer.get_added_tokens_decoder().items()}
-        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
-            raise ValueError("added tokens that take in or need what stands beside them are not supported")
-        self.added = {content: np.array([i], dtype="<u4").tobytes() for content, (i, _) in added.items()}
-        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
-        self.split = regex.compile(PATTERN).findall
-        self.fast = _FAST.findall
+        if whole:  # added tokens that look at what stands beside them
+            self.parts = None
+        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _merger(self, spec: dict, added: dict[str, dict]) -> Callable[[str], np.ndarray] | None:
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        usual = model["type"] == "BPE" and not spec.get("normalizer") and not model.get("ignore_merges") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]] if usual else []
+        vocabulary = {word: i for word, i in model["vocab"].items() if word not in added}
+        in_order = all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(vocabulary) == 256 + len(merges)
+        if not usual or not in_order or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added.values()):
+            return None
+        byte = {letter: b for b, letter in _byte_letters().items()}
+        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items()}
+        encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str) -> TextEncoder:
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text as unsigned 32-bit numbers."""
-        words = self.split(text) if _UNCOMMON.search(text) else self.fast(text)
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
-
-
-    def encode_text(self, text: str) -> np.ndarray:
-        """The ids that the library gives a text: added tokens first, what lies between them by words."""
+    def __call__(self, text: str) -> np.ndarray:
+        """The ids that the library gives a text: added tokens first, then what lies between them."""
         parts = self.parts(text) if self.parts else [text]
         if len(parts) == 1:
-            return self.encode(text)
-        return np.frombuffer(b"".join(self.added[p] if i % 2 else self.encode(p).tobytes() for i, p in enumerate(parts)), dtype="<u4")
+            return self.plain(text)
+        return np.concatenate([self.added[p] if i % 2 else self.plain(p) for i, p in enumerate(parts)])
 
 
 def default_tokenizer() -> str:
@@ -108,12 +108,12 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(path)
+        encode = TextEncoder.of(path)
         end = np.array([END_ID], dtype="<u4")
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encoder.encode_text(text or ""), end])
+                ids = np.concatenate([encode(text or ""), end])
                 for start in range(0, len(ids), sequence_tokens):
                     piece = ids[start : start + sequence_tokens]
                     data = piece.tobytes()
@@ -216,8 +216,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
 
     A null or empty text has one token, the end. Repeated rows and null ids are documents of their own. Long
     texts give as many pieces as they need. An empty table gives no piece. A window holds a fixed number of
-    rests, so memory does not depend on the size of a partition.
+    rests, so memory does not depend on the size of a partition. Rows are packed in the order of their ids, so
+    a task that runs again, or another partitioning of ``docs``, gives the same sequences.
     """
     cut = cut_documents(docs, tokenizer, id_col, text_col, sequence_tokens)
-    dealt = cut.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "start", "ids_crc32"))
+    dealt = cut.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("doc_id", "start", "ids_crc32", "doc_tokens")
     return dealt.mapInArrow(lambda batches: _pack_partition(batches, sequence_tokens), _PIECES)
