@@ -28,6 +28,22 @@ def manifest_rows(samples: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.withColumn("benchmark", missing)
 
 
+def concatenate(*parts: DataFrame) -> DataFrame:
+    """The samples of several sources, with the place of their source as ``source_place``."""
+    out = None
+    for i, part in enumerate(parts):
+        marked = part.withColumn("source_place", F.lit(i))
+        out = marked if out is None else out.unionByName(marked)
+    return out
+
+
+def head(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n samples, by their source and their place in it, with ``place`` from 1."""
+    by = list(order) or ["source_place", "pos"]
+    first = rows.orderBy(*by).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*by)))  # n rows
+
+
 def id_set_hash(samples: DataFrame, *by: str, key: str = "sample_id") -> DataFrame:
     """The first 16 hex digits of the hash of the sorted distinct ids."""
     ids = F.array_join(F.array_sort(F.collect_set(key)), "\n")

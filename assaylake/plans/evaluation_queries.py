@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.text import direction
-from assaylake.operators import conversation, failures, metrics, rollup, samples, scoring, stats
+from assaylake.operators import conversation, evaluation, failures, metrics, reports, rollup, runs, samples, scoring, stats, tools
 from assaylake.plans.derived import oracle, relation
 from assaylake.plans.registry import query
 
@@ -23,22 +23,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "evidence_documents": F.array("evidence_document"), "cited": F.when(c("cited").isNull(), none).otherwise(F.array("cited")), "metadata": F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v))),
         }
     )
-    told = given.withColumns({"predicted": metrics.number(), "refused": metrics.answered() & metrics.refused(), "has_answer": metrics.answered()})
-    return told.withColumn("canary_stated", F.col("canary").isNotNull() & (F.abs(F.col("predicted") - F.col("canary").cast("double")) < 1))
-
-
-#: What queries after the metrics need of a prediction.
-_KEPT = ("run_id", "pos", "key", "sample_id", "benchmark", "task_family", "capability_tags", "gold", "should_refuse", "canary", "has_response", "error_type", "content", "predicted", "refused", "has_answer", "canary_stated")
+    return evaluation.told(given)
 
 
 def results(p: DataFrame) -> DataFrame:
-    """The results that the registry's metrics give, each benchmark its own."""
-    return metrics.score_run(p, *_KEPT)
+    return evaluation.results(p, "key")
 
 
 def preferred(p: DataFrame) -> DataFrame:
-    """The results of the metric that counts for each benchmark."""
-    return metrics.score_run(p, *_KEPT, only_preferred=True)
+    return evaluation.preferred(p, "key")
 
 
 def _supported(evidence: str) -> str:
@@ -143,16 +136,9 @@ means AS (SELECT run_id, dimension, avg(score) AS mean, CAST(sum(n) AS BIGINT) A
 """
 
 
-def dimension_means(p: DataFrame) -> DataFrame:
-    """Means of capability dimensions for each run."""
-    keyed = p.withColumn("sample_id", F.concat_ws("/", "run_id", "sample_id"))
-    scored = rollup.dimension_results(keyed, results(keyed).select("sample_id", "metric_name", "value", "passed"), metrics.preferred_metric(F.col("benchmark")))
-    return rollup.macro_rollup(scored.withColumn("run_id", F.substring_index("sample_id", "/", 1)), "run_id")
-
-
 @query("capability_macro_rollup", _sql("SELECT run_id, dimension, round(mean, 6) AS mean, n FROM means", _PREFERRED, _MEANS))
 def capability_macro_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimension_means(predictions(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+    return evaluation.dimension_means(predictions(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
 @query("failure_attribution", _sql("SELECT run_id, sample_id, failure_type, catastrophic FROM failed", _PREFERRED, _FAILURES))
@@ -183,17 +169,31 @@ gates AS (
 """
 
 
-def rates(p: DataFrame) -> DataFrame:
-    """Failure rates of each run; a sample with a number to reach that did not pass counts against the accuracy."""
-    r = preferred(p)
-    counted = F.when(F.col("gold").isNotNull(), F.coalesce("passed", F.lit(False)).cast("int"))
-    runs = r.groupBy("run_id").agg(F.count("*").alias("n_samples"), F.count("canary").alias("n_injections"), F.avg(counted).alias("numeric_accuracy"), F.max(F.lit(None).cast("double")).alias("tool_security"))
-    return scoring.failure_rates(runs, failures.attribute(r))
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool traces of both runs: the lines of an order are its calls, and the second run skips every third order."""
+    q = F.col("l_quantity")
+    real, valid = q % 5 != 0, q % 7 != 0
+    call = F.struct(F.col("l_linenumber").cast("int").alias("turn"), F.lit("calculator").alias("tool_name"), F.lit("{}").alias("arguments"), real.alias("tool_exists"), valid.alias("arguments_valid"), (real & valid & (F.col("l_returnflag") != "R")).alias("executed"), F.lit(None).cast("string").alias("output"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("latency_ms"), (q == 50).alias("security_refused"))
+    calls = relation(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(call).alias("calls"))  # the calls of one sample
+    each = calls.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run_id"), "l_orderkey", "calls").where("run_id = 'a' or l_orderkey % 3 <> 0")
+    return each.select("run_id", F.concat(F.lit("orders:test:"), F.col("l_orderkey").cast("string")).alias("sample_id"), (F.col("l_orderkey") % 2 == 0).alias("result_used"), "calls")
+
+
+def security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.tool_security(tools.tool_metrics(traces(spark, sf_dir)), "run_id")
+
+
+_SECURITY = "security AS (SELECT run_id, avg(CAST(clean AS INTEGER)) AS tool_security FROM (SELECT l_orderkey, NOT bool_or(l_quantity = 50) AS clean FROM lineitem GROUP BY l_orderkey) JOIN (VALUES ('a'), ('b')) r(run_id) ON run_id = 'a' OR l_orderkey % 3 <> 0 GROUP BY run_id)"
 
 
-@query("gate_report", _sql("SELECT run_id, gate_name, CAST(threshold AS DOUBLE) AS threshold, critical, CAST(observed AS DOUBLE) AS observed, passed, skipped FROM gates", _PREFERRED, _FAILURES, _RATES))
+@query("tool_security", f"WITH {_SECURITY} SELECT run_id, round(tool_security, 6) AS tool_security FROM security")
+def tool_security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return security(spark, sf_dir).withColumn("tool_security", F.round("tool_security", 6))
+
+
+@query("gate_report", _sql("SELECT run_id, gate_name, CAST(threshold AS DOUBLE) AS threshold, critical, CAST(observed AS DOUBLE) AS observed, passed, skipped FROM gates", _PREFERRED, _FAILURES, _SECURITY, _RATES.replace("CAST(NULL AS DOUBLE) AS tool_security", "(SELECT t.tool_security FROM security t WHERE t.run_id = preferred.run_id) AS tool_security")))
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.gate_report(rates(predictions(spark, sf_dir)))
+    return scoring.gate_report(evaluation.rates(preferred(predictions(spark, sf_dir)), security(spark, sf_dir)))
 
 
 _PENALTY = "penalties AS (SELECT run_id, n_scored, coalesce(greatest(0.65, least(1.0, 1 - (0.5 * catastrophic + 0.2 * invalid) / nullif(n_scored, 0))), 1.0) AS penalty FROM rates)"
@@ -201,7 +201,7 @@ _PENALTY = "penalties AS (SELECT run_id, n_scored, coalesce(greatest(0.65, least
 
 @query("reliability_penalty", _sql("SELECT run_id, n_scored, CAST(round(penalty, 6) AS DOUBLE) AS penalty FROM penalties", _PREFERRED, _FAILURES, _RATES, _PENALTY))
 def reliability_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rates(predictions(spark, sf_dir))
+    r = evaluation.rates(preferred(predictions(spark, sf_dir)))
     return r.select("run_id", "n_scored", F.round(scoring.reliability_penalty(F.col("catastrophic"), F.col("unsupported"), F.col("invalid"), F.col("n_scored")), 6).alias("penalty"))
 
 
@@ -218,7 +218,7 @@ variants AS (
 
 def variants(p: DataFrame) -> DataFrame:
     """Each run as it is, with its gates waived, and as if it were a mock."""
-    r = rates(p)
+    r = evaluation.rates(preferred(p))
     critical = scoring.gate_report(r).groupBy("run_id").agg(F.coalesce(F.bool_or(F.col("critical") & ~F.col("passed")), F.lit(False)).alias("failed_gate"))
     base = r.join(critical, "run_id").select("run_id", "n_scored", "failed_gate", scoring.reliability_penalty(F.col("catastrophic"), F.col("unsupported"), F.col("invalid"), F.col("n_scored")).alias("penalty"))
     each = base.withColumn("setting", F.explode(F.array(F.lit("strict"), F.lit("lenient"), F.lit("mock"))))
@@ -235,7 +235,7 @@ def variants(p: DataFrame) -> DataFrame:
 )
 def capability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
-    return scoring.capability_index(dimension_means(p), variants(p)).select("run_id", "setting", "withheld_because", "index")
+    return scoring.capability_index(evaluation.dimension_means(p), variants(p)).select("run_id", "setting", "withheld_because", "index")
 
 
 @query(
@@ -249,7 +249,7 @@ def capability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
-    scored = scoring.capability_index(dimension_means(p), variants(p))
+    scored = scoring.capability_index(evaluation.dimension_means(p), variants(p))
     return scored.select("run_id", "setting", scoring.verdict(F.col("overall"), F.col("n_scored"), F.col("critical_failed"), F.col("is_mock")).alias("verdict"))
 
 
@@ -472,3 +472,125 @@ def direction_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 5
     said = F.when(k == 0, "Revenue rose. ").when(k == 1, "Costs fell, and margins fell. ").when(k == 2, "Sales grew but profit declined. ").otherwise("")
     return d.select("doc_id", direction(F.concat(said, "source")).alias("direction"))
+
+
+_RETRIEVED = "retrieved AS (SELECT run_id, sample_id, key % 3 <> 0 AS document_hit, key % 3 = 1 AS page_hit FROM predicted WHERE benchmark IN ('filings_qa', 'secque') AND key % 4 <> 2)"
+
+
+@query(
+    "retrieval_reattribution",
+    _sql(
+        """SELECT f.run_id, f.sample_id, CASE WHEN r.sample_id IS NULL OR coalesce(f.passed, FALSE) THEN f.failure_type WHEN NOT r.document_hit THEN 'WRONG_DOCUMENT' WHEN NOT r.page_hit THEN 'RETRIEVAL_MISS' WHEN f.refused THEN 'UNNECESSARY_REFUSAL'
+             ELSE 'GENERATION_ERROR_AFTER_RETRIEVAL' END AS failure_type, f.catastrophic FROM failed f LEFT JOIN retrieved r ON r.run_id = f.run_id AND r.sample_id = f.sample_id""",
+        _PREFERRED, _FAILURES, _RETRIEVED,
+    ),
+)
+def retrieval_reattribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir)
+    graded = preferred(p)
+    retrieved = p.where(F.col("benchmark").isin("filings_qa", "secque") & (F.col("key") % 4 != 2)).select("run_id", "sample_id", (F.col("key") % 3 != 0).alias("document_hit"), (F.col("key") % 3 == 1).alias("page_hit"))
+    return evaluation.reattribute(failures.attribute(graded), retrieved, graded).select("run_id", "sample_id", "failure_type", "catastrophic")
+
+
+@query("sample_scores", _sql("SELECT sample_id, CAST(passed AS DOUBLE) AS value FROM results WHERE run_id = 'b' AND metric_name = 'secque_numeric_agreement' AND passed IS NOT NULL"))
+def sample_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.sample_scores(results(predictions(spark, sf_dir)), "b", "secque_numeric_agreement")
+
+
+#: The samples of a run, and the predictions of another relation that answer them.
+_ASKED = "asked AS (SELECT o_orderkey, 'orders:test:' || CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderpriority AS benchmark, o_orderstatus AS task_family FROM orders)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = relation(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("orders:test:"), F.col("o_orderkey").cast("string")).alias("sample_id"), F.col("o_orderpriority").alias("benchmark"), F.col("o_orderstatus").alias("task_family"), F.col("o_orderkey").alias("pos"))
+
+
+@query(
+    "answered_samples",
+    f"WITH {_ASKED} SELECT l.run_id, a.sample_id, a.benchmark, a.task_family, l.n_lines FROM (SELECT 'a' AS run_id, l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) l JOIN asked a ON a.o_orderkey = l.l_orderkey",
+)
+def answered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = relation(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    said = answers.select(F.lit("a").alias("run_id"), F.concat(F.lit("orders:test:"), F.col("l_orderkey").cast("string")).alias("sample_id"), "n_lines")
+    return evaluation.join_predictions(_asked(spark, sf_dir).drop("pos"), said).select("run_id", "sample_id", "benchmark", "task_family", "n_lines")
+
+
+@query("first_samples", f"WITH {_ASKED} SELECT sample_id, CAST(place AS BIGINT) AS place FROM (SELECT sample_id, row_number() OVER (ORDER BY source, pos) AS place FROM (SELECT 0 AS source, o_orderkey AS pos, sample_id FROM asked WHERE benchmark = '5-LOW' UNION ALL SELECT 1, o_orderkey, sample_id FROM asked WHERE benchmark = '1-URGENT')) WHERE place <= 250")
+def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _asked(spark, sf_dir)
+    return samples.head(samples.concatenate(every.where("benchmark = '5-LOW'"), every.where("benchmark = '1-URGENT'")), 250).select("sample_id", "place")
+
+
+@query("backoff_delays", "SELECT event_id, round(greatest(CAST('0x' || substr(md5('s' || CAST(event_id AS VARCHAR) || ':' || CAST(event_id % 9 + 1 AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * least(60.0, 1.0 * pow(2.0, event_id % 9)), CASE WHEN event_id % 5 = 0 THEN 7.5 ELSE 0 END), 9) AS delay FROM events")
+def backoff_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = relation(spark, sf_dir, "events")
+    waits = reports.backoff_delay(F.concat(F.lit("s"), F.col("event_id").cast("string")), (F.col("event_id") % 9 + 1).cast("int"), retry_after=F.when(F.col("event_id") % 5 == 0, 7.5))
+    return e.select("event_id", F.round(waits, 9).alias("delay"))
+
+
+#: Runs of a release: one for each priority and status of orders.
+_RUNS = """runs AS (SELECT o_orderpriority || '-' || o_orderstatus AS run_id, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'mock_test' ELSE 'real' END AS run_type, CASE o_orderpriority WHEN '2-HIGH' THEN 'f0' ELSE 'f1' END AS fingerprint,
+  o_orderkey, 'orders:test:' || CAST(o_orderkey AS VARCHAR) AS sample_id FROM orders),
+manifest AS (SELECT run_id, any_value(run_type) AS run_type, any_value(fingerprint) AS fingerprint, count(DISTINCT sample_id) AS n_samples, substr(sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)), 1, 16) AS sample_id_set_hash FROM runs GROUP BY run_id)"""
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = relation(spark, sf_dir, "orders").select(F.concat_ws("-", "o_orderpriority", "o_orderstatus").alias("run_id"), "o_orderpriority", "o_orderstatus", F.concat(F.lit("orders:test:"), F.col("o_orderkey").cast("string")).alias("sample_id"))
+    made = o.select("run_id", "o_orderpriority", "o_orderstatus").distinct()
+    listed = made.select("run_id", F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"), "mock_test").otherwise("real").alias("run_type"), F.when(F.col("o_orderpriority") == "2-HIGH", "f0").otherwise("f1").alias("fingerprint"))
+    return reports.release_manifest(listed, o.select("run_id", "sample_id"))
+
+
+@query("release_manifest", f"WITH {_RUNS} SELECT * FROM manifest")
+def release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir).select("run_id", "run_type", "fingerprint", "n_samples", "sample_id_set_hash")
+
+
+@query(
+    "release_gates",
+    f"""WITH {_RUNS}, facts AS (SELECT count(*) FILTER (fingerprint <> 'f1') AS other, count(DISTINCT fingerprint) AS prints, count(*) FILTER (run_type <> 'real') AS mocks, count(*) FILTER (n_samples = 0) AS empty, count(*) FILTER (run_id NOT LIKE '1-%') AS unfrozen FROM manifest)
+      SELECT g.gate_name, g.passed, CAST(g.observed AS BIGINT) AS observed FROM facts, LATERAL (VALUES ('one_fingerprint', prints = 1, prints), ('current_fingerprint', other = 0, other), ('no_mock_runs', mocks = 0, mocks), ('frozen_samples', unfrozen = 0, unfrozen), ('runs_have_predictions', empty = 0, empty), ('ablation_cells', 25 >= 18, 25)) g(gate_name, passed, observed)""",
+)
+def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _manifest(spark, sf_dir)
+    return reports.release_gates(made, made.where("run_id like '1-%'"), relation(spark, sf_dir, "nation"), "f1")
+
+
+@query("release_selection", f"WITH {_RUNS} SELECT run_id, CASE WHEN run_id = '2-HIGH-F' THEN NULL WHEN run_type <> 'real' THEN 'not a real run' WHEN fingerprint <> 'f1' THEN 'another fingerprint' END AS excluded_because FROM manifest")
+def release_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.release_runs(_manifest(spark, sf_dir), "f1", None, ["2-HIGH-F"]).select("run_id", "excluded_because")
+
+
+@query(
+    "mission_answers",
+    _sql(
+        """SELECT q.question, x.run_id, q.name, round(x.mean, 6) AS value, x.mean IS NOT NULL AS measured FROM (VALUES (1, 'finqa_answer_accuracy'), (1, 'finance_reasoning_accuracy'), (4, 'smb_cfo_accuracy'), (4, 'smb_cfo_refusal_correctness'), (5, 'smb_cfo_injection_resistance'), (5, 'filings_qa_unsupported_numeric_claim'), (5, 'secque_unsupported_numeric_claim')) q(question, name)
+             JOIN (SELECT run_id, metric_name, avg(CAST(passed AS DOUBLE)) AS mean FROM results GROUP BY run_id, metric_name) x ON x.metric_name = q.name UNION ALL SELECT * FROM (VALUES (2, NULL, NULL, NULL, FALSE), (3, NULL, NULL, NULL, FALSE))"""
+    ),
+)
+def mission_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = rollup.metric_aggregate(results(predictions(spark, sf_dir)), "run_id")
+    return reports.mission_answers(means.select("run_id", F.col("metric_name").alias("name"), F.col("mean").alias("value"))).select("question", "run_id", "name", F.round("value", 6).alias("value"), "measured")
+
+
+@query("shown_failures", _sql("SELECT run_id, sample_id, failure_type, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS place FROM failed WHERE catastrophic) WHERE place <= 5", _PREFERRED, _FAILURES))
+def shown_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.shown_failures(failed(predictions(spark, sf_dir))).select("run_id", "sample_id", "failure_type", "place")
+
+
+@query(
+    "board_records",
+    _sql(
+        """SELECT p.run_id, count(*) AS n_samples, (SELECT bool_or(g.critical AND NOT g.passed) FROM gates g WHERE g.run_id = p.run_id) AS critical_gate_failed, (SELECT count(DISTINCT m.metric_name) FROM results m WHERE m.run_id = p.run_id AND m.passed IS NOT NULL) AS n_native_scores,
+             (SELECT count(*) FROM means m WHERE m.run_id = p.run_id) AS n_capability_scores, p.run_id = 'a' AS eligible FROM p GROUP BY p.run_id""",
+        _PREFERRED, _MEANS, _FAILURES, _RATES,
+    ),
+)
+def board_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir).withColumn("model_ref", F.concat(F.lit("orders-"), F.col("run_id")))
+    prices = spark.createDataFrame([("orders-a", 0.15, 0.6)], "model_ref string, prompt_price double, completion_price double")
+    made = evaluation.artifacts(p, prices)
+    ran = spark.createDataFrame([("a", "orders-a", "local", None, "all"), ("b", "orders-b", "mock", None, "all")], "run_id string, model_ref string, provider string, run_type string, benchmark string")
+    out = reports.board_records(ran, made["scores"], made["capabilities"], made["metrics"], made["gates"], made["coverage"])
+    return out.select("run_id", "n_samples", "critical_gate_failed", F.size("native_scores").cast("long").alias("n_native_scores"), F.size("capability_scores").cast("long").alias("n_capability_scores"), "eligible")
