@@ -2,9 +2,9 @@
 
 Vectors lie in blocks. A block holds, for each component, a list of its vectors sorted by that component. A query reads
 all lists of a block in step, in sequence from the end that its own component's sign favours. Of every vector it keeps the
-sum of the products read so far, which is all that it ever learns of it; what is unread is bounded by the list's last
-read value from above and by the list's end from below. When no vector outside the candidates has an upper bound that
-reaches the k-th best lower bound, reading goes on for the candidates alone, until their scores are complete.
+sum of the products read so far, which is all that it ever learns of it: a lower bound once the rest is known, and with the lists' last
+read values in place of the rest an upper bound. Reading goes on for the vectors of the highest upper bounds until their
+scores are complete, and then for those alone whose upper bound reaches the k-th best of these scores.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from assaylake.llm._common import partitions, slices, stash
 #: Vectors of a block, about, and queries that travel together.
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 512
-#: Shares of the lists after which the bounds are looked at.
-DEPTHS = (0.5, 0.75, 0.9)
+#: The share of each list that is read before the bounds are looked at.
+DEPTH = 0.6
 
 
 def quantise(vector: str, scale: int = 256) -> Column:
@@ -49,51 +49,65 @@ class Block:
         self.ids = [ids[by_owner[s : s + min(c, k + 1)]] for s, c in zip(starts, counts, strict=True)]
         self.size, self.width = len(first), values.shape[1]
         lists = np.ascontiguousarray(values[first].T)
-        self.names = np.argsort(lists, axis=1, kind="stable").astype(np.int32)
+        self.names = np.argsort(lists, axis=1, kind="stable")
         self.values = np.take_along_axis(lists, self.names, axis=1)
-        self.largest = float(np.abs(lists).max(initial=0))
-
-    def _read(self, j: int, down: bool, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of list j from place ``start`` to ``stop``, counted from its highest value if ``down``."""
-        part = slice(self.size - stop, self.size - start) if down else slice(start, stop)
-        return self.names[j, part], self.values[j, part]
+        self.largest = int(np.abs(lists).max(initial=0))
+
+    def _read(self, lists: np.ndarray, weights: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of lists from place ``start`` to ``stop``, of a list with a positive weight counted from its highest
+        value, as names and products, a row for each list."""
+        names, products = np.empty((2, len(lists), stop - start), dtype=np.int64)
+        for some, part in ((weights > 0, slice(self.size - stop, self.size - start)), (weights < 0, slice(start, stop))):
+            names[some] = self.names[lists[some], part]
+            products[some] = self.values[lists[some], part] * weights[some, None]
+        return names, products
+
+    def _sums(self, names: np.ndarray, products: np.ndarray, bound: int) -> np.ndarray:
+        """The sum of the products of each vector; doubles are exact below 2 ** 53."""
+        if bound < 1 << 53:
+            return np.bincount(names.ravel(), weights=products.ravel(), minlength=self.size).astype(np.int64)
+        out = np.zeros(self.size, dtype=np.int64)
+        np.add.at(out, names.ravel(), products.ravel())
+        return out
 
     def best(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) of the block but the query's own id."""
         n = self.size
         lists = np.flatnonzero(query[: self.width])  # the others add nothing
         weights = query[lists]
-        known = np.zeros(n, dtype=np.int64)
-        seen = np.zeros((n, len(lists)), dtype=bool)
-        ends = np.array([w * self._read(j, w > 0, n - 1, n)[1][0] for j, w in zip(lists, weights, strict=True)], dtype=float)
-        candidates, depth = np.arange(n), 0
-        for share in DEPTHS if n > 4 * k else ():
-            start, depth = depth, int(np.ceil(n * share))
-            last = np.zeros(len(lists))
-            for i, (j, w) in enumerate(zip(lists, weights, strict=True)):
-                names, found = self._read(j, w > 0, start, depth)
-                known[names] += found * w  # a vector stands once in a list
-                seen[names, i] = True
-                last[i] = w * found[0 if w > 0 else -1]
-            unread = (~seen).astype(float)
-            slack = 1e-9 * (1 + float(np.abs(weights).sum()) * self.largest)
-            # one vector may be the query's own, so the bar is the (k + 1)-th best lower bound
-            bar = np.partition(known + unread @ ends, n - k - 1)[n - k - 1]
-            candidates = np.flatnonzero(known + unread @ last >= bar - slack)
-            if len(candidates) <= max(4 * k, n // 20):
-                break
-        wanted = np.zeros(n, dtype=bool)
-        wanted[candidates] = True
-        for j, w in zip(lists, weights, strict=True):
-            names, found = self._read(j, w > 0, depth, n)
-            some = wanted[names]
-            known[names[some]] += found[some] * w
+        bound = int(np.abs(weights).max(initial=0)) * self.largest * len(lists)
+        depth = int(np.ceil(n * DEPTH)) if n > 8 * k and len(lists) else n
+        names, products = self._read(lists, weights, 0, depth)
+        known = self._sums(names, products, bound)
+        candidates = np.arange(n)
+        if depth < n:
+            rest = self._read(lists, weights, depth, n)
+            last = np.where(weights > 0, products[:, 0], products[:, -1]).astype(float)[:, None]
+            unread = last.sum() - np.bincount(names.ravel(), weights=np.broadcast_to(last, names.shape).ravel(), minlength=n)
+            upper = known + unread
+            # the vectors of the highest bounds are read to the end; one may be the query's own, so the (k + 1)-th sets the bar
+            leaders = np.argpartition(upper, n - 4 * k)[n - 4 * k :]
+            self._read_on(known, leaders, rest)
+            bar = np.sort(known[leaders])[-k - 1]
+            reach = upper >= bar - 1e-9 * (1 + bound)
+            reach[leaders] = False
+            others = np.flatnonzero(reach)
+            self._read_on(known, others, rest)
+            candidates = np.concatenate([leaders, others])
         scores = known[candidates]
         most = max(0, len(scores) - k - 1)
         keep = scores >= np.partition(scores, most)[most] if len(scores) else np.zeros(0, bool)
         told = [(-int(s), int(i)) for s, c in zip(scores[keep], candidates[keep], strict=True) for i in self.ids[c] if i != query_id]
         return [(-s, i) for s, i in sorted(told)[:k]]
 
+    def _read_on(self, known: np.ndarray, wanted: np.ndarray, rest: tuple[np.ndarray, np.ndarray]) -> None:
+        """Complete the sums of some vectors from what is left of the lists."""
+        mark = np.zeros(self.size, dtype=bool)
+        mark[wanted] = True
+        names, products = (x.ravel() for x in rest)
+        here = np.flatnonzero(mark[names])
+        np.add.at(known, names[here], products[here])
+
 
 def _matrix(vectors: list[list[int]]) -> np.ndarray:
     """Vectors side by side, shorter ones padded with zeros."""
