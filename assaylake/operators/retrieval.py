@@ -15,24 +15,57 @@ from assaylake.functions.text import tokenize
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def postings(corpus: DataFrame, *scope: str, text: str = "text") -> DataFrame:
+def postings(corpus: DataFrame, *scope: str, text: str = "text", queries: DataFrame | None = None) -> DataFrame:
     """Term frequencies of chunks, with the chunk's length and, within each scope, the number of chunks, their mean length
-    and the chunks that have the term. Empty chunks count in the statistics."""
-    tokens = corpus.select(*scope, "chunk_id", tokenize(F.col(text)).alias("tokens"))
-    sized = tokens.withColumn("length", F.size("tokens"))
+    and the chunks that have the term. Empty chunks count in the statistics.
+
+    :param queries: only their terms are indexed, each in the query's scope: all other tokens leave before anything is counted.
+    """
+    sized = corpus.select(*scope, "chunk_id", tokenize(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
     stats = sized.groupBy(*scope).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
-    tf = sized.select(*scope, "chunk_id", "length", F.explode("tokens").alias("term")).groupBy(*scope, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    words = sized.select(*scope, "chunk_id", "length", F.explode("tokens").alias("term"))
+    if queries is not None:
+        words = words.join(_terms(queries, *scope).select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+    tf = words.groupBy(*scope, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     out = tf.join(df, [*scope, "term"])
-    return out.join(stats, list(scope)) if scope else out.crossJoin(F.broadcast(stats))  # one row of totals
+    return out.join(stats, list(scope)) if scope else out.crossJoin(stats)  # one row of totals
+
 
+def _terms(queries: DataFrame, *scope: str, text: str = "text") -> DataFrame:
+    return queries.select("query_id", *scope, F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count("*").alias("qtf"))
 
-def bm25(queries: DataFrame, index: DataFrame, *scope: str, text: str = "text") -> DataFrame:
+
+def bm25(queries: DataFrame, index: DataFrame, *scope: str) -> DataFrame:
     """The BM25 score of each query and chunk that share a term; a scoped query sees its own scope alone."""
-    terms = queries.select("query_id", *scope, F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count("*").alias("qtf"))
     idf = F.ln(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return terms.join(index, [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+    return _terms(queries, *scope).join(index, [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+
+
+def search(queries: DataFrame, corpus: DataFrame, scope: str | None = None) -> DataFrame:
+    """BM25 of queries over a corpus; with a scope a query sees the chunks of its own scope, and one whose scope is null sees all."""
+    if scope is None:
+        return bm25(queries, postings(corpus, queries=queries))
+    own, free = queries.where(F.col(scope).isNotNull()), queries.where(F.col(scope).isNull())
+    return bm25(own, postings(corpus, scope, queries=own), scope).unionByName(bm25(free, postings(corpus, queries=free)))
+
+
+def containing(passages: DataFrame, corpus: DataFrame, passage: str = "text", text: str = "text") -> DataFrame:
+    """Pairs ``query_id``, ``chunk_id`` of passages and the chunks that contain their whole text.
+
+    A passage's inner words stand as whole words in every chunk that contains it, so the longest of them finds the chunks
+    in which the passage is then looked for; passages of fewer than three words are looked for in all chunks.
+    """
+    words = F.split(F.col(passage), r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    wanted = passages.select("query_id", F.col(passage).alias("wanted"), F.when(F.size(inner) > 0, longest).alias("word"))
+    by_word = corpus.select("chunk_id", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("word"))
+    met = by_word.join(wanted.where("word is not null"), "word").select("chunk_id", "query_id", "wanted").distinct()
+    found = met.join(corpus.select("chunk_id", text), "chunk_id").where(F.contains(F.col(text), F.col("wanted"))).select("query_id", "chunk_id")
+    short = wanted.where("word is null").select("query_id", "wanted")
+    return found.unionByName(corpus.join(short, F.contains(F.col(text), F.col("wanted"))).select("query_id", "chunk_id"))
 
 
 def top_k(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
@@ -42,21 +75,23 @@ def top_k(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame:
-    """Cosines of query vectors with all vectors; a vector without length scores 0.
+def dense(queries: DataFrame, vectors: DataFrame, blocks: int | None = None, scope: str | None = None) -> DataFrame:
+    """Cosines of query vectors with all vectors; a vector without length scores 0. With a scope a query meets the vectors of its own.
 
     Both sides are unit vectors by then, so a score is one fold. Queries are a stated set: they are copied to each block
-    of the vectors, and a block meets them in one join on its number.
+    of the vectors, as many as there are shuffle partitions, and a block meets them in one join on its number.
     """
+    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def unit(df: DataFrame) -> DataFrame:
         size = norm(F.col("vector"))
         return df.withColumn("vector", F.transform("vector", lambda x: F.when(size == 0, 0.0).otherwise(x / size)))
 
-    v = unit(vectors).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    q = unit(queries).select("query_id", F.col("vector").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    more = [scope] if scope else []
+    v = unit(vectors.select("chunk_id", "vector", *more)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
+    q = unit(queries.select("query_id", "vector", *more)).select("query_id", *more, F.col("vector").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     dot = F.aggregate(F.zip_with("query", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return q.join(v, "block").select("query_id", "chunk_id", dot.alias("score"))
+    return q.join(v, ["block", *more]).select("query_id", "chunk_id", dot.alias("score"))
 
 
 def fuse(*ranked: DataFrame) -> DataFrame:

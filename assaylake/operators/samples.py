@@ -18,6 +18,19 @@ def round_robin(samples: DataFrame, n: int | None, *by: str, stratum: str = "tas
     return first.withColumn("place", F.row_number().over(taken)).where(F.col("place") <= n)
 
 
+def interleave(samples: DataFrame, *by: str, stratum: str = "task_family", order: str = "pos") -> DataFrame:
+    """The samples with their ``place`` when the sorted strata are taken in turn.
+
+    A place follows from the sizes of the strata alone: all that earlier turns took, and the strata before this one that still
+    have a sample. So only a stratum is ever sorted.
+    """
+    turned = samples.withColumn("turn", F.row_number().over(Window.partitionBy(*by, stratum).orderBy(order)))
+    sizes = samples.groupBy(*by, stratum).agg(F.count("*").alias("n")).groupBy(*by).agg(F.collect_list(F.struct(F.col(stratum).alias("s"), "n")).alias("strata"))  # a few for each group
+    joined = turned.join(sizes, list(by)) if by else turned.crossJoin(sizes)
+    taken = F.aggregate("strata", F.lit(0).cast("long"), lambda total, x: total + F.least(x["n"], (F.col("turn") - 1).cast("long")) + F.when((x["s"] < F.col(stratum)) & (x["n"] >= F.col("turn")), 1).otherwise(0).cast("long"))
+    return joined.withColumn("place", taken + 1).drop("strata")
+
+
 def manifest_rows(samples: DataFrame, manifest: DataFrame) -> DataFrame:
     """The samples that a manifest lists, with their place in it; an id that no sample has raises.
 
@@ -69,7 +82,7 @@ def coverage(samples: DataFrame, *by: str) -> DataFrame:
     has = lambda t: F.array_contains("capability_tags", t)
     return samples.groupBy(*by).agg(
         F.count("*").alias("n_samples"), F.avg(has("table_text").cast("int")).alias("table_text_share"), F.avg(has("bilingual").cast("int")).alias("bilingual_share"),
-        F.avg(has("tool_use").cast("int")).alias("agentic_share"), F.bool_or("should_refuse").alias("has_refusal"), F.count_if(F.col("canary").isNotNull()).alias("n_injections"),
+        F.avg(has("multimodal").cast("int")).alias("multimodal_share"), F.avg(has("tool_use").cast("int")).alias("agentic_share"), F.bool_or("should_refuse").alias("has_refusal"), F.count_if(F.col("canary").isNotNull()).alias("n_injections"),
         F.bool_or(has("evidence_grounding")).alias("has_grounding"), F.count_if(has("retrieval")).alias("n_retrieval"),
     )
 
@@ -102,7 +115,7 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     return marked.withColumn("rank", F.when(F.col("excluded_because").isNull(), F.row_number().over(order)))
 
 
-def violations(samples: DataFrame) -> DataFrame:
+def violations(samples: DataFrame, *keys: str) -> DataFrame:
     """Records that break a rule of the sample schema, one row for each rule broken."""
     c = F.col
     rules = {
@@ -111,7 +124,7 @@ def violations(samples: DataFrame) -> DataFrame:
         "translation_without_provenance": (c("language") != "en") & c("translation_provenance").isNull(),
     }
     named = F.filter(F.array(*(F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in rules.items())), lambda x: x.isNotNull())
-    return samples.select("sample_id", F.explode(named).alias("rule"))
+    return samples.select(*keys, "sample_id", F.explode(named).alias("rule"))
 
 
 def duplicate_ids(samples: DataFrame) -> DataFrame:
@@ -123,6 +136,11 @@ def orphans(predictions: DataFrame, samples: DataFrame) -> DataFrame:
     return predictions.join(samples, "sample_id", "left_anti")
 
 
+def accuracy_by_corruption(cases: DataFrame, *by: str) -> DataFrame:
+    """How often a judge is right about each kind of case; invalid verdicts do not count."""
+    return cases.where("verdict is not null").groupBy(*by, "corruption").agg(F.count("*").alias("n"), F.avg((F.col("verdict") == F.col("should_be_correct")).cast("int")).alias("accuracy"))
+
+
 def calibration_report(cases: DataFrame, *by: str) -> DataFrame:
     """How far a judge may be believed: accuracy, how often it passes wrong answers and fails right ones; verdicts that are
     null are invalid and count nowhere else.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.text import direction
-from assaylake.operators import conversation, evaluation, failures, metrics, reports, rollup, runs, samples, scoring, stats, tools
+from assaylake.operators import calibration, conversation, evaluation, failures, metrics, reports, rollup, runs, samples, scoring, stats, tools
 from assaylake.plans.derived import oracle, relation
 from assaylake.plans.registry import query
 
@@ -257,13 +257,13 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coverage",
     _sql(
         """SELECT run_id, benchmark, count(*) AS n_samples, round(avg(CAST(list_contains(t, 'table_text') AS INTEGER)), 6) AS table_text_share, round(avg(CAST(list_contains(t, 'bilingual') AS INTEGER)), 6) AS bilingual_share,
-             round(avg(CAST(list_contains(t, 'tool_use') AS INTEGER)), 6) AS agentic_share, bool_or(should_refuse) AS has_refusal, count(canary) AS n_injections, bool_or(list_contains(t, 'evidence_grounding')) AS has_grounding,
+             round(avg(CAST(list_contains(t, 'multimodal') AS INTEGER)), 6) AS multimodal_share, round(avg(CAST(list_contains(t, 'tool_use') AS INTEGER)), 6) AS agentic_share, bool_or(should_refuse) AS has_refusal, count(canary) AS n_injections, bool_or(list_contains(t, 'evidence_grounding')) AS has_grounding,
              count(*) FILTER (list_contains(t, 'retrieval')) AS n_retrieval FROM (SELECT *, string_split(tags, ',') AS t FROM p) GROUP BY run_id, benchmark"""
     ),
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = samples.coverage(predictions(spark, sf_dir), "run_id", "benchmark")
-    return out.withColumns({c: F.round(c, 6) for c in ("table_text_share", "bilingual_share", "agentic_share")})
+    return out.withColumns({c: F.round(c, 6) for c in ("table_text_share", "bilingual_share", "multimodal_share", "agentic_share")})
 
 
 _PRICES = "(VALUES ('orders-a', 0.15, 0.6), ('orders-b', 2.5, 10.0)) x(model_ref, prompt_price, completion_price)"
@@ -380,19 +380,21 @@ def accuracy_by_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stratified_freeze",
     oracle(
-        """SELECT benchmark, sample_id, place FROM (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY turn, task_family) AS place FROM (
-             SELECT *, row_number() OVER (PARTITION BY benchmark, task_family ORDER BY pos) AS turn FROM predicted WHERE run_id = 'a')) WHERE place <= 100""",
+        """SELECT run_id, benchmark, sample_id, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id, benchmark ORDER BY turn, task_family) AS place FROM (
+             SELECT *, row_number() OVER (PARTITION BY run_id, benchmark, task_family ORDER BY pos) AS turn FROM predicted)) WHERE place <= 100""",
         "predicted",
     ),
 )
 def stratified_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir).where("run_id = 'a'")
-    return samples.round_robin(p, 100, "benchmark").select("benchmark", "sample_id", "place")
+    return samples.round_robin(relation(spark, sf_dir, "predicted"), 100, "run_id", "benchmark").select("run_id", "benchmark", "sample_id", "place")
 
 
-@query("interleave", oracle("SELECT benchmark, sample_id, row_number() OVER (PARTITION BY benchmark, task_family ORDER BY pos) AS turn FROM predicted WHERE run_id = 'a'", "predicted"))
+@query(
+    "interleave",
+    oracle("SELECT run_id, benchmark, sample_id, row_number() OVER (PARTITION BY run_id, benchmark ORDER BY turn, task_family) AS place FROM (SELECT *, row_number() OVER (PARTITION BY run_id, benchmark, task_family ORDER BY pos) AS turn FROM predicted)", "predicted"),
+)
 def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.round_robin(predictions(spark, sf_dir).where("run_id = 'a'"), None, "benchmark").select("benchmark", "sample_id", "turn")
+    return samples.interleave(relation(spark, sf_dir, "predicted"), "run_id", "benchmark").select("run_id", "benchmark", "sample_id", "place")
 
 
 @query(
@@ -400,18 +402,13 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle("SELECT benchmark, count(DISTINCT sample_id) AS n_ids, substr(sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)), 1, 16) AS id_hash FROM (SELECT DISTINCT benchmark, sample_id FROM predicted) GROUP BY benchmark", "predicted"),
 )
 def id_set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.id_set_hash(predictions(spark, sf_dir), "benchmark")
+    return samples.id_set_hash(relation(spark, sf_dir, "predicted"), "benchmark")
 
 
-@query(
-    "manifest_projection",
-    oracle("SELECT sample_id, row_number() OVER (ORDER BY sha256(sample_id)) AS place, benchmark FROM predicted WHERE run_id = 'a' AND key % 50 = 0", "predicted"),
-)
+@query("manifest_projection", oracle("SELECT sample_id, pos AS place, benchmark FROM predicted WHERE run_id = 'a'", "predicted"))
 def manifest_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    p = predictions(spark, sf_dir).where("run_id = 'a'")
-    listed = p.where("key % 50 = 0").select("sample_id", F.row_number().over(Window.orderBy(F.sha2("sample_id", 256))).alias("place"))  # a manifest is a short list
+    p = relation(spark, sf_dir, "predicted").where("run_id = 'a'")
+    listed = p.select("sample_id", F.col("pos").alias("place"))
     return samples.manifest_rows(p, listed).select("sample_id", "place", "benchmark")
 
 
@@ -431,33 +428,64 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.leaderboard(each).select("run_id", "benchmark", "score", "excluded_because", F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
+_JUDGED = """judged AS (SELECT *, key % 2 = 0 AS good, CASE WHEN key % 19 <> 0 THEN key % 2 = 0 OR key % 7 = 1 END AS v, CASE key % 8 WHEN 0 THEN 'verbatim_expert_answer' WHEN 1 THEN 'wrong_company' WHEN 2 THEN 'correct_but_concise' WHEN 3 THEN 'invented_number' ELSE 'other' END AS corruption FROM predicted)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("key")
+    corruption = F.when(k % 8 == 0, "verbatim_expert_answer").when(k % 8 == 1, "wrong_company").when(k % 8 == 2, "correct_but_concise").when(k % 8 == 3, "invented_number").otherwise("other")
+    return relation(spark, sf_dir, "predicted").select("run_id", "benchmark", corruption.alias("corruption"), (k % 2 == 0).alias("should_be_correct"), F.when(k % 19 != 0, (k % 2 == 0) | (k % 7 == 1)).alias("verdict"))
+
+
 @query(
     "calibration_report",
     oracle(
-        """SELECT benchmark, n, n_invalid, round(accuracy, 6) AS accuracy, round(fp, 6) AS false_positive_rate, round(fn, 6) AS false_negative_rate, n > 0 AND accuracy >= 0.75 AND fp <= 0.20 AS passed FROM (
-             SELECT benchmark, count(v) AS n, count(*) - count(v) AS n_invalid, coalesce(avg(CAST(v = good AS INTEGER)), 0) AS accuracy, coalesce(avg(CAST(v AS INTEGER)) FILTER (NOT good), 0) AS fp, coalesce(avg(CAST(NOT v AS INTEGER)) FILTER (good), 0) AS fn
-             FROM (SELECT benchmark, key % 2 = 0 AS good, CASE WHEN key % 19 <> 0 THEN key % 2 = 0 OR key % 7 = 1 END AS v FROM predicted WHERE run_id = 'a') GROUP BY benchmark)""",
+        f"""WITH {_JUDGED} SELECT run_id, benchmark, n, n_invalid, round(accuracy, 6) AS accuracy, round(fp, 6) AS false_positive_rate, round(fn, 6) AS false_negative_rate, n > 0 AND accuracy >= 0.75 AND fp <= 0.20 AS passed FROM (
+             SELECT run_id, benchmark, count(v) AS n, count(*) - count(v) AS n_invalid, coalesce(avg(CAST(v = good AS INTEGER)), 0) AS accuracy, coalesce(avg(CAST(v AS INTEGER)) FILTER (NOT good), 0) AS fp, coalesce(avg(CAST(NOT v AS INTEGER)) FILTER (good), 0) AS fn
+             FROM judged GROUP BY run_id, benchmark)""",
         "predicted",
     ),
 )
 def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir).where("run_id = 'a'")
-    cases = p.select("benchmark", (F.col("key") % 2 == 0).alias("should_be_correct"), F.when(F.col("key") % 19 != 0, (F.col("key") % 2 == 0) | (F.col("key") % 7 == 1)).alias("verdict"))
-    return samples.calibration_report(cases, "benchmark").withColumns({c: F.round(c, 6) for c in ("accuracy", "false_positive_rate", "false_negative_rate")})
+    return samples.calibration_report(_judged(spark, sf_dir), "run_id", "benchmark").withColumns({c: F.round(c, 6) for c in ("accuracy", "false_positive_rate", "false_negative_rate")})
+
+
+@query("corruption_accuracy", oracle(f"WITH {_JUDGED} SELECT run_id, corruption, count(*) AS n, round(avg(CAST(v = good AS INTEGER)), 6) AS accuracy FROM judged WHERE v IS NOT NULL GROUP BY run_id, corruption", "predicted"))
+def corruption_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.accuracy_by_corruption(_judged(spark, sf_dir), "run_id").withColumn("accuracy", F.round("accuracy", 6))
+
+
+#: The cases that an expert's answer of one benchmark gives, in SQL; its figure is the only one that is asserted.
+_CASES = f"""
+answers AS (SELECT sample_id, pos, gold_answer AS t, gold_text AS x, gold FROM predicted WHERE run_id = 'a' AND benchmark = 'secque' AND gold IS NOT NULL),
+cases AS (SELECT sample_id, c.corruption, c.good, CASE c.corruption WHEN 'minor_rounding_variation' THEN replace(t, x, CASE WHEN gold < 10 THEN CAST(CAST(round_even(CAST(x AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS VARCHAR) ELSE CAST(CAST(round_even(CAST(x AS DECIMAL(18,2)), 0) AS BIGINT) AS VARCHAR) END)
+    WHEN 'wrong_company' THEN 'Berkshire Hathaway: ' || t WHEN 'invented_number' THEN CASE WHEN starts_with(x, substr(split_part(printf('%g', gold), '.', 1), 1, 4)) THEN replace(t, x, '8675309') ELSE t || ' The figure was 8,675,309 million.' END
+    WHEN 'inverted_direction' THEN CASE WHEN contains(t, 'rose') THEN replace(t, 'rose', 'declined') WHEN contains(t, 'fell') THEN replace(t, 'fell', 'increased') END WHEN 'refusal_despite_sufficient_context' THEN '{calibration.REFUSAL}'
+    WHEN 'fluent_but_unsupported' THEN '{calibration.NONSENSE.replace("'", "''")}' ELSE t END AS answer
+  FROM answers, (VALUES ('verbatim_expert_answer', TRUE), ('correct_but_concise', TRUE), ('minor_rounding_variation', TRUE), ('wrong_company', FALSE), ('invented_number', FALSE), ('inverted_direction', FALSE), ('refusal_despite_sufficient_context', FALSE), ('fluent_but_unsupported', FALSE)) c(corruption, good))
+"""
+
+
+@query("calibration_cases", oracle(f"WITH {_CASES} SELECT sample_id, corruption, answer, good AS should_be_correct FROM cases WHERE answer IS NOT NULL", "predicted"))
+def calibration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expert = relation(spark, sf_dir, "predicted").where("run_id = 'a' and benchmark = 'secque' and gold is not null").select("pos", "sample_id", "gold_answer", F.lit("Acme Holdings Inc").alias("company"))
+    return calibration.cases(expert, None).select("sample_id", "corruption", "answer", "should_be_correct")
 
 
 @query(
     "constraint_violations",
     oracle(
-        """SELECT sample_id, r AS rule FROM (SELECT sample_id, unnest([CASE WHEN task_family = '' OR benchmark = '' THEN 'empty_field' END, CASE WHEN NOT starts_with(sample_id, benchmark || ':test:') THEN 'id_prefix' END, CASE WHEN language <> 'en' THEN 'translation_without_provenance' END]) AS r
-             FROM (SELECT sample_id, CASE WHEN key % 3 = 0 THEN 'orders' ELSE benchmark END AS benchmark, CASE WHEN key % 101 = 0 THEN '' ELSE task_family END AS task_family, CASE WHEN key % 31 = 0 THEN 'ru' ELSE 'en' END AS language FROM predicted WHERE run_id = 'a')) WHERE r IS NOT NULL""",
+        """SELECT run_id, sample_id, r AS rule FROM (SELECT run_id, sample_id, unnest([CASE WHEN task_family = '' OR benchmark = '' THEN 'empty_field' END, CASE WHEN NOT starts_with(sample_id, benchmark || ':test:') THEN 'id_prefix' END, CASE WHEN language <> 'en' THEN 'translation_without_provenance' END]) AS r
+             FROM (SELECT run_id, sample_id, CASE WHEN key % 3 = 0 THEN 'orders' ELSE benchmark END AS benchmark, CASE WHEN key % 101 = 0 THEN '' ELSE task_family END AS task_family, CASE WHEN key % 31 = 0 THEN 'ru' ELSE 'en' END AS language FROM predicted)) WHERE r IS NOT NULL""",
         "predicted",
     ),
 )
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir).where("run_id = 'a'")
-    rows = p.select("sample_id", F.when(F.col("key") % 3 == 0, "orders").otherwise(F.col("benchmark")).alias("benchmark"), F.lit("test").alias("split"), F.when(F.col("key") % 101 == 0, "").otherwise(F.col("task_family")).alias("task_family"), F.lit("q").alias("question"), F.when(F.col("key") % 31 == 0, "ru").otherwise("en").alias("language"), F.lit(None).cast("string").alias("translation_provenance"))
-    return samples.violations(rows)
+    rows = relation(spark, sf_dir, "predicted").select(
+        "run_id", "sample_id", F.when(F.col("key") % 3 == 0, "orders").otherwise(F.col("benchmark")).alias("benchmark"), F.lit("test").alias("split"), F.when(F.col("key") % 101 == 0, "").otherwise(F.col("task_family")).alias("task_family"),
+        F.lit("q").alias("question"), F.when(F.col("key") % 31 == 0, "ru").otherwise("en").alias("language"), F.lit(None).cast("string").alias("translation_provenance"),
+    )
+    return samples.violations(rows, "run_id")
 
 
 @query(

@@ -9,8 +9,10 @@ from assaylake.functions.text import STOPWORDS, tokenize
 from assaylake.operators import retrieval as R
 from assaylake.plans.derived import relation
 from assaylake.plans.registry import query
+from assaylake.sources.tables import stash
 
-K = 5
+K, DEEP = 5, 20
+DEPTHS = (1, 3, 5, 10, 20)
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 #: Tokens of the corpus and the queries, for the oracles.
@@ -31,7 +33,7 @@ _SCOPED = f"""bm25 AS (SELECT q.query_id, tf.chunk_id, round({_WEIGHT}, 6) AS sc
   JOIN (SELECT document_id, term, count(*) AS df FROM tf GROUP BY ALL) d ON d.term = tf.term AND d.document_id = tf.document_id JOIN (SELECT document_id, count(*) AS n, avg(length) AS mean FROM lengths GROUP BY document_id) s ON s.document_id = tf.document_id
   GROUP BY q.query_id, tf.chunk_id)"""
 _UNIT = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS size FROM embeddings)"""
-_DENSE = """dense AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, round(CASE WHEN q.size * d.size = 0 THEN 0 ELSE list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) / (q.size * d.size) END, 6) AS score FROM v q JOIN v d ON q.vec_id % 25 = 0)"""
+_DENSE = """dense AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, round(CASE WHEN q.size * d.size = 0 THEN 0 ELSE list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) / (q.size * d.size) END, 6) AS score FROM v q JOIN v d ON q.vec_id % 100 = 0)"""
 
 
 def _ranked(source: str, k: int = K) -> str:
@@ -47,14 +49,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, sf_dir: str, scoped: bool = False) -> DataFrame:
-    scope = ("document_id",) if scoped else ()
-    return R.bm25(questions(spark, sf_dir), R.postings(corpus(spark, sf_dir), *scope), *scope)
+    return R.search(questions(spark, sf_dir), corpus(spark, sf_dir), "document_id" if scoped else None)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every 25th vector as a query, and all vectors."""
+    """Vectors whose id is divisible by 100 as queries, and all vectors."""
     e = relation(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label"))
-    return e.where("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e
+    return e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e
 
 
 @query("token_counts", f"WITH {_TOKENS} SELECT document_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM ctok GROUP BY document_id")
@@ -106,7 +107,7 @@ measures AS (SELECT a.arm, w.query_id, CAST(d.k AS BIGINT) AS k, coalesce(max(CA
     CASE WHEN count(m.rank) = 0 THEN 0 ELSE count(*) FILTER (m.page) / count(m.rank) END AS precision, count(*) FILTER (m.page) / w.n_gold AS recall,
     coalesce(1.0 / min(CASE WHEN m.page THEN m.rank END), 0) AS mrr, CAST(min(CASE WHEN m.page THEN m.rank END) AS DOUBLE) AS first_rank,
     CASE WHEN count(m.rank) = 0 THEN 0 ELSE coalesce(sum(CASE WHEN m.page THEN 1 / log2(m.rank + 1) END), 0) / list_sum(list_transform(range(1, CAST(least(w.n_gold, count(m.rank)) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END AS ndcg
-  FROM wanted w CROSS JOIN arms a CROSS JOIN (VALUES (1), (3), (5)) d(k) LEFT JOIN marked m ON m.query_id = w.query_id AND m.arm = a.arm AND m.rank <= d.k GROUP BY a.arm, w.query_id, d.k, w.n_gold),
+  FROM wanted w CROSS JOIN arms a CROSS JOIN (VALUES (1), (3), (5), (10), (20)) d(k) LEFT JOIN marked m ON m.query_id = w.query_id AND m.arm = a.arm AND m.rank <= d.k GROUP BY a.arm, w.query_id, d.k, w.n_gold),
 full_measures AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM measures)
 """
 _ARM = "SELECT '{arm}' AS arm, r.query_id, r.chunk_id, c.document_id, r.rank FROM {ranked} r JOIN corpus c USING (chunk_id)"
@@ -115,8 +116,8 @@ _NAMES = ("document_hit", "page_hit", "precision", "recall", "f1", "mrr", "ndcg"
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of queries and the chunks that contain their whole text: a stated set of queries against all rows."""
-    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("wanted"))
-    return corpus(spark, sf_dir).join(F.broadcast(q), F.contains("text", "wanted")).select("query_id", "chunk_id", "document_id")  # the benchmark is a short list of passages
+    chunks = corpus(spark, sf_dir)
+    return R.containing(questions(spark, sf_dir), chunks).join(chunks.select("chunk_id", "document_id"), "chunk_id")
 
 
 def _arm(name: str, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -125,25 +126,51 @@ def _arm(name: str, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
 @query(
     "retrieval_measures",
-    f"WITH {_TOKENS}, {_BM25}, {_MEASURES.format(arms=_ARM.format(arm='bm25', ranked=_ranked('bm25')))} SELECT arm, query_id, k, first_rank, {', '.join(f'CAST(round({n}, 6) AS DOUBLE) AS {n}' for n in _NAMES)} FROM full_measures",
+    f"WITH {_TOKENS}, {_BM25}, {_MEASURES.format(arms=_ARM.format(arm='bm25', ranked=_ranked('bm25', DEEP)))} SELECT arm, query_id, k, first_rank, {', '.join(f'CAST(round({n}, 6) AS DOUBLE) AS {n}' for n in _NAMES)} FROM full_measures",
 )
 def retrieval_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _arm("bm25", R.top_k(lexical(spark, sf_dir), K, 6), corpus(spark, sf_dir))
-    return R.relevance_measures(hits, relevant(spark, sf_dir), [1, 3, 5], "arm").withColumns({n: F.round(n, 6) for n in _NAMES})
+    hits = _arm("bm25", R.top_k(lexical(spark, sf_dir), DEEP, 6), corpus(spark, sf_dir))
+    return R.relevance_measures(hits, relevant(spark, sf_dir), list(DEPTHS), "arm").withColumns({n: F.round(n, 6) for n in _NAMES})
 
 
 _SCOPED_CTE = _SCOPED.replace("bm25 AS", "scoped AS")
+#: Vectors of the chunks; a scoped query meets those of its own document.
+_CHUNK_VECTORS = "cv AS (SELECT v.vec_id, v.v, v.size, c.document_id FROM v JOIN corpus c ON c.chunk_id = v.vec_id), qv AS (SELECT v.vec_id, v.v, v.size, q.document_id FROM v JOIN queries q ON q.query_id = v.vec_id)"
+_COSINE = "round(CASE WHEN q.size * d.size = 0 THEN 0 ELSE list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) / (q.size * d.size) END, 6)"
+
+
+def _fusion(name: str, lexical_: str, dense_: str) -> str:
+    return f"{name} AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, chunk_id, rank FROM {_ranked(lexical_, 2 * DEEP)} UNION ALL SELECT query_id, chunk_id, rank FROM {_ranked(dense_, 2 * DEEP)}) GROUP BY ALL)"
+
+
+_ARMS = {"bm25": "bm25", "bm25_scoped": "scoped", "dense": "dense_open", "dense_scoped": "dense_scoped", "hybrid": "hybrid_open", "hybrid_scoped": "hybrid_scoped"}
+_ALL_ARMS = f"""{_BM25}, {_SCOPED_CTE}, {_UNIT}, {_CHUNK_VECTORS}, dense_open AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, {_COSINE} AS score FROM qv q JOIN cv d ON TRUE),
+  dense_scoped AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, {_COSINE} AS score FROM qv q JOIN cv d ON d.document_id = q.document_id), {_fusion("hybrid_open", "bm25", "dense_open")}, {_fusion("hybrid_scoped", "scoped", "dense_scoped")}"""
+
+
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 20 of each arm, written once as small tables: each search runs once, and the fusions read its top 40."""
+    chunks, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
+    _, every = vectors(spark, sf_dir)
+    placed = every.join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    wanted = asked.select("query_id", "document_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "document_id", "vector")
+    deep = lambda arm, scored: R.top_k(scored, 2 * DEEP, 6).withColumn("arm", F.lit(arm))
+    searched = stash(
+        deep("bm25", R.search(asked, chunks)).unionByName(deep("bm25_scoped", R.search(asked, chunks, "document_id"))).unionByName(deep("dense", R.dense(wanted, placed))).unionByName(deep("dense_scoped", R.dense(wanted, placed, scope="document_id")))
+    )
+    of = lambda arm: searched.where(F.col("arm") == arm)
+    fused = [R.top_k(R.fuse(of(f"bm25{s}"), of(f"dense{s}")), DEEP, 12).withColumn("arm", F.lit(f"hybrid{s}")) for s in ("", "_scoped")]
+    return searched.where(F.col("rank") <= DEEP).unionByName(fused[0]).unionByName(fused[1])
 
 
 @query(
     "retrieval_ablation",
-    f"""WITH {_TOKENS}, {_BM25}, {_SCOPED_CTE}, {_UNIT}, {_FUSED}, {_MEASURES.format(arms=" UNION ALL ".join(_ARM.format(arm=a, ranked=_ranked(s)) for a, s in (("bm25", "bm25"), ("bm25_scoped", "scoped"), ("hybrid", "fused"))))}
+    f"""WITH {_TOKENS}, {_ALL_ARMS}, {_MEASURES.format(arms=" UNION ALL ".join(_ARM.format(arm=a, ranked=_ranked(s, DEEP)) for a, s in _ARMS.items()))}
       SELECT arm, k, count(*) AS n, {", ".join(f"CAST(round(avg({n}), 6) AS DOUBLE) AS {n}" for n in _NAMES)}, round(avg(first_rank), 6) AS mean_rank FROM full_measures GROUP BY arm, k""",
 )
 def retrieval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = corpus(spark, sf_dir)
-    arms = _arm("bm25", R.top_k(lexical(spark, sf_dir), K, 6), chunks).unionByName(_arm("bm25_scoped", R.top_k(lexical(spark, sf_dir, scoped=True), K, 6), chunks)).unionByName(_arm("hybrid", hybrid(spark, sf_dir), chunks))
-    measured = R.relevance_measures(arms, relevant(spark, sf_dir), [1, 3, 5], "arm")
+    hits = arms(spark, sf_dir).join(corpus(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id")
+    measured = R.relevance_measures(hits, stash(relevant(spark, sf_dir)), list(DEPTHS), "arm")
     return R.ablation(measured, "arm").withColumns({n: F.round(n, 6) for n in (*_NAMES, "mean_rank")})
 
 

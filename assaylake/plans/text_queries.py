@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.functions import finance, numbers, programs, text
+from assaylake.functions import finance, numbers, programs, text, toolbox
 from assaylake.operators import tools
 from assaylake.plans.derived import relation
 from assaylake.plans.registry import query
@@ -103,7 +103,9 @@ def formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("date_differences", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS BIGINT) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def date_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = relation(spark, sf_dir, "lineitem").join(relation(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.datediff("l_shipdate", "o_orderdate").alias("days"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    asked = F.create_map(F.lit("from"), day("o_orderdate"), F.lit("to"), day("l_shipdate"))
+    return both.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), toolbox.date_diff(asked, F.lit(None), F.lit(None))["output"].cast("long").alias("days"))
 
 
 @query("json_answers", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS numeric_value, FALSE AS insufficient_information FROM events")
@@ -118,21 +120,49 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "csv_query",
     """SELECT c_mktsegment, kind, CAST(result AS DOUBLE) AS result FROM (
          SELECT c_mktsegment, unnest([{'kind': 'sum', 'result': CAST(sum(v) AS DOUBLE)}, {'kind': 'min', 'result': CAST(min(v) AS DOUBLE)}, {'kind': 'max', 'result': CAST(max(v) AS DOUBLE)}, {'kind': 'count', 'result': CAST(count(*) AS DOUBLE)}], recursive := true)
-         FROM (SELECT c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer WHERE contains(lower(c_name), '#00000') AND c_custkey % 3 = 0) GROUP BY c_mktsegment)""",
+         FROM (SELECT c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2)) AS v FROM customer WHERE contains(lower(c_name), '#00000')) GROUP BY c_mktsegment)""",
 )
 def csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = relation(spark, sf_dir, "customer").where("c_custkey % 3 = 0").withColumn("balance", F.format_number(F.col("c_acctbal").cast("decimal(18,2)"), 2))
+    c = relation(spark, sf_dir, "customer").withColumn("balance", F.format_number(F.col("c_acctbal").cast("decimal(18,2)"), 2))
     parts = [tools.csv_query(c, {"c_name": "#00000"}, kind, "balance", "c_mktsegment").select("c_mktsegment", F.lit(kind).alias("kind"), F.col("result").cast("double").alias("result")) for kind in ("sum", "min", "max", "count")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @query(
     "document_search",
-    """SELECT doc_id, len(l) AS n_lines FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), ' the ')) AS l FROM documents) WHERE len(l) > 0""",
+    """SELECT doc_id, least(len(l), 20) AS n_lines, substr(l[1], 1, 40) AS first_line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'the')) AS l FROM documents) WHERE len(l) > 0""",
 )
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit(" the ")))
-    return relation(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines")).where("n_lines > 0")
+    found = relation(spark, sf_dir, "documents").select("doc_id", text.matching_lines(F.col("text"), F.lit(" THE "), toolbox.MAX_LINES).alias("l"))
+    return found.where(F.size("l") > 0).select("doc_id", F.size("l").alias("n_lines"), F.substring(F.get("l", F.lit(0)), 1, 40).alias("first_line"))
+
+
+_CALLS = """
+SELECT o_orderkey AS pos, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR(30)) AS x, CAST(2 * o_custkey + 1 AS VARCHAR(30)) AS y FROM orders
+"""
+
+
+@query(
+    "tool_calls",
+    f"""SELECT pos, CASE pos % 8 WHEN 0 THEN 2 * dy + 1 WHEN 1 THEN round((dx - dy) * 100 / dy, 6) WHEN 2 THEN round(dx / 100, 6) WHEN 3 THEN round(dx * 1.09, 6) WHEN 4 THEN dx + 7 WHEN 5 THEN round((dx - dy) / dx * 100, 6) END AS output,
+         CASE pos % 8 WHEN 6 THEN 'not_found' WHEN 7 THEN 'unknown_tool' END AS error FROM (SELECT pos, CAST(x AS DOUBLE) AS dx, CAST(y AS DOUBLE) AS dy FROM ({_CALLS}))""",
+)
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored calls of the tools, and what they give; a number is read back from the output."""
+    rows = spark.sql(_CALLS.replace("FROM orders", "FROM {orders}"), orders=relation(spark, sf_dir, "orders"))
+    k = F.col("pos") % 8
+    say = lambda form, *args: F.format_string(form, *args)
+    name, args = F.lit("none"), F.lit("{}")
+    calls = (
+        ("calculator", say('{"expression": "2 * %s + 1"}', "y")), ("percent_change", say('{"old": %s, "new": "%s"}', "y", "x")), ("basis_points", say('{"basis_points": %s}', "x")), ("convert_currency", say('{"amount": %s, "from": "eur", "to": "usd"}', "x")),
+        ("csv_query", say('{"aggregate": "sum", "column": "Amount", "where": {"name": "row"}}')), ("formula", say('{"name": "gross_margin", "values": {"revenue": %s, "cogs": %s}}', "x", "y")), ("table_lookup", say('{"row": "nothing like it"}')),
+    )
+    for i, (tool, given) in enumerate(calls):
+        name, args = F.when(k == i, tool).otherwise(name), F.when(k == i, given).otherwise(args)
+    grid = lambda table, *lines: F.struct(F.lit(table).alias("table_id"), F.array(*(F.array(*(c if not isinstance(c, str) else F.lit(c) for c in line)) for line in lines)).alias("rows"))
+    tables = F.array(grid("ledger", ("name", "amount"), ("row one", F.concat(F.lit("$"), "x")), ("Row two", "(7)"), ("total", "9")), grid("fx_rates", ("Currency", "Rate"), ("EUR", "1.09")))
+    told = rows.select("pos", toolbox.tool_result(name, args, F.array(F.lit("no text")), tables).alias("r"))
+    return told.select("pos", F.round(F.col("r.output").try_cast("double"), 6).alias("output"), F.col("r.error").alias("error"))
 
 
 @query(
@@ -157,38 +187,65 @@ def tool_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.tool_metrics(traces).select("sample_id", "metric_name", "value", "passed")
 
 
-@query("program_accuracy")
+_PROGRAMS = """
+SELECT o_orderkey AS pos, floor(o_totalprice) AS x, 2 * o_custkey + 1 AS y, o_orderkey % 6 AS k FROM orders
+"""
+
+
+@query(
+    "program_accuracy",
+    f"""SELECT pos, CASE WHEN k = 3 THEN 'n/a' WHEN k = 4 THEN CASE WHEN x > y THEN 'yes' ELSE 'no' END ELSE CAST(found AS VARCHAR) END AS executed, coalesce(k < 2 OR k = 5, FALSE) AS execution_correct, k IN (0, 5) AS program_correct FROM (
+          SELECT *, CASE k WHEN 2 THEN CAST(x + y AS DOUBLE) ELSE round((CAST(x AS DOUBLE) - y) / y, 5) END AS found FROM ({_PROGRAMS}))""",
+)
 def program_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programs over two numbers of an order, right, rewritten, wrong or malformed by its key."""
-    o = relation(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").cast("string").alias("x"), (F.col("o_custkey") + 1).cast("string").alias("y"))
-    gold = F.concat(F.lit("subtract("), "x", F.lit(", "), "y", F.lit("), divide(#0, "), "y", F.lit(")"))
-    other = F.concat(F.lit("divide("), "x", F.lit(", "), "y", F.lit("), subtract(#0, const_1)"))
-    k = F.col("pos") % 4
-    said = F.when(k == 0, F.concat(F.lit("```\n"), gold, F.lit("\n```"))).when(k == 1, other).when(k == 2, F.concat(F.lit("add("), "x", F.lit(", "), "y", F.lit(")"))).otherwise("no program here")
+    """Programs over two numbers of an order: as the gold one, rewritten with a constant, wrong, none, a comparison, or the same function
+    with its steps in another order. The divisor is odd, so no quotient is a tie of its fifth digit."""
+    o = spark.sql(_PROGRAMS.replace("FROM orders", "FROM {orders}"), orders=relation(spark, sf_dir, "orders")).withColumns({"x": F.col("x").cast("long").cast("string"), "y": F.col("y").cast("string")})
+    k = F.col("k")
+    made = lambda form, *names: F.format_string(form, *names)
+    gold = made("subtract(%s, %s), divide(#0, %s)", "x", "y", "y")
+    said = (
+        F.when(k == 0, F.concat(F.lit("```\n"), gold, F.lit("\n```"))).when(k == 1, made("divide(%s, %s), subtract(#0, const_1)", "x", "y")).when(k == 2, made("add(%s, %s)", "x", "y"))
+        .when(k == 4, made("greater(%s, %s)", "x", "y")).when(k == 5, made("divide(%s, %s), divide(%s, %s), subtract(#0, #1)", "x", "y", "y", "y")).otherwise("no program here")
+    )
     value = F.round((F.col("x").cast("double") - F.col("y").cast("double")) / F.col("y").cast("double"), 5)
-    rows = o.withColumns({"gold_program": gold, "said": said, "gold": value.cast("string")})
-    scored = rows.withColumn("s", programs.program_scores(F.col("said"), F.col("gold_program"), F.col("gold"), F.lit(None).cast("array<array<string>>")))
+    scored = o.withColumn("s", programs.program_scores(said, gold, value.cast("string"), F.lit(None).cast("array<array<string>>")))
     return scored.select("pos", "s.executed", "s.execution_correct", "s.program_correct")
 
 
-@query("span_answers")
+_SPANS = """
+SELECT o_orderkey AS pos, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30)) AS x, o_orderkey % 6 AS k,
+  CASE o_orderkey % 6 WHEN 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30)) WHEN 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30)) || ' thousand' WHEN 2 THEN 'the ' || o_orderstatus || 'x, and the debt' WHEN 3 THEN '12.5%'
+    WHEN 4 THEN '$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30)) ELSE 'cash of ' || o_orderpriority END AS said,
+  CASE o_orderkey % 6 WHEN 2 THEN 'debt|fx' WHEN 3 THEN '12.5' WHEN 5 THEN 'cash|' || o_orderpriority ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30)) END AS gold,
+  CASE o_orderkey % 6 WHEN 1 THEN 'thousand' WHEN 3 THEN 'percent' ELSE '' END AS scale FROM orders
+"""
+_WORDS = "list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
+@query(
+    "span_answers",
+    f"""SELECT pos, CASE WHEN worded THEN CAST(exact_words AS DOUBLE) ELSE CAST(said_number = gold_number AS DOUBLE) END AS exact_match, CASE WHEN worded THEN round(2.0 * common / (n_said + n_gold), 2) ELSE CAST(said_number = gold_number AS DOUBLE) END AS f1, scale_said = scale AS scale_correct FROM (
+          SELECT *, k IN (2, 5) AS worded, len(list_intersect(w, g)) AS common, len(w) AS n_said, len(g) AS n_gold, len(w) = len(g) AND len(list_intersect(w, g)) = len(g) AND k <> 2 AND k <> 5 AS exact_words,
+            CASE WHEN contains(said, '%') THEN CAST(replace(said, '%', '') AS DOUBLE) / 100 WHEN k IN (0, 1, 4) THEN CAST(x AS DOUBLE) * CASE WHEN contains(said, 'thousand') THEN 1000 * 1000 ELSE 1 END END AS said_number,
+            CASE WHEN k IN (0, 1, 3, 4) THEN CAST(gold AS DOUBLE) * CASE scale WHEN 'thousand' THEN 1000 WHEN 'percent' THEN 0.01 ELSE 1 END END AS gold_number, CASE WHEN contains(said, '%') THEN 'percent' WHEN contains(said, 'thousand') THEN 'thousand' ELSE '' END AS scale_said
+          FROM (SELECT *, {_WORDS.format("replace(said, ',', ' ')")} AS w, {_WORDS.format("replace(gold, '|', ' ')")} AS g FROM ({_SPANS})))""",
+)
 def span_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Span and number answers with scales, from the orders."""
-    o = relation(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").cast("string").alias("x"))
-    k = F.col("pos") % 4
-    said = F.when(k == 0, F.col("x")).when(k == 1, F.concat("x", F.lit(" thousand"))).when(k == 2, "the cash, and the debt").otherwise("12.5%")
-    gold = F.when(k < 2, F.array("x")).when(k == 2, F.array(F.lit("debt"), F.lit("cash"))).otherwise(F.array(F.lit("12.5")))
-    scale = F.when(k == 1, "thousand").when(k == 3, "percent").otherwise("")
-    rows = o.withColumn("s", programs.span_metrics(said, F.lit(None).cast("double"), F.lit(None).cast("string"), gold, scale, F.when(k == 2, "multi-span").otherwise("arithmetic")))
+    """Span and number answers with scales, from the orders. A scale word in an answer counts in the number and as its scale."""
+    o = spark.sql(_SPANS.replace("FROM orders", "FROM {orders}"), orders=relation(spark, sf_dir, "orders"))
+    k = F.col("k")
+    kind = F.when(k == 2, "multi-span").when(k == 5, "span").otherwise("arithmetic")
+    rows = o.withColumn("s", programs.span_metrics(F.col("said"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.split("gold", r"\|"), F.col("scale"), kind))
     return rows.select("pos", "s.exact_match", "s.f1", "s.scale_correct")
 
 
-@query("prose_answers", "SELECT o_orderkey AS pos, o_orderkey % 4 <> 3 AS correct FROM orders WHERE o_totalprice >= 1000")
+@query("prose_answers", "SELECT pos, coalesce(abs(TRY_CAST(regexp_extract(said, '[0-9]+') AS DOUBLE) - x) <= x * 0.002, FALSE) AS correct FROM (SELECT o_orderkey AS pos, floor(o_totalprice) AS x, CASE o_orderkey % 6 WHEN 0 THEN 'approximately ' || v WHEN 1 THEN 'total = $' || v WHEN 2 THEN v || ' kg' WHEN 3 THEN CAST(CAST(2 * floor(o_totalprice) AS BIGINT) AS VARCHAR) WHEN 4 THEN CAST(CAST(floor(o_totalprice * 1.0015) AS BIGINT) AS VARCHAR) ELSE 'no number' END AS said FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS v FROM orders))")
 def prose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in prose, of which a quarter is too far from the gold."""
-    o = relation(spark, sf_dir, "orders").where("o_totalprice >= 1000").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").alias("x"))
-    k, x = F.col("pos") % 4, F.col("x").cast("string")
-    said = F.when(k == 0, F.concat(F.lit("approximately "), x)).when(k == 1, F.concat(F.lit("total = $"), x)).when(k == 2, F.concat(x, F.lit(" kg"))).otherwise(F.concat((F.col("x") * 2).cast("string")))
+    """Numbers in prose, near the gold or too far from it."""
+    o = relation(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").alias("x"), F.floor(F.col("o_totalprice") * 1.0015).cast("string").alias("near"))
+    k, x = F.col("pos") % 6, F.col("x").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("approximately "), x)).when(k == 1, F.concat(F.lit("total = $"), x)).when(k == 2, F.concat(x, F.lit(" kg"))).when(k == 3, (F.col("x") * 2).cast("string")).when(k == 4, F.col("near")).otherwise("no number")
     return o.select("pos", programs.prose_correct(said, F.lit(None).cast("double"), x).alias("correct"))
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Smaller files than this are not worth a shuffle.
@@ -18,3 +24,69 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Folders, and tables by name, written in each open ``scratch``, the innermost last; the first are removed when the driver ends.
+_OPEN: list[list[tuple[str, str | None]]] = [[]]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse's tables where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+    return context.getCheckpointDir()
+
+
+def _shared_path(spark: SparkSession, name: str, is_table: bool = False) -> str:
+    path = f"{shared_dir(spark)}/{name}"
+    _OPEN[-1].append((path, name if is_table else None))
+    return path
+
+
+def _remove(written: list[tuple[str, str | None]]) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or SparkContext._active_spark_context is None:
+        return
+    for path, name in written:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _remove_rest() -> None:
+    try:
+        _remove([entry for level in _OPEN for entry in level])
+    except Exception:  # noqa: BLE001  the session may be gone; what is left then goes with the shared folder
+        pass
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stashed inside is removed at the end; a result that is to stay is written outside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        _remove(_OPEN.pop())
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage: what follows reads files that every executor sees, so a lost executor costs no more
+    than its running tasks.
+    """
+    path = _shared_path(df.sparkSession, f"stash-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``column``: a join on it does not move the table."""
+    name = f"assaylake_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", _shared_path(df.sparkSession, name, True)).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
