@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,39 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-#: Texts are handed to Python code in slices of this many rows, whatever the size of an Arrow batch.
-SLICE_ROWS = 512
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assaylake-"))
-    return context.getCheckpointDir()
+from assaylake.sources.tables import bucketed, shared_dir, stash, table
 
+__all__ = ["SLICE_ROWS", "bucketed", "crc_mod", "partitions", "shared_dir", "slices", "stash", "table", "unused", "with_columns"]
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage: what follows reads files that every executor sees, so a lost executor costs no more
-    than its running tasks.
-    """
-    path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """``df`` as a table in the shared folder, in buckets of ``column``: a join on it does not move the table."""
-    name = f"assaylake_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(df.sparkSession)}/{name}").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+#: Texts are handed to Python code in slices of this many rows, whatever the size of an Arrow batch.
+SLICE_ROWS = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
