@@ -6,11 +6,14 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm import language, mixing, packing, simhash, toxicity
-from assaylake.llm._common import stash, table, unused
+from assaylake.llm._common import shared_dir, table, unused
+from assaylake.sources.tables import scratch
 
 #: Documents are near-duplicates from this similarity of five-word shingles on.
 SIMILARITY = 0.8
@@ -59,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next one reads it."""
+    """All stages over ``documents``, each written before the next one reads it; what a stage writes for itself goes with it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        schema, path = docs.schema, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
