@@ -1,18 +1,18 @@
 """SimHash near-duplicate detection over a Gray-ordered hierarchical index.
 
 Fingerprints that differ in at most three of 64 bits agree in at least one of four 16-bit blocks. Every
-distinct fingerprint is therefore filed under its four block values (the top nodes of the index). Inside a
+distinct fingerprint is therefore filed under its four block values (the top nodes of the index). Where so many are filed
+that top nodes would grow long, the bits are cut into five or six blocks, of which two or three agree, and a fingerprint is filed under the
+values of every two or three. Inside a
 top node the fingerprints lie in the order of their Gray rank, which puts fingerprints with long shared bit
 patterns side by side; runs of them form nodes, and nodes are cut into groups. A node keeps the mask of the
 bits that all its members share and their values. A search adds up the differences on the shared bits from
 the node down to the group and the member, and drops a whole subtree as soon as they exceed the radius.
-
-Up to seven different bits leave one block with at most one. For such a radius a fingerprint is also shown, as a
-probe, to the top nodes that have one of its set bits cleared; so each pair of top nodes meets once.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,8 +28,9 @@ from assaylake.llm.components import components
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
-BLOCKS, BLOCK_BITS = 4, 16
 NODE_ROWS, GROUP_ROWS = 256, 16
+#: Blocks beyond those that can differ: more of them make more and shorter top nodes.
+MOST_SPARE = 3
 #: Shingles that at least ORDER_LEAST of one in ORDER_SHARE documents have are common; COMMON_SHINGLES of them at most.
 ORDER_SHARE, ORDER_LEAST, COMMON_SHINGLES = 8, 3, 50_000
 #: Members of a class under one shingle that are listed together, about.
@@ -150,8 +151,8 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-_PIECE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("node", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("fps", pa.binary()), ("labels", pa.binary()), ("probes", pa.binary())])
-_PIECE_DDL = "a long, b long, bucket int, node long, mask long, pattern long, fps binary, labels binary, probes binary"
+_PIECE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("node", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("fps", pa.binary()), ("labels", pa.binary())])
+_PIECE_DDL = "a long, b long, bucket long, node long, mask long, pattern long, fps binary, labels binary"
 
 
 def _nearest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -187,23 +188,17 @@ def _pairs(tree: GrayTree, queries: np.ndarray, nodes: np.ndarray, radius: int)
     return tuple(np.concatenate(found, axis=1))
 
 
-def _told_here(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which pairs this top node tells: none of two probes, and with a probe only pairs so far apart that no two blocks
-    need be equal; the others are told where they are both filed."""
-    return ~(a & b) & (~(a | b) | (far >= BLOCKS))
-
-
 class _Indexer:
     """Nodes of one range of (bucket, Gray rank): their inner links, and the nodes that do not hold a whole bucket.
 
     Without ``checked`` links are transitive and a star stands for a group; with it, links are pairs that still have to be
-    checked, and the nearest pairs that connect a group stand for it. Two probes are never a pair.
+    checked, and the nearest pairs that connect a group stand for it.
     """
 
     def __init__(self, radius: int, checked: bool):
         self.radius, self.checked = radius, checked
 
-    def work(self, bucket, fp, rep, probe, left, final) -> Iterator[pa.RecordBatch]:
+    def work(self, bucket, fp, rep, left, final) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         sizes = np.diff(np.append(starts, len(bucket)))
         whole = np.ones(len(starts), dtype=bool)
@@ -214,7 +209,7 @@ class _Indexer:
         node_starts = starts[owner] + nth * NODE_ROWS
         tree = GrayTree(fp, node_starts)
         q, place, far = _pairs(tree, fp, np.repeat(np.arange(len(node_starts)), tree.sizes), self.radius)
-        keep = (q < place) & _told_here(probe[q], probe[place], far)
+        keep = q < place
         q, place, far = q[keep], place[keep], far[keep]
         low = rep
         if self.checked:
@@ -227,16 +222,16 @@ class _Indexer:
             low = rep[label]
         for k in np.flatnonzero(~(whole[owner] & (sizes[owner] <= NODE_ROWS))):
             at = slice(node_starts[k], node_starts[k] + tree.sizes[k])
-            name = xxhash.xxh64_intdigest(fp[at].tobytes() + rep[at].tobytes(), int(bucket[at.start])) >> 1
-            row = {"bucket": int(bucket[at.start]), "node": name, "mask": int(tree.mask[k].view(np.int64)), "pattern": int(tree.pattern[k].view(np.int64)), "fps": fp[at].tobytes(), "labels": low[at].tobytes(), "probes": np.packbits(probe[at]).tobytes()}
+            name = xxhash.xxh64_intdigest(fp[at].tobytes() + rep[at].tobytes(), int(bucket[at.start]) % (1 << 64)) >> 1
+            row = {"bucket": int(bucket[at.start]), "node": name, "mask": int(tree.mask[k].view(np.int64)), "pattern": int(tree.pattern[k].view(np.int64)), "fps": fp[at].tobytes(), "labels": low[at].tobytes()}
             yield pa.RecordBatch.from_pylist([row], schema=_PIECE)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple[np.ndarray, ...] = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+        carry: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         opened = None  # the bucket that lies open at the left edge of the carry: its earlier part went before, or may lie in another range
         first = True
         for batch in batches:
-            new = (np.asarray(batch.column(0), dtype=np.int32), np.asarray(batch.column(1), dtype=np.int64).view(np.uint64), np.asarray(batch.column(2), dtype=np.int64), np.asarray(batch.column(3).to_numpy(zero_copy_only=False), dtype=bool))
+            new = (np.asarray(batch.column(0), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64).view(np.uint64), np.asarray(batch.column(2), dtype=np.int64))
             rows = tuple(np.concatenate(x) for x in zip(carry, new, strict=True))
             bucket = rows[0]
             if not len(bucket):
@@ -264,10 +259,7 @@ class _Crosser:
             for row in batch.to_pylist():
                 fa, fb = (np.frombuffer(row[k], dtype=np.uint64) for k in ("fps_a", "fps_b"))
                 la, lb = (np.frombuffer(row[k], dtype=np.int64) for k in ("labels_a", "labels_b"))
-                pa_, pb = (np.unpackbits(np.frombuffer(row[k], dtype=np.uint8), count=n).astype(bool) for k, n in (("probes_a", len(fa)), ("probes_b", len(fb))))
                 q, place, far = _pairs(GrayTree(fb, np.zeros(1, np.int64)), fa, np.zeros(len(fa), np.int64), self.radius)
-                keep = _told_here(pa_[q], pb[place], far)
-                q, place, far = q[keep], place[keep], far[keep]
                 names, at = np.unique(np.concatenate([la[q], lb[place]]), return_inverse=True)
                 left, right = at[: len(q)], at[len(q) :]
                 if self.checked:
@@ -280,35 +272,44 @@ class _Crosser:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, checked: bool = False) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """How many blocks 64 bits are cut into for n fingerprints: so many that a top node holds a node's rows, about."""
+    return next((b for b in range(radius + 1, radius + MOST_SPARE) if n <= NODE_ROWS << 64 * (b - radius) // b), radius + MOST_SPARE)
+
+
+def _top_nodes(blocks: int, radius: int) -> list[int]:
+    """The masks under which a fingerprint is filed: those of every choice of so many blocks as must agree."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    part = [((1 << stop) - (1 << start)) for start, stop in zip(cuts, cuts[1:], strict=False)]
+    return [sum(part[i] for i in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, checked: bool = False, blocks: int | None = None) -> DataFrame:
     """Edges ``a``, ``b`` that connect exactly the fingerprints which links of at most ``radius`` bits connect.
 
     :param distinct: ``fp``, ``rep``: fingerprints and the node that stands for each.
     :param checked: the edges are to be checked by other means; each is then a close pair itself.
+    :param blocks: into how many the bits are cut, more than the radius; by the number of fingerprints, unless told.
 
     Within a node, and between two nodes, a spanning forest stands for the links, so a dense group of n
     fingerprints gives less than n edges per node and never its pairs (with ``checked`` some more).
     """
-    if not 0 <= radius < 2 * BLOCKS:
-        raise ValueError(f"a radius of {radius} bits needs more blocks")
-    spark = distinct.sparkSession
-    value = [F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for k in range(BLOCKS)]
-    filed = [F.struct((F.lit(k << BLOCK_BITS) + value[k]).alias("bucket"), F.lit(False).alias("probe")) for k in range(BLOCKS)]
-    shown = F.array(*filed)
-    if radius >= BLOCKS:
-        probes = [F.when(value[k].bitwiseAND(F.lit(1 << bit)) != 0, F.struct((F.lit(k << BLOCK_BITS) + value[k] - F.lit(1 << bit)).alias("bucket"), F.lit(True).alias("probe"))) for k in range(BLOCKS) for bit in range(BLOCK_BITS)]
-        shown = F.filter(F.array(*filed, *probes), lambda x: x.isNotNull())
-    rows = distinct.select("fp", "rep", gray_rank("fp").alias("rank"), F.inline(shown))
-    pieces = stash(rows.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank").select("bucket", "fp", "rep", "probe").mapInArrow(_Indexer(radius, checked), _PIECE_DDL))
+    if blocks is None:
+        blocks = blocks_for(distinct.count(), radius)
+    if not 0 <= radius < blocks <= 64:
+        raise ValueError(f"a radius of {radius} bits needs more than {blocks} blocks")
+    signed = [mask - (mask >> 63 << 64) for mask in _top_nodes(blocks, radius)]
+    top = F.explode(F.array(*(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask)), F.lit(i)) for i, mask in enumerate(signed)))).alias("bucket")
+    rows = distinct.select("fp", "rep", gray_rank("fp").alias("rank"), top)
+    pieces = stash(rows.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank").select("bucket", "fp", "rep").mapInArrow(_Indexer(radius, checked), _PIECE_DDL))
     nodes = pieces.where("bucket is not null")
-    parts_of = ("node", "mask", "pattern", "fps", "labels", "probes")
+    parts_of = ("node", "mask", "pattern", "fps", "labels")
     a = nodes.select("bucket", *(F.col(c).alias(f"{c}_a") for c in parts_of))
     b = nodes.select("bucket", *(F.col(c).alias(f"{c}_b") for c in parts_of))
     near = F.bit_count(F.col("pattern_a").bitwiseXOR(F.col("pattern_b")).bitwiseAND(F.col("mask_a")).bitwiseAND(F.col("mask_b"))) <= radius
-    sides = ("fps_a", "labels_a", "probes_a", "fps_b", "labels_b", "probes_b")
+    sides = ("fps_a", "labels_a", "fps_b", "labels_b")
     pairs = a.join(b, "bucket").where((F.col("node_a") < F.col("node_b")) & near).select(*sides, F.xxhash64("node_a", "node_b").alias("deal"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cross = pairs.repartition(parts, "deal").select(*sides).mapInArrow(_Crosser(radius, checked), "a long, b long")
+    cross = pairs.repartition(partitions(distinct.sparkSession), "deal").select(*sides).mapInArrow(_Crosser(radius, checked), "a long, b long")
     return pieces.where("a is not null").select("a", "b").union(cross)
 
 

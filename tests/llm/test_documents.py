@@ -69,11 +69,19 @@ def test_simhash_links_every_close_pair_of_a_dense_cluster(spark):
     order = sorted(values)
     signed = [v - (1 << 64) if v >= 1 << 63 else v for v in order]
     rows = spark.createDataFrame(list(zip(signed, range(len(signed)), strict=True)), "fp long, rep long")
-    got = {r.node: r.label for r in components(simhash.links(rows)).collect()}
     array = np.array(order, dtype=np.uint64)
     near = [(i, int(j)) for i in range(len(order)) for j in i + 1 + np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= 3)]
     want = reach(near, range(len(order)))
-    assert all(got.get(i, i) == want[i] for i in range(len(order)))
+    for blocks in (None, 5, 6):  # more blocks file a fingerprint more often, in shorter top nodes
+        got = {r.node: r.label for r in components(simhash.links(rows, blocks=blocks)).collect()}
+        assert all(got.get(i, i) == want[i] for i in range(len(order)))
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**11)] == [4, 4, 5, 6]
+    for blocks, nodes in ((4, 4), (5, 10), (6, 20)):
+        masks = simhash._top_nodes(blocks, 3)
+        assert len(masks) == len(set(masks)) == nodes and all(0 < m < 1 << 64 for m in masks)
 
 
 def test_wide_radius_links_every_close_pair(spark):
@@ -95,7 +103,7 @@ def test_wide_radius_links_every_close_pair(spark):
     got = {r.node: r.label for r in components(edges).collect()}
     assert all(got.get(i, i) == want[i] for i in range(len(order)))
     with pytest.raises(ValueError, match="radius"):
-        simhash.links(rows, 8)
+        simhash.links(rows, 8, blocks=8)
 
 
 def test_similar_documents_hold_the_similarity(spark):
