@@ -117,26 +117,30 @@ def numbers_in(text: Column) -> Column:
 
 
 def leading_digits(value: Column, n: int = 3) -> Column:
-    """The first n significant digits of a number; empty for 0."""
+    """The first n significant digits of a number, of ten that are read, as a number; 0 for 0."""
     size = F.abs(value)
     mantissa = size / F.pow(F.lit(10.0), F.floor(F.log10(size)))
-    return F.when(size > 0, F.substring(F.replace(F.format_string("%.10f", mantissa), F.lit("."), F.lit("")), 1, n)).otherwise("")
+    return F.when(size > 0, F.floor(mantissa * 10.0 ** (n - 1) + 5 * 10.0 ** (n - 12))).otherwise(0)
 
 
 def is_supported(value: Column, evidence: Column) -> Column:
     """Whether a number is trivial, or some number of the evidence, at some reporting scale and with either sign, lies
     within 0.1 % or has the same three leading digits."""
     factors = F.array(*(F.lit(f) for f in SCALE_FACTORS))
-    size = F.abs(value)
 
-    def near(candidate: Column) -> Column:
-        def at(factor: Column) -> Column:
-            scaled = F.abs(candidate) * factor
-            return (scaled > 0) & ((F.abs(size - scaled) / F.greatest(scaled, F.lit(1e-9)) <= RELATIVE_TOLERANCE) | ((size > 0) & (leading_digits(size) == leading_digits(scaled))))
+    def among(stated: Column) -> Column:
+        size, digits = stated["size"], stated["digits"]
+
+        def near(candidate: Column) -> Column:
+            def at(factor: Column) -> Column:
+                scaled = F.abs(candidate) * factor
+                return (scaled > 0) & ((F.abs(size - scaled) <= RELATIVE_TOLERANCE * F.greatest(scaled, F.lit(1e-9))) | ((digits > 0) & (digits == leading_digits(scaled))))
+
+            return F.exists(factors, at)
 
-        return F.exists(factors, at)
+        return size.isin(*TRIVIAL_NUMBERS) | F.exists(evidence, near)
 
-    return size.isin(*TRIVIAL_NUMBERS) | F.exists(evidence, near)
+    return let(F.struct(F.abs(value).alias("size"), leading_digits(value).alias("digits")), among)
 
 
 def is_incidental(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.operators import failures, metrics, rollup, samples, scoring, stats
+from assaylake.sources.tables import stash
 
 #: What the tables after the metrics need of a prediction, besides ``run_id``.
 KEPT = ("run_id", "pos", "sample_id", "benchmark", "task_family", "capability_tags", "gold", "should_refuse", "canary", "has_response", "error_type", "content", "predicted", "refused", "has_answer", "canary_stated")
@@ -37,11 +38,17 @@ def preferred(rows: DataFrame, *more: str) -> DataFrame:
     return metrics.score_run(rows, *KEPT, *more, only_preferred=True)
 
 
-def dimension_means(rows: DataFrame) -> DataFrame:
-    """Means of capability dimensions for each run."""
-    keyed = rows.withColumn("sample_id", F.concat_ws("/", "run_id", "sample_id"))
-    found = rollup.dimension_results(keyed, results(keyed).select("sample_id", "metric_name", "value", "passed"), metrics.preferred_metric(F.col("benchmark")))
-    return rollup.macro_rollup(found.withColumn("run_id", F.substring_index("sample_id", "/", 1)), "run_id")
+def counting(found: DataFrame) -> DataFrame:
+    """Of the results those of the metric that counts."""
+    return found.where(F.col("metric_name") == metrics.preferred_metric(F.col("benchmark")))
+
+
+def dimension_means(found: DataFrame) -> DataFrame:
+    """Means of capability dimensions for each run, from its results; every sample has one of exact match."""
+    keyed = found.withColumn("sample_id", F.concat_ws("/", "run_id", "sample_id"))
+    once = keyed.where("metric_name = 'exact_match'")
+    scored = rollup.dimension_results(once, keyed.select("sample_id", "metric_name", "value", "passed"), metrics.preferred_metric(F.col("benchmark")))
+    return rollup.macro_rollup(scored.withColumn("run_id", F.substring_index("sample_id", "/", 1)), "run_id")
 
 
 def tool_security(tool_results: DataFrame, *by: str) -> DataFrame:
@@ -50,14 +57,12 @@ def tool_security(tool_results: DataFrame, *by: str) -> DataFrame:
 
 
 def rates(graded: DataFrame, security: DataFrame | None = None) -> DataFrame:
-    """Failure rates of each run; a sample with a number to reach that did not pass counts against the accuracy.
+    """Failure rates of each run.
 
     :param graded: results of the preferred metric. :param security: ``run_id``, ``tool_security``; without it untested.
     """
-    counted = F.when(F.col("gold").isNotNull(), F.coalesce("passed", F.lit(False)).cast("int"))
-    runs = graded.groupBy("run_id").agg(F.count("*").alias("n_samples"), F.count("canary").alias("n_injections"), F.avg(counted).alias("numeric_accuracy"))
-    runs = runs.withColumn("tool_security", F.lit(None).cast("double")) if security is None else runs.join(security, "run_id", "left")
-    return scoring.failure_rates(runs, failures.attribute(graded))
+    found = scoring.run_rates(failures.classify(graded))
+    return found if security is None else found.drop("tool_security").join(security, "run_id", "left")
 
 
 def sample_scores(found: DataFrame, run: str, metric: str) -> DataFrame:
@@ -88,12 +93,13 @@ def artifacts(rows: DataFrame, prices: DataFrame, traces: DataFrame | None = Non
     """
     from assaylake.operators.tools import tool_metrics
 
-    every, graded = results(rows), preferred(rows)
+    every = stash(results(rows))  # scored once; all tables below read it
+    graded = counting(every)
     used = None if traces is None else tool_metrics(traces)
-    if used is not None:
-        every = every.select("run_id", "sample_id", "metric_name", "value", "passed").unionByName(used)
-    rate = rates(graded, None if used is None else tool_security(used, "run_id"))
-    gates, means = scoring.gate_report(rate), dimension_means(rows)
+    rate = stash(rates(graded, None if used is None else tool_security(used, "run_id")))
+    gates, means = scoring.gate_report(rate), dimension_means(every)
+    every = every.select("run_id", "sample_id", "metric_name", "value", "passed")
+    every = every if used is None else every.unionByName(used)
     critical = gates.groupBy("run_id").agg(F.coalesce(F.bool_or(F.col("critical") & ~F.col("passed")), F.lit(False)).alias("critical_failed"))
     has = rows.groupBy("run_id").agg(
         F.bool_or(F.col("benchmark") == "smb_cfo").alias("has_smb_cfo"), F.bool_or(F.array_contains("capability_tags", "evidence_grounding")).alias("has_grounding"), F.bool_or("should_refuse").alias("has_refusal"), F.bool_or(F.lit(False) if mocks is None else mocks).alias("is_mock"),

@@ -9,6 +9,7 @@ from assaylake.functions.text import direction
 from assaylake.operators import calibration, conversation, evaluation, failures, metrics, reports, rollup, runs, samples, scoring, stats, tools
 from assaylake.plans.derived import oracle, relation
 from assaylake.plans.registry import query
+from assaylake.sources.tables import stash
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored predictions with all that the registry's metrics read, ``capability_tags``, and what the answers state:
@@ -138,7 +139,7 @@ means AS (SELECT run_id, dimension, avg(score) AS mean, CAST(sum(n) AS BIGINT) A
 
 @query("capability_macro_rollup", _sql("SELECT run_id, dimension, round(mean, 6) AS mean, n FROM means", _PREFERRED, _MEANS))
 def capability_macro_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.dimension_means(predictions(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+    return evaluation.dimension_means(stash(results(predictions(spark, sf_dir)))).withColumn("mean", F.round("mean", 6))
 
 
 @query("failure_attribution", _sql("SELECT run_id, sample_id, failure_type, catastrophic FROM failed", _PREFERRED, _FAILURES))
@@ -216,13 +217,15 @@ variants AS (
 """
 
 
-def variants(p: DataFrame) -> DataFrame:
-    """Each run as it is, with its gates waived, and as if it were a mock."""
-    r = evaluation.rates(preferred(p))
+def scored_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of each run as it is, with its gates waived, and as if it were a mock; its results are written once."""
+    found = stash(results(predictions(spark, sf_dir)))
+    r = stash(evaluation.rates(evaluation.counting(found)))
     critical = scoring.gate_report(r).groupBy("run_id").agg(F.coalesce(F.bool_or(F.col("critical") & ~F.col("passed")), F.lit(False)).alias("failed_gate"))
     base = r.join(critical, "run_id").select("run_id", "n_scored", "failed_gate", scoring.reliability_penalty(F.col("catastrophic"), F.col("unsupported"), F.col("invalid"), F.col("n_scored")).alias("penalty"))
     each = base.withColumn("setting", F.explode(F.array(F.lit("strict"), F.lit("lenient"), F.lit("mock"))))
-    return each.withColumns({"is_mock": F.col("setting") == "mock", "critical_failed": F.col("failed_gate") & (F.col("setting") == "strict"), "has_smb_cfo": F.lit(True), "has_grounding": F.lit(True), "has_refusal": F.lit(True)})
+    runs_ = each.withColumns({"is_mock": F.col("setting") == "mock", "critical_failed": F.col("failed_gate") & (F.col("setting") == "strict"), "has_smb_cfo": F.lit(True), "has_grounding": F.lit(True), "has_refusal": F.lit(True)})
+    return scoring.capability_index(evaluation.dimension_means(found), runs_)
 
 
 @query(
@@ -234,8 +237,7 @@ def variants(p: DataFrame) -> DataFrame:
     ),
 )
 def capability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir)
-    return scoring.capability_index(evaluation.dimension_means(p), variants(p)).select("run_id", "setting", "withheld_because", "index")
+    return scored_variants(spark, sf_dir).select("run_id", "setting", "withheld_because", "index")
 
 
 @query(
@@ -248,8 +250,7 @@ def capability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir)
-    scored = scoring.capability_index(evaluation.dimension_means(p), variants(p))
+    scored = scored_variants(spark, sf_dir)
     return scored.select("run_id", "setting", scoring.verdict(F.col("overall"), F.col("n_scored"), F.col("critical_failed"), F.col("is_mock")).alias("verdict"))
 
 
