@@ -6,6 +6,9 @@ say; nothing else is.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,10 +132,28 @@ def filings_qa(spark: SparkSession, path: str, split: str, id_field: str = "id")
     return raw.where(F.col(id_field).isNotNull()).select(*sample("filings_qa", split, F.col(id_field), F.concat(F.lit("filings_qa_"), F.coalesce("question_type", F.lit("open"))), _tags("evidence_grounding", "retrieval"), F.col("question"), text, F.array().cast(_TABLE), gold_answer(F.col("answer"), number, shape), metadata, (evidence.alias("evidence"),)))
 
 
-def secque(spark: SparkSession, paths: dict[str, str], split: str) -> DataFrame:
-    """JSON lines by category, in turn from the sorted categories; the company and the period stand in the context's first line."""
+def verified(spark: SparkSession, paths: dict[str, str], checksums: dict[str, str] | None = None, counts: dict[str, int] | None = None) -> None:
+    """Raise where a file has another SHA-256 or another number of records than it should have."""
+    for name, path in sorted(paths.items()):
+        if checksums is not None:
+            found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+            if found != checksums.get(name):
+                raise ValueError(f"{name}: the file has SHA-256 {found}, not {checksums.get(name)}")
+        if counts is not None:
+            n = spark.read.text(path).where(F.trim("value") != "").count()
+            if n != counts.get(name):
+                raise ValueError(f"{name}: {n} records, not {counts.get(name)}")
+
+
+def secque(spark: SparkSession, paths: dict[str, str], split: str, checksums: dict[str, str] | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """JSON lines by category, in turn from the sorted categories; the company and the period stand in the context's first line.
+
+    :param checksums: SHA-256 of each category's file. :param counts: records of each; what differs raises.
+    """
     from assaylake.operators.samples import round_robin
 
+    verified(spark, paths, checksums, counts)
+
     parts = [spark.read.schema("QID string, question_type string, Question string, ground_truth_answer string, context_markdown_with_headers string, accession_number string").json(p).withColumn("category", F.lit(c)) for c, p in sorted(paths.items())]
     every = parts[0]
     for p in parts[1:]:
@@ -158,12 +179,64 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("document_id", "page", F.concat("document_id", F.lit("#p"), F.col("page").cast("string")).alias("chunk_id"), normalise_page(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-#: Readers by name.
+def pages_from_files(spark: SparkSession, path: str, read: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
+    """The pages of document files as a corpus with plain blanks; a file that cannot be read has no pages, a page that cannot be
+    read is empty.
+
+    :param read: the texts of a file's pages; without it PDF files are read, which needs ``pypdf``.
+    """
+    from assaylake.operators.retrieval import normalise_page
+
+    if read is None:
+        read = _pdf_pages
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    texts = read(bytes(content))
+                except Exception:  # noqa: BLE001  whatever a broken file makes a reader raise
+                    texts = []
+                yield pd.DataFrame([(name, i + 1, t or "") for i, t in enumerate(texts)], columns=["path", "page", "text"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = files.mapInPandas(run, "path string, page int, text string")
+    document = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return found.select(document.alias("document_id"), "page", F.concat(document, F.lit("#p"), F.col("page").cast("string")).alias("chunk_id"), normalise_page(F.col("text")).alias("text"))
+
+
+def _pdf_pages(content: bytes) -> list[str | None]:
+    import io
+
+    import pypdf
+
+    texts: list[str | None] = []
+    for page in pypdf.PdfReader(io.BytesIO(content)).pages:
+        try:
+            texts.append(page.extract_text())
+        except Exception:  # noqa: BLE001
+            texts.append(None)
+    return texts
+
+
+#: Readers by name, and the splits that each benchmark has.
 READERS = {"finqa": finqa, "tatqa": tatqa, "convfinqa": convfinqa, "finance_reasoning": finance_reasoning, "filings_qa": filings_qa, "secque": secque}
+SPLITS = {"finqa": ("train", "dev", "test"), "tatqa": ("train", "dev", "test"), "convfinqa": ("train", "dev"), "finance_reasoning": ("easy", "medium", "hard"), "filings_qa": ("open",), "secque": ("test",)}
+
+
+def available_splits(benchmark: str) -> tuple[str, ...]:
+    if benchmark not in SPLITS:
+        raise ValueError(f"unknown benchmark {benchmark!r}: one of {sorted(SPLITS)}")
+    return SPLITS[benchmark]
+
+
+def manifests(spark: SparkSession) -> DataFrame:
+    """The registered benchmarks with their splits and task types."""
+    return spark.createDataFrame([(name, list(splits), (READERS[name].__doc__ or "").split(".")[0]) for name, splits in sorted(SPLITS.items())], "benchmark string, splits array<string>, about string")
 
 
 def read_samples(spark: SparkSession, benchmark: str, source, split: str) -> DataFrame:
-    """The samples of a registered benchmark."""
-    if benchmark not in READERS:
-        raise ValueError(f"unknown benchmark {benchmark!r}: one of {sorted(READERS)}")
+    """The samples of a registered benchmark; an unknown benchmark or split raises."""
+    if split not in available_splits(benchmark):
+        raise ValueError(f"{benchmark} has no split {split!r}: one of {SPLITS[benchmark]}")
     return READERS[benchmark](spark, source, split)

@@ -41,3 +41,12 @@ def group(spark: SparkSession, path: str) -> DataFrame:
     """The benchmarks of a group with their splits and limits."""
     found = _read(spark, path)
     return spark.createDataFrame([(found["name"], b["name"], b["split"], b.get("limit"), float(b.get("weight", 1.0))) for b in found["benchmarks"]], "benchmark_group string, benchmark string, split string, limit int, weight double")
+
+
+def models(spark: SparkSession, path: str) -> DataFrame:
+    """The models of a configuration: provider, name and how they are asked; a model without a provider or a name raises."""
+    found = _read(spark, path).get("models") or []
+    if any(not m.get("provider") or not m.get("name") for m in found):
+        raise ValueError("a model has a provider and a name")
+    rows = [(f"{m['provider']}/{m['name']}", m["provider"], m["name"], float(m.get("temperature", 0.0)), int(m.get("max_tokens", 0)) or None) for m in found]
+    return spark.createDataFrame(rows, "model_ref string, provider string, name string, temperature double, max_tokens int")

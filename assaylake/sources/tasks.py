@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.operators import ledger as L
@@ -80,3 +81,35 @@ def samples(books: L.Books, split: str, bilingual: bool = False, families: tuple
         F.lit("smb_cfo").alias("benchmark"), F.lit(split).alias("split"), F.concat_ws(":", F.lit("smb_cfo"), F.lit(split), F.col(L.KEY).cast("string"), "task_family", "language").alias("sample_id"), "*",
         answer_text.alias("gold_answer"), F.when(none, "refusal").when(F.col("value_num").isNotNull(), "numeric").otherwise("text").alias("answer_type"), none.alias("should_refuse"),
     )
+
+
+# The first seed and the size of each split, whether it asks in two languages, and which businesses have a trap.
+SPLITS = {"public": (1_000_000, 300, False, 0), "adversarial": (2_000_000, 150, False, 1), "bilingual": (3_000_000, 100, True, 0), "smoke": (4_000_000, 12, False, 0), "private": (None, 200, True, 3)}
+
+
+def load(spark: SparkSession, split: str, secret: str | None = None) -> DataFrame:
+    """The samples of a split, with ``place``: business after business, each with the next family or, where it is due, a trap.
+
+    The seeds of the private split come from a secret; without it the split cannot be made.
+    """
+    from assaylake.operators.samples import head
+    from assaylake.sources import traps
+    from assaylake.sources.books import books
+
+    if split not in SPLITS:
+        raise ValueError(f"smb_cfo has no split {split!r}: one of {sorted(SPLITS)}")
+    base, size, bilingual, every = SPLITS[split]
+    if base is None:
+        if not secret:
+            raise ValueError("the private split needs a secret")
+        base = int(hashlib.sha256(secret.encode()).hexdigest()[:8], 16)
+    index = F.col("id") + 1
+    due = (index % every == 0) if every else F.lit(False)
+    names = F.array(*(F.lit(f[0]) for f in FAMILIES))
+    seeds = spark.range(size).select((F.col("id") + base).alias("seed"), index.alias("source_place"), due.alias("due"), F.get(names, (index % len(FAMILIES)).cast("int")).alias("family"))
+    chosen = seeds.select(F.col("seed").alias("of"), "source_place", "due", "family")
+    made = books(seeds.select("seed"))
+    asked = samples(made, split, bilingual).join(chosen, (F.col(L.KEY) == F.col("of")) & (F.col("family") == F.col("task_family")) & ~F.col("due")).withColumn("payload", F.lit(None).cast("string"))
+    tricky = traps.cases(made, split).join(chosen, (F.col(L.KEY) == F.col("of")) & F.col("due"))
+    rows = tricky if every == 1 else asked if not every else asked.unionByName(tricky.select(asked.columns))
+    return head(rows.drop("of", "due", "family"), size, "source_place", "language")

@@ -102,9 +102,9 @@ def test_cache_splits_requests(spark, tmp_path):
 def test_summary_tells_three_states(spark):
     text = sinks.summary(
         spark.createDataFrame([("m", 2, 0.5), ("n", 0, None)], "metric_name string, n int, mean double"), spark.createDataFrame([("g", 0.1, 0.5, False), ("h", None, 1.0, None)], "gate_name string, observed double, threshold double, passed boolean"),
-        spark.createDataFrame([("s1", "WRONG_NUMBER", False), ("s2", "WRONG_SIGN", True)], "sample_id string, failure_type string, catastrophic boolean"),
+        spark.createDataFrame([(1, "s1", "WRONG_NUMBER", False), (3, "s0", "WRONG_SIGN", True), (2, "s2", "WRONG_SIGN", True)], "pos int, sample_id string, failure_type string, catastrophic boolean"),
     )
-    assert "not applicable" in text and "FAIL" in text and "skipped" in text and text.index("s2") < text.index("s1")
+    assert "not applicable" in text and "FAIL" in text and "skipped" in text and text.index("s2") < text.index("s0") and "s1" not in text
 
 
 def test_stream_drops_repeats_and_late_events(spark, tmp_path):
