@@ -29,10 +29,11 @@ TRAINING_PAGES, EPOCHS, BATCH, RATE, SEED = 1600, 14, 24, 0.006, 7
 CACHE_ENTRIES = 200_000
 
 # Element kinds of HTML, fixed values.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "svg", "math", "object", "canvas", "title")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "svg", "canvas", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object param"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose merror semantics annotation".split()
 )
 #: An opening tag of a key ends an open element of its values, up to an element of the barrier.
 ENDS = {

@@ -26,6 +26,8 @@ DOCS_PER_LANGUAGE = 240
 LEAST_LIMIT = 12.0
 #: No language counts as more even than this, in nats per letter: texts that mix languages stay.
 LEAST_SPREAD = 0.15
+#: How far a sample may exceed what is asked for, where rows repeat.
+SAMPLE_SLACK = 2
 UNDETERMINED = "und"
 #: Positions that are scored at once.
 CHUNK = 1 << 17
@@ -304,16 +306,21 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     """Fit models on a sample of the labelled rows for which ``learn`` holds.
 
     The sample takes about ``docs_per_language`` rows of each language, those with the least hashes of their
-    ids, so the fit costs the same at every size of the input.
+    ids and texts, and in no case more than ``SAMPLE_SLACK`` times as many, so the fit costs the same at every size of the input.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return LanguageModels({})
-    draw = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit(29), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     share = F.coalesce(*(F.when(F.col(lang_col) == lang, F.lit(min(1.0, docs_per_language / n))) for lang, n in sorted(counts.items())))
     texts: dict[str, list[tuple]] = {lang: [] for lang in counts}
-    for row in rows.where(draw <= share).select(lang_col, text_col, draw.alias("draw")).collect():
+    # rows that are equal throughout have one draw; no more of them come to the driver than of single rows
+    chosen = rows.where(draw <= share).select(lang_col, text_col, draw.alias("draw")).orderBy("draw", lang_col).limit(SAMPLE_SLACK * docs_per_language * len(counts))
+    found = chosen.collect()
+    for lang in sorted(counts.keys() - {row[0] for row in found}):  # of a language with few different rows none may be drawn
+        found += rows.where(F.col(lang_col) == lang).select(lang_col, text_col, draw.alias("draw")).orderBy("draw").limit(docs_per_language).collect()
+    for row in found:
         texts[row[0]].append((row[2], row[1]))
     return LanguageModels({lang: [t for _, t in sorted(found)] for lang, found in texts.items() if found}, order)
 

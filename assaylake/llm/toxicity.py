@@ -26,6 +26,8 @@ from assaylake.llm._common import slices, with_columns
 THRESHOLD = 0.7
 #: Labelled documents of each class from which the classifier is fitted, about; the bound of the sample.
 DOCS_PER_CLASS = 1600
+#: How far a sample may exceed what is asked for, where rows repeat.
+SAMPLE_SLACK = 2
 #: The fit keeps the features that differ most between the classes, so many at most, from so many documents each at least.
 MAX_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 3, 3.5
 PREFIXES = (4, 5, 6, 7, 8)
@@ -234,7 +236,8 @@ def _train_sentences(docs: list[list[tuple[str, ...]]], y: np.ndarray, counterfa
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> ToxicityModel:
     """Fit on a sample of the labelled documents for which ``learn`` (over the label rows) holds.
 
-    Of each class the sample takes about ``docs_per_class`` documents, those with the least hashes of their ids.
+    Of each class the sample takes about ``docs_per_class`` documents, those with the least hashes of their ids, and in no case more
+    than ``SAMPLE_SLACK`` times as many rows.
     Labels other than 0 and 1 do not count; of several labels of a document the highest counts.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.lit(True) if learn is None else learn))
@@ -243,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     draw = F.pmod(F.xxhash64(F.lit(31), F.col("label_id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.coalesce(*(F.when(F.col("label") == k, F.lit(min(1.0, docs_per_class / n))) for k, n in sorted(counts.items())), F.lit(0.0))
     chosen = rows.where(draw <= share).select("label_id", "label", draw.alias("draw"))  # bounded: about two classes of docs_per_class rows
-    found = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("text_id") == F.col("label_id")).select("draw", "label", "text").collect()
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("text_id") == F.col("label_id"))
+    # an id may stand in many rows; no more of them come to the driver than of two classes of single rows
+    found = texts.select("draw", "label", "text", F.xxhash64("text").alias("tie")).orderBy("draw", "tie").limit(SAMPLE_SLACK * 2 * docs_per_class).collect()
     found = sorted((r["draw"], r["label"], r["text"] or "") for r in found)
     return train([t for _, _, t in found], [k for _, k, _ in found])
 

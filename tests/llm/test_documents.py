@@ -590,7 +590,51 @@ def test_pipeline_runs_over_odd_rows(spark, clashing, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_stages_equal_brute_force(spark, docs, corpus, tmp_path):
+    labels = [(i, 1, int(i % 9 == 0)) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    models = language.fit(docs)
+    _, _, _, rejected = models.predict([r[1] for r in corpus])
+    want = Counter(str(r) for r, out in zip(corpus, rejected, strict=True) if not out)
+    assert Counter(str(tuple(r)) for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()) == want
+    model = toxicity.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    scores = model.word_scores()
+    want = Counter(str(r) for r in corpus if toxicity.score(r[1], scores, model) < toxicity.THRESHOLD)
+    assert Counter(str(tuple(r)) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()) == want
+    classes = similar_classes([r[1] for r in corpus])
+    named = [(i, r) for i, r in enumerate(corpus) if r[0] is not None]
+    least = {c: min(r[0] for i, r in named if classes[i] == c) for c in {classes[i] for i, _ in named}}
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(set(least.values())) and kept.count(None) == sum(r[0] is None for r in corpus)
+
+
+def test_stages_over_nothing(spark, nothing, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+        assert stage(spark, nothing, str(tmp_path)).columns == nothing.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_samples_stay_small_where_rows_repeat(spark):
+    rows = spark.createDataFrame([(None if i % 3 else 7, f"the river {i % 5}", "en") for i in range(900)], "doc_id long, text string, lang string")
+    assert language.fit(rows, docs_per_language=10).languages == ["en"] == language.fit(rows, docs_per_language=600).languages
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    try:
+        toxicity.train = lambda texts, classes: seen.append(len(texts)) or train(texts, classes)
+        toxicity.fit(rows, labels, docs_per_class=10)
+    finally:
+        toxicity.train = train
+    assert seen == [40]
+
+
 def test_operators_over_nothing(nothing, spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(nothing, none)
+    assert toxicity.classify(nothing, model).count() == 0
+    assert order_minhash.fingerprint_with_edits(nothing).count() == 0
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.deduplicate(nothing).count() == 0
     assert mixing.mix(nothing).count() == 0

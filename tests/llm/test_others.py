@@ -178,6 +178,11 @@ def test_top_k_leaves_out_what_is_no_vector(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_formulas_are_part_of_their_block():
+    found = html_extract.leaves("<p>a <math><mi>x</mi><mo>+</mo><mn>1</mn></math> b</p><p><object data='x'>told <b>so</b></object></p>")
+    assert [x.text for x in found] == ["a x+1 b", "told so"]
+
+
 def test_references_in_leaves():
     found = html_extract.leaves("<div class='siteNav mainMenu'>a<span> b</span>&lt;c&gt;<br>d</div><p>e<p>f")
     assert [x.text for x in found] == ["a b<c> d", "e", "f"] and found[0].path[-1] == "div site nav main menu"
