@@ -40,8 +40,12 @@ def accuracy_by_turn(turns: DataFrame) -> DataFrame:
 
 
 def with_model_history(turns: DataFrame) -> DataFrame:
-    """Each turn with ``history``: the questions before it and the model's own answers to them, in order."""
-    from pyspark.sql import Window
+    """Each turn with ``history``: the questions before it and the model's own answers to them, in order.
 
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("history", F.flatten(F.collect_list(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit("assistant").alias("role"), F.coalesce("model_answer", F.lit("")).alias("content")))).over(before)))
+    The turns of a conversation are listed once; each takes its part of the list.
+    """
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit("assistant").alias("role"), F.coalesce("model_answer", F.lit("")).alias("content")))
+    row = F.struct(*turns.columns)
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", row.alias("row"), said.alias("said")))).alias("all"))  # one conversation
+    each = listed.select(F.posexplode("all").alias("place", "at"), F.flatten(F.transform("all", lambda x: x["said"])).alias("said"))
+    return each.select("at.row.*", F.slice("said", 1, 2 * F.col("place")).alias("history"))
