@@ -33,7 +33,7 @@ MAX_FEATURES, LEAST_DOCS, LEAST_Z = 20_000, 3, 3.5
 PREFIXES = (4, 5, 6, 7, 8)
 COUNTERFACTUAL, RIDGE = 4.0, 3e-5
 ROUNDS, STEPS = 6, 100
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
