@@ -541,15 +541,13 @@ def test_order_minhash_follows_order_and_edits(spark):
 
 def test_rows_of_one_id_are_dealt_over_many_ranges(spark):
     rows = spark.createDataFrame([(i if i % 3 else None, f"text {i}") for i in range(600)], "doc_id long, text string").withColumn("led_key", F.lit(1))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that ranges are seen as they are dealt
-    try:
-        plain = order_minhash.with_next(rows, "doc_id", "text", {"size": F.length("text")})
-        found = plain.select("doc_id", "text", "next_text", "next_led_key", "next_size", F.spark_partition_id().alias("p")).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = order_minhash.with_next(rows, "doc_id", "text", {"size": F.length("text")}).select("doc_id", "text", "next_text", "next_led_key", "next_size").collect()
     following = {r.text: r.next_text for r in found}
     assert len(found) == len(following) == 600 and all(r.next_led_key == 1 and r.next_size == len(r.next_text) for r in found)
-    assert len({r.p for r in found if r.doc_id is None}) > 1
+    lowest = -(1 << 63)
+    placed = rows.select("doc_id", order_minhash._place(F.coalesce("doc_id", F.lit(lowest)), F.xxhash64("text"), [lowest, lowest, lowest, 100, 300]).alias("range"))
+    ranges = Counter((r.range, r.doc_id is None) for r in placed.collect())
+    assert {r for r, null in ranges if null} == {0, 1, 2} and {r for r, null in ranges if not null} == {3, 4, 5} and min(ranges.values()) > 40
     walk, at = [], "text 1"
     for _ in range(600):
         walk.append(int(at.split()[1]))
