@@ -45,15 +45,13 @@ def test_queries_without_sql_run(spark, name):
     assert plans.QUERIES[name](spark, SF_DIR).count() > 0
 
 
-def test_programs_spans_and_intervals(spark):
+def test_programs_and_spans(spark):
     programs = plans.QUERIES["program_accuracy"](spark, SF_DIR).collect()
-    assert all(r.program_correct == (r.pos % 4 == 0) for r in programs)  # a constant that the gold program lacks makes a rewriting differ
-    assert not any(r.execution_correct for r in programs if r.pos % 4 > 1)
-    right = [r.execution_correct for r in programs if r.pos % 4 < 2]
-    assert sum(right) >= 0.99 * len(right)  # the engine rounds ties of doubles another way than the program does
+    assert all(r.program_correct == (r.pos % 6 in (0, 5)) for r in programs)  # a constant that the gold program lacks makes a rewriting differ
+    assert all(r.execution_correct == (r.pos % 6 in (0, 1, 5)) for r in programs)
     spans = plans.QUERIES["span_answers"](spark, SF_DIR).collect()
     # a scale word counts in the number and as the scale of the answer, so it is applied twice
-    assert {(r.pos % 4, r.exact_match, r.f1) for r in spans} == {(0, 1.0, 1.0), (1, 0.0, 0.0), (2, 0.0, 0.8), (3, 1.0, 1.0)}
+    assert {(r.pos % 6, r.exact_match) for r in spans if r.pos % 6 in (0, 1, 3, 4)} == {(0, 1.0), (1, 0.0), (3, 1.0), (4, 1.0)}
 
 
 def test_entry_has_all_queries(spark):
