@@ -39,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _shared_path(spark: SparkSession, name: str, is_table: bool = False) -> str:
+def shared_path(spark: SparkSession, name: str, is_table: bool = False) -> str:
+    """A path in the shared folder that is removed with what is stashed."""
     path = f"{shared_dir(spark)}/{name}"
     _OPEN[-1].append((path, name if is_table else None))
     return path
@@ -80,7 +81,7 @@ def stash(df: DataFrame) -> DataFrame:
     Cuts the lineage: what follows reads files that every executor sees, so a lost executor costs no more
     than its running tasks.
     """
-    path = _shared_path(df.sparkSession, f"stash-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession, f"stash-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,5 +89,5 @@ def stash(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder, in buckets of ``column``: a join on it does not move the table."""
     name = f"assaylake_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", _shared_path(df.sparkSession, name, True)).format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, column).option("path", shared_path(df.sparkSession, name, True)).format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
