@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from assaylake.sources.tables import bucketed, shared_dir, stash, table
+from assaylake.sources.tables import bucketed, shared_dir, shared_path, stash, table
 
-__all__ = ["SLICE_ROWS", "bucketed", "crc_mod", "partitions", "shared_dir", "slices", "stash", "table", "unused", "with_columns"]
+__all__ = ["SLICE_ROWS", "bucketed", "crc_mod", "partitions", "shared_dir", "shared_path", "slices", "stash", "table", "unused", "with_columns"]
 
 #: Texts are handed to Python code in slices of this many rows, whatever the size of an Arrow batch.
 SLICE_ROWS = 512

@@ -29,7 +29,9 @@ WINDOW_PIECES = 2048
 #: Texts that are encoded at a time.
 TEXTS = 64
 END_ID = 0
-def _byte_letters() -> dict[int, str]:
+
+
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -74,7 +76,7 @@ class TextEncoder:
         in_order = all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(vocabulary) == 256 + len(merges)
         if not usual or not in_order or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added.values()):
             return None
-        byte = {letter: b for b, letter in _byte_letters().items()}
+        byte = {letter: b for b, letter in byte_letters().items()}
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items()}
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import chat, html_extract, language, mixing, ngram_lm, order_minhash, packing, simhash, topk, toxicity
-from assaylake.llm._common import crc_mod, table
+from assaylake.llm import chat, html_extract, language, mixing, ngram_lm, order_minhash, packing, periodic_runs, simhash, spelling_variants, token_files, topk, toxicity
+from assaylake.llm._common import crc_mod, shared_path, table
+from assaylake.sources.tables import scratch
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,49 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling_variants.word_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    gone = (digest % F.length("word")).cast("int")  # the place of a letter that is taken out of one run in 199
+    edited = F.concat(F.col("word").substr(F.lit(1), gone), F.col("word").substr(gone + 2, F.length("word")))
+    words = runs.where(F.length("word") >= spelling_variants.LEAST_LETTERS).select(F.when(digest % 199 == 0, edited).otherwise(F.col("word")).alias("word"))
+    counts = words.where(F.length("word") >= spelling_variants.LEAST_LETTERS).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling_variants.variants(counts.where("n >= 5"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, f"tokens-{uuid.uuid4().hex}")
+    with scratch():
+        token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(digest / 10).alias("g"), (digest % 10 == 0).alias("rewritten"))
+    # a tenth of the documents repeat a stretch of theirs to the end
+    words = docs.withColumn("words", F.when(F.col("rewritten"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("words")
+    begun = words.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    period = begun.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), n - F.col("a"))
+    rewritten = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), " ")
+    found = periodic_runs.find_runs(period.select("doc_id", F.when(F.col("a").isNotNull(), rewritten).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it uses this subpackage
 
@@ -86,6 +132,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_files": op12_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 ORACLES = {"op8_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}
