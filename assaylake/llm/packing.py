@@ -31,6 +31,10 @@ TEXTS = 64
 END_ID = 0
 
 
+#: The pattern of byte-level files takes a step of the stack for each character of white space, so long runs are cut out first.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,7 +46,7 @@ class TextEncoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
     Where the ids of the file follow its merges, as they mostly do, tiktoken merges by the same table, several times as
-    fast and without a memory of words that grows; any other file is left to the library. The file's added tokens, as ``<|endoftext|>``, get
+    fast and without a memory of words that grows, at any length of words and of white space; any other file is left to the library. The file's added tokens, as ``<|endoftext|>``, get
     their own ids wherever they stand in a text.
     """
 
@@ -79,7 +83,19 @@ class TextEncoder:
         byte = {letter: b for b, letter in byte_letters().items()}
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items()}
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")
+        piece = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+        def encode(text: str) -> np.ndarray:
+            ids: list[int] = []
+            at = 0
+            for run in _LONG_SPACE.finditer(text):
+                # the last one of a run belongs to what follows, if anything does; the others are a piece of their own
+                stop = run.end() - (run.end() < len(text))
+                ids += encoding.encode_ordinary(text[at : run.start()]) + piece.encode_ordinary(text[run.start() : stop])
+                at = stop
+            return np.array(ids + encoding.encode_ordinary(text[at:]), dtype="<u4")
+
+        return encode
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:

@@ -642,3 +642,19 @@ def test_operators_over_nothing(nothing, spark):
     assert mixing.mix(nothing).count() == 0
     assert mixing.apply_mix(nothing).count() == 0
     assert packing.pack(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000, "a" + " " * 999_999 + "b", "a" + "\n\u2003" * 400_000 + " b c" + " " * 1_000 + "\td", "\x1c" * 2_000 + " " * 1_001, " " * 999 + "x" + "\xa0" * 1_000 + "'s"])
+def test_long_white_space_equals_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.TextEncoder.of(path)(text).tolist() == expected
+
+
+def test_packing_of_a_very_long_blank_text(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a b" * 9), (3, None)], "doc_id long, text string")
+    pieces = packing.pack(docs).collect()
+    whole = {p.doc_id: p.doc_tokens for p in pieces}
+    assert {d: sum(p.length for p in pieces if p.doc_id == d) for d in whole} == whole and whole[3] == 1
