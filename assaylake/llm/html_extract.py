@@ -29,7 +29,7 @@ TRAINING_PAGES, EPOCHS, BATCH, RATE, SEED = 1600, 14, 24, 0.006, 7
 CACHE_ENTRIES = 200_000
 
 # Element kinds of HTML, fixed values.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "svg", "canvas", "title")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "canvas", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object param"
@@ -45,8 +45,12 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Elements that end an open drawing, as in the standard's list for foreign content.
+BREAKOUT = "p|div|h[1-6]|ul|ol|dl|li|table|blockquote|pre|body|head|center|nobr|br|hr|img|span|strong|em|b|i|article|section|footer|header|main|aside|nav"
+# a drawing is one tag if it closes itself; else it lasts to its end, or, without one before the next drawing, to an element that breaks out
+_DRAWING = r"<svg(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>(?:(?:(?!<svg[\s/>]).)*?</svg\s*>|(?:(?!<(?:" + BREAKOUT + r")[\s/>]|</(?:" + BREAKOUT + r")[\s>]|<svg[\s/>]).)*))"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|" + _DRAWING + r"|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
