@@ -5,9 +5,9 @@ with the one before shows the span that the new turn takes. Rendering the turn w
 its own shows where in the span its text begins. If an output does not begin with the one before, the template
 has rewritten history; then the spans are looked for anew in the final output, by probing every turn.
 
-Prefixes of a long conversation would be rendered in quadratic time. Its turns are therefore rendered in windows, each by
-its own successive prefixes, and the windows' outputs laid end to end are held against one rendering of the whole: if they
-agree, the template looks at no turn beyond a window and the spans hold. If they differ, it does, and all prefixes are rendered.
+All prefixes of a conversation are compared, at every length, which is quadratic in its turns. A template that declares itself ``local``
+(each turn's output depends on that turn alone) is spared this: its turns are rendered in windows, each by its own successive prefixes, and the
+windows' outputs laid end to end are held against one rendering of the whole. If they differ after all, all prefixes are rendered.
 """
 
 from __future__ import annotations
@@ -56,6 +56,9 @@ def chatml(messages: list[Message]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in messages)
 
 
+chatml.local = True
+
+
 def parse(formatted: str) -> list[Message]:
     """The messages of a text that ``chatml`` made."""
     return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
@@ -80,7 +83,7 @@ def _content(before: list[Message], turn: Message, after: list[Message], rendere
 
 
 Spans = list[tuple[int, int, int, int]]
-#: Turns of a window.
+#: Turns of a window of a local template.
 WINDOW = 16
 
 
@@ -116,9 +119,12 @@ def _windows(messages: list[Message], template: Template) -> tuple[str, Spans] |
 def render(messages: list[Message], template: Template = chatml) -> tuple[str, Spans, bool]:
     """The output, for each turn (start, end, start of its text, end of its text), and whether history was rewritten.
 
+    All prefixes are rendered and compared, whose work grows with the square of the turns, unless the template declares by an attribute
+    ``local`` that what it writes for a turn does not depend on other turns. Such a template is rendered in windows, which are held against one rendering of the whole.
+
     A turn that does not show in the output has the span (-1, -1, -1, -1).
     """
-    if len(messages) > WINDOW and (found := _windows(messages, template)):
+    if getattr(template, "local", False) and len(messages) > WINDOW and (found := _windows(messages, template)):
         return *found, False
     output, spans, rewritten = _prefixes(messages, template)
     if rewritten:
