@@ -54,7 +54,9 @@ def test_long_conversations_are_rendered_in_windows():
     messages = [("user" if i % 2 else "assistant", f"text {i} <|im_end|>" * (i % 3)) for i in range(3 * chat.WINDOW + 5)]
     numbered = lambda m: "BEGIN" + "".join(f"<{i}|{r}|{t}>" for i, (r, t) in enumerate(m))
     closing = lambda m: chat.chatml(m) + ("<open>" if m and m[-1][0] == "user" else "")
-    for template, windowed in ((chat.chatml, True), (lambda m: "BEGIN" + chat.chatml(m), True), (numbered, False), (closing, False)):
+    begun = lambda m: "BEGIN" + chat.chatml(m)
+    numbered.local = closing.local = begun.local = True
+    for template, windowed in ((chat.chatml, True), (begun, True), (numbered, False), (closing, False)):
         assert (chat._windows(messages, template) is not None) == windowed
         text, spans, rewritten = chat.render(messages, template)
         assert text == template(messages) and rewritten == (template is closing)
@@ -146,17 +148,97 @@ def test_pages_with_odd_rows(spark, model):
     assert html_extract.extract(pages.limit(0), model=model).count() == 0
 
 
+@pytest.mark.parametrize("first", range(15, 20))
+def test_history_rewritten_at_any_length_is_told(first):
+    """A template that changes earlier turns while there are ``first`` to 19 of them, given 20."""
+
+    def template(messages):
+        hidden = first <= len(messages) <= 19
+        return "".join(f"[{r}:{'' if hidden and k < 3 else t}]" for k, (r, t) in enumerate(messages))
+
+    messages = [("user" if k % 2 else "assistant", f"text {k}") for k in range(20)]
+    text, spans, rewritten = chat.render(messages, template)
+    assert rewritten == chat._prefixes(messages, template)[2] is True
+    assert [text[c:d] for _, _, c, d in spans] == [t for _, t in messages]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div><p>first part</p><svg class="i"/><p>second part</p></div>',
+        "<div><p>first part</p><svg class='a>b' /><p>second part</p></div>",
+        "<div><p>first part</p><!--><p>second part</p></div>",
+        "<div><p>first part</p><!---><p>second part</p></div>",
+        "<div><p>first part</p><!-- a --!><p>second part</p></div>",
+        "<div><p>first part</p><svg><text>drawn</text></svg><p>second part</p></div>",
+        "<div><p>first part</p><svg><title>drawn</title><path d='M0 0'/><p>second part</p></div>",
+        "<div><p>first part</p><svg><g><p>second part</p><svg><text>drawn</text></svg></div>",
+        "<div><p>first part</p><!-- <p>no part</p> --><p>second part</p><!-- open <p>no part</p>",
+    ],
+)
+def test_drawings_and_comments_take_no_other_text(page):
+    assert [x.text for x in html_extract.leaves(page)] == ["first part", "second part"]
+
+
 def plain_top(rows, queries, k):
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    """The k best ids of each query id: the highest product of any two of their vectors."""
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    width = max(len(v) for _, v in ints)
+    pad = lambda v: v + [0] * (width - len(v))
     out = []
-    for q in queries:
-        width = max(map(len, ints.values()))
-        pad = lambda v: v + [0] * (width - len(v))
-        scores = sorted((-sum(a * b for a, b in zip(pad(ints[q]), pad(v), strict=True)), i) for i, v in ints.items() if i != q)
+    for q in set(queries):
+        best = {}
+        for _, own in (r for r in ints if r[0] == q):
+            for i, v in ints:
+                if i != q:
+                    best[i] = max(best.get(i, -(1 << 90)), sum(a * b for a, b in zip(pad(own), pad(v), strict=True)))
+        scores = sorted((-s, i) for i, s in best.items())
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
+@pytest.mark.parametrize("own", [1, 2, 3, 6])
+def test_several_vectors_of_one_id(own):
+    """The query's own vectors, however many and near, take no place of another's."""
+    draw = np.random.default_rng(own)
+    for _ in range(40):
+        values = draw.integers(-60, 61, (400, 8))
+        ids = np.arange(400)
+        query = values[0].copy()
+        ids[:own] = 0
+        values[:own] = query + draw.integers(-1, 2, (own, 8))
+        values, ids = (x[np.sort(np.unique(np.column_stack([ids, values]), axis=0, return_index=True)[1])] for x in (values, ids))
+        products = sorted((-int(values[j] @ query), int(ids[j])) for j in range(len(ids)) if ids[j] != 0)
+        block = topk.Block(ids, values, 5)
+        assert block.best(query, 0, 5) == [(-s, i) for s, i in products[:5]]
+        assert block.best(query, 0, 5, -products[4][0]) == [(-s, i) for s, i in products[:5]]
+
+
+def test_reading_stops_when_no_other_can_qualify():
+    draw = np.random.default_rng(1)
+    values = draw.integers(0, 20, (3_000, 16))
+    values[:8] += draw.integers(800, 900, (8, 16))
+    block = topk.Block(np.arange(3_000), values, 5)
+    query = values[2_000]
+    found = block.best(query, 2_000, 5)
+    assert found == sorted(((int(v @ query), i) for i, v in enumerate(values) if i != 2_000), key=lambda x: (-x[0], x[1]))[:5]
+    lists = int((query != 0).sum())
+    assert block.read + block.unread == 3_000 * lists and block.unread > 0.9 * 3_000 * lists
+    block.read = block.unread = 0
+    assert block.best(query, 2_000, 5, bar=1 << 40) == [] and block.unread > 0.9 * 3_000 * lists
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_top_k_over_several_blocks(spark, monkeypatch, repeated):
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 90)
+    draw = random.Random(8)
+    rows = [(i // 3 if repeated else i, [draw.gauss(0, 0.3) for _ in range(6)]) for i in range(400)]
+    rows += [(50, rows[50][1]), (50, [x * 2 for x in rows[50][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()))
+    assert got == plain_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
+
+
 @pytest.mark.parametrize("kind", ["normal", "ties", "large", "few"])
 def test_top_k_equals_brute_force(spark, kind):
     draw = random.Random(kind)
