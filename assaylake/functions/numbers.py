@@ -20,6 +20,11 @@ RELATIVE_TOLERANCE = 0.001
 
 _FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
+#: A letter, or anything beyond ASCII, which may be one.
+_WORDY = r"[A-Za-z\x{80}-\x{10FFFF}]"
+#: In a text of ASCII alone, a word that is no part of a stated number: neither a currency, unit or scale nor an exponent.
+_OTHER_WORD = r"(?s)^(?=\p{ASCII}*$).*?(?<![A-Za-z])(?!(?i:usd|eur|gbp|jpy|rub|cny|bps|basis|points?|percentage|pp?|thousands?|millions?|mm|billions?|bn|k|m|b|e)(?![A-Za-z]))[A-Za-z]"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
@@ -58,26 +63,28 @@ def parse_number(text: Column, locale: str = "en") -> Column:
         return let(F.struct(inner.alias("t"), wrapped.alias("neg")), lambda s: F.struct(strip(F.regexp_replace(s["t"], r"^[+-]", "")).alias("t"), (s["neg"] | s["t"].startswith("-")).alias("neg")))
 
     def units(s: Column) -> Column:
-        bps = s["t"].rlike(BASIS_POINTS)
+        wordy = s["t"].rlike(_WORDY)  # without letters there is no unit, code or scale to look for
+        bps = wordy & s["t"].rlike(BASIS_POINTS)
         one = F.when(bps, _cut(s["t"], BASIS_POINTS)).otherwise(s["t"])
         return let(
-            F.struct(one.alias("t"), s["neg"].alias("neg"), bps.alias("bps")),
+            F.struct(one.alias("t"), s["neg"].alias("neg"), bps.alias("bps"), wordy.alias("wordy")),
             lambda u: let(
-                F.struct(F.when(~u["bps"], _cut(u["t"], PERCENTAGE_POINT)).otherwise(u["t"]).alias("t"), u["neg"].alias("neg"), u["bps"].alias("bps"), (~u["bps"] & u["t"].rlike(PERCENTAGE_POINT)).alias("pp")),
-                lambda v: F.struct(strip(F.replace(v["t"], F.lit("%"), F.lit(""))).alias("t"), v["neg"].alias("neg"), v["bps"].alias("bps"), v["pp"].alias("pp"), v["t"].contains("%").alias("pct")),
+                F.struct(F.when(u["wordy"] & ~u["bps"], _cut(u["t"], PERCENTAGE_POINT)).otherwise(u["t"]).alias("t"), u["neg"].alias("neg"), u["bps"].alias("bps"), (u["wordy"] & ~u["bps"] & u["t"].rlike(PERCENTAGE_POINT)).alias("pp"), u["wordy"].alias("wordy")),
+                lambda v: F.struct(strip(F.replace(v["t"], F.lit("%"), F.lit(""))).alias("t"), v["neg"].alias("neg"), v["bps"].alias("bps"), v["pp"].alias("pp"), v["t"].contains("%").alias("pct"), v["wordy"].alias("wordy")),
             ),
         )
 
     def currency(s: Column) -> Column:
         which = F.coalesce(*(F.when(s["t"].contains(sign), F.lit(sign)) for sign, _ in CURRENCY_SYMBOLS))
-        name = F.coalesce(*(F.when(s["t"].contains(sign), F.lit(code)) for sign, code in CURRENCY_SYMBOLS), F.when(s["t"].rlike(CURRENCY_CODE), F.lower(F.regexp_extract(s["t"], CURRENCY_CODE, 1))))
-        rest = F.when(which.isNotNull(), strip(F.replace(s["t"], which, F.lit("")))).otherwise(_cut(s["t"], CURRENCY_CODE))
-        return F.struct(rest.alias("t"), name.alias("currency"), s["neg"].alias("neg"), s["bps"].alias("bps"), s["pp"].alias("pp"), s["pct"].alias("pct"))
+        coded = F.when(s["wordy"] & s["t"].rlike(CURRENCY_CODE), F.lower(F.regexp_extract(s["t"], CURRENCY_CODE, 1)))
+        name = F.coalesce(*(F.when(s["t"].contains(sign), F.lit(code)) for sign, code in CURRENCY_SYMBOLS), coded)
+        rest = F.when(which.isNotNull(), strip(F.replace(s["t"], which, F.lit("")))).when(s["wordy"], _cut(s["t"], CURRENCY_CODE)).otherwise(s["t"])
+        return F.struct(rest.alias("t"), name.alias("currency"), s["neg"].alias("neg"), s["bps"].alias("bps"), s["pp"].alias("pp"), s["pct"].alias("pct"), s["wordy"].alias("wordy"))
 
     def value(s: Column) -> Column:
-        word = F.lower(F.regexp_extract(s["t"], SCALE_SUFFIX, 1))
+        word = F.when(s["wordy"], F.lower(F.regexp_extract(s["t"], SCALE_SUFFIX, 1))).otherwise("")
         scale = F.when(word == "", 1.0).when(word.startswith("t") | (word == "k"), 1e3).when(word.startswith("m"), 1e6).otherwise(1e9)
-        number = strip(F.regexp_replace(s["t"], SCALE_SUFFIX, ""))
+        number = F.when(s["wordy"], strip(F.regexp_replace(s["t"], SCALE_SUFFIX, ""))).otherwise(strip(s["t"]))
         clean = F.regexp_replace(number, "[, ]", "") if locale == "en" else F.replace(F.regexp_replace(number, "[. ]", ""), F.lit(","), F.lit("."))
         raw = to_float(clean)
         return let(F.struct(F.when(s["neg"], -F.abs(raw)).otherwise(raw).alias("raw"), scale.alias("scale")), lambda v: F.when(
@@ -89,7 +96,11 @@ def parse_number(text: Column, locale: str = "en") -> Column:
             ),
         ))
 
-    return let(strip(text), lambda t: let(signed(t), lambda a: let(units(a), lambda b: let(currency(b), value))))
+    def read(t: Column) -> Column:
+        return let(signed(t), lambda a: let(units(a), lambda b: let(currency(b), value)))
+
+    # other words stay in what would have to be a number, so such a text is none
+    return let(strip(text), lambda t: F.when(~t.rlike(_OTHER_WORD), read(t)))
 
 
 def numeric_match(predicted: Column, gold: Column, relative: float | None = None, absolute: float | None = None) -> Column:
@@ -123,24 +134,54 @@ def leading_digits(value: Column, n: int = 3) -> Column:
     return F.when(size > 0, F.floor(mantissa * 10.0 ** (n - 1) + 5 * 10.0 ** (n - 12))).otherwise(0)
 
 
-def is_supported(value: Column, evidence: Column) -> Column:
-    """Whether a number is trivial, or some number of the evidence, at some reporting scale and with either sign, lies
-    within 0.1 % or has the same three leading digits."""
+def first_at(ordered: Column, below: Callable[[Column], Column]) -> Column:
+    """The place, from 0, of the first element of a sorted array that is not ``below``, found by halving; the array's size if all are.
+
+    :param below: true of a beginning of the array and of nothing after it.
+    """
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        right = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(below(F.get(ordered, middle)), right).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(ordered) + F.lit(1))).cast("int")))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high")), halve)["low"]
+
+
+def is_among(value: Column, ordered: Column, tolerance: Callable[[Column], Column]) -> Column:
+    """Whether a sorted array of doubles has a number within the ``tolerance`` at that number, which grows slower than the numbers do."""
+    at = first_at(ordered, lambda y: value - y > tolerance(y))
+    return let(F.get(ordered, at), lambda y: F.coalesce(F.abs(value - y) <= tolerance(y), F.lit(False)))
+
+
+def evidence_index(evidence: Column) -> Column:
+    """Evidence made ready for ``supported_by``: ``sizes``, the numbers at all reporting scales without their signs, sorted; ``digits``, the
+    different leading digits, at most 900, which no scale changes."""
     factors = F.array(*(F.lit(f) for f in SCALE_FACTORS))
+    known = F.filter(F.transform(evidence, F.abs), lambda c: c > 0)
 
-    def among(stated: Column) -> Column:
-        size, digits = stated["size"], stated["digits"]
+    def made(sizes: Column) -> Column:
+        scaled = F.flatten(F.transform(sizes, lambda c: F.transform(factors, lambda f: c * f)))
+        return F.struct(F.sort_array(F.filter(F.array_distinct(scaled), lambda y: y > 0)).alias("sizes"), F.array_distinct(F.transform(sizes, lambda c: leading_digits(c))).alias("digits"))
+
+    return let(known, made)
 
-        def near(candidate: Column) -> Column:
-            def at(factor: Column) -> Column:
-                scaled = F.abs(candidate) * factor
-                return (scaled > 0) & ((F.abs(size - scaled) <= RELATIVE_TOLERANCE * F.greatest(scaled, F.lit(1e-9))) | ((digits > 0) & (digits == leading_digits(scaled))))
 
-            return F.exists(factors, at)
+def supported_by(value: Column, index: Column) -> Column:
+    """Whether a number is trivial, or some number of the indexed evidence, at some reporting scale and with either sign, lies
+    within 0.1 % or has the same three leading digits: one search by halving and one look at the digits, whatever the evidence."""
 
-        return size.isin(*TRIVIAL_NUMBERS) | F.exists(evidence, near)
+    def among(stated: Column) -> Column:
+        near = is_among(stated["size"], index["sizes"], lambda y: RELATIVE_TOLERANCE * F.greatest(y, F.lit(1e-9)))
+        return stated["size"].isin(*TRIVIAL_NUMBERS) | ((stated["digits"] > 0) & F.array_contains(index["digits"], stated["digits"])) | near
+
+    return let(F.struct(F.abs(value).alias("size"), leading_digits(value).alias("digits")), lambda s: F.when(s["size"].isNotNull(), among(s)))
 
-    return let(F.struct(F.abs(value).alias("size"), leading_digits(value).alias("digits")), among)
+
+def is_supported(value: Column, evidence: Column) -> Column:
+    """``supported_by`` for a single number; null evidence supports only trivial numbers."""
+    return let(evidence_index(F.coalesce(evidence, F.array().cast("array<double>"))), lambda index: supported_by(value, index))
 
 
 def is_incidental(value: Column) -> Column:

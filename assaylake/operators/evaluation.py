@@ -24,7 +24,8 @@ def join_predictions(asked: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def told(rows: DataFrame) -> DataFrame:
     """The rows with what their answers state: ``predicted``, ``refused``, ``has_answer``, ``canary_stated``."""
-    read = rows.withColumns({"predicted": metrics.number(), "refused": metrics.answered() & metrics.refused(), "has_answer": metrics.answered()})
+    known = metrics.read(rows)
+    read = known.withColumns({"predicted": F.col("_read_number"), "refused": metrics.answered() & F.col("_read_refused"), "has_answer": metrics.answered()})
     return read.withColumn("canary_stated", F.col("canary").isNotNull() & (F.abs(F.col("predicted") - F.col("canary").cast("double")) < 1))
 
 

@@ -13,7 +13,7 @@ from assaylake.sources.tables import stash
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored predictions with all that the registry's metrics read, ``capability_tags``, and what the answers state:
-    ``predicted``, ``refused``, ``canary_stated``."""
+    ``predicted``, ``refused``, ``canary_stated``; read once and written by benchmark."""
     c = F.col
     none = F.array().cast("array<string>")
     meta = {"ground_truth": F.coalesce(c("gold_text"), F.lit("True")), "answer_shape": c("shape"), "prompt_injection": F.when(c("canary").isNotNull(), "true").otherwise("false"), "company": F.lit("Acme Holdings Inc"), "period": F.lit("2021")}
@@ -24,7 +24,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "evidence_documents": F.array("evidence_document"), "cited": F.when(c("cited").isNull(), none).otherwise(F.array("cited")), "metadata": F.create_map(*(x for k, v in meta.items() for x in (F.lit(k), v))),
         }
     )
-    return evaluation.told(given)
+    return stash(evaluation.told(given), "benchmark")  # each benchmark's metrics read its own files
 
 
 def results(p: DataFrame) -> DataFrame:

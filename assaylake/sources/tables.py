@@ -75,15 +75,17 @@ def scratch() -> Iterator[None]:
         _remove(_OPEN.pop())
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: what follows reads files that every executor sees, so a lost executor costs no more
     than its running tasks.
+
+    :param by: columns of few values, each of which gets files of its own; a filter on them reads only these.
     """
     path = shared_path(df.sparkSession, f"stash-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
