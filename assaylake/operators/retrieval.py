@@ -6,10 +6,14 @@ query terms are joined, query terms keep their repeats.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from assaylake.functions.finance import norm
 from assaylake.functions.text import tokenize
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -75,23 +79,92 @@ def top_k(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, blocks: int | None = None, scope: str | None = None) -> DataFrame:
-    """Cosines of query vectors with all vectors; a vector without length scores 0. With a scope a query meets the vectors of its own.
-
-    Both sides are unit vectors by then, so a score is one fold. Queries are a stated set: they are copied to each block
-    of the vectors, as many as there are shuffle partitions, and a block meets them in one join on its number.
+#: Vectors that are multiplied with queries at a time, and queries.
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 256
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Unit vectors side by side, shorter ones padded with zeros; one without length stays zero."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(vectors), int(sizes.max(initial=0))))
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = vectors.flatten().to_numpy(zero_copy_only=False)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=out, where=length > 0)
+
+
+def _best(scores: np.ndarray, k: int, digits: int | None) -> np.ndarray:
+    """The places of the k best scores, ties to the smaller place; ``digits`` rounds them first."""
+    scores = scores if digits is None else np.sign(scores) * np.floor(np.abs(scores) * 10.0**digits + 0.5)
+    if k >= len(scores):
+        return np.arange(len(scores))
+    bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above, level = np.flatnonzero(scores > bar), np.flatnonzero(scores == bar)
+    return np.concatenate([above, level[: k - len(above)]])
+
+
+def _multiply(batches: Iterator[pa.RecordBatch], k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """The best of each block for each query. Rows are sorted by block, a block's vectors by id before its queries."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    block: tuple[pa.Array, np.ndarray] | None = None
+    current = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == stop:
+                continue
+            *name, kind = keys[start]
+            if name != current:
+                current, held, block = name, [], None
+            part = batch.slice(start, stop - start)
+            vectors = pa.ListArray.from_arrays(*_rebased(part.column(5)))
+            if kind == 0:
+                held.append((part.column(3), _matrix(vectors)))
+                continue
+            if not held:
+                continue
+            if block is None:
+                width = max(m.shape[1] for _, m in held)
+                block = pa.concat_arrays([ids for ids, _ in held]), np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in held])
+            ids, values = block
+            for at in range(0, len(part), BLOCK_QUERIES):
+                asked = _matrix(vectors.slice(at, BLOCK_QUERIES)) if len(part) > BLOCK_QUERIES else _matrix(vectors)
+                width = min(asked.shape[1], values.shape[1])
+                scores = asked[:, :width] @ values[:, :width].T
+                found = [_best(row, k, digits) for row in scores]
+                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                places = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([part.column(4).take(pa.array(owner + at)), ids.take(pa.array(places)), pa.array(scores[owner, places])], names=["query_id", "chunk_id", "score"])
+
+
+def _rebased(lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """The offsets from 0 and the values of a slice of lists."""
+    offsets = lists.offsets.to_numpy()
+    return pa.array(offsets - offsets[0], type=pa.int32()), lists.flatten()
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, digits: int | None = None, scope: str | None = None) -> DataFrame:
+    """The k best cosines of each query vector with the vectors, ties to the smaller ``chunk_id``; a vector without length scores 0.
+    With a scope a query meets the vectors of its own.
+
+    Vectors lie in blocks; queries, a stated set, are copied to each block of theirs and multiplied with all of it at once. Of a
+    block only the k best leave the task, so no pair is a row. A shorter vector counts as padded with zeros; rows whose vector is
+    null or holds a null or no number, or whose scope is null, take no part.
+
+    :param digits: scores are compared as they are when rounded to so many.
+    :return: ``query_id``, ``chunk_id``, ``score``: at most k rows for each query and block; ``top_k`` makes them the k best of all.
     """
-    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def unit(df: DataFrame) -> DataFrame:
-        size = norm(F.col("vector"))
-        return df.withColumn("vector", F.transform("vector", lambda x: F.when(size == 0, 0.0).otherwise(x / size)))
-
-    more = [scope] if scope else []
-    v = unit(vectors.select("chunk_id", "vector", *more)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    q = unit(queries.select("query_id", "vector", *more)).select("query_id", *more, F.col("vector").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    dot = F.aggregate(F.zip_with("query", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return q.join(v, ["block", *more]).select("query_id", "chunk_id", dot.alias("score"))
+    known = lambda df: df.where("vector is not null").where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    name = F.lit("") if scope is None else F.col(scope).cast("string")
+    v = known(vectors).select(name.alias("scope"), "chunk_id", F.col("vector").cast("array<double>").alias("vector")).where("scope is not null")
+    q = known(queries).select(name.alias("scope"), "query_id", F.col("vector").cast("array<double>").alias("vector")).where("scope is not null")
+    sizes = v.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
+    held = v.join(sizes, "scope").select("scope", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "chunk_id", F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "vector")
+    asked = q.join(sizes, "scope").select("scope", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast(v.schema["chunk_id"].dataType).alias("chunk_id"), "query_id", "vector")
+    met = held.unionByName(asked).repartition("scope", "block").sortWithinPartitions("scope", "block", "kind", "chunk_id")
+    schema = StructType([q.schema["query_id"], v.schema["chunk_id"], StructField("score", DoubleType())])
+    return met.mapInArrow(lambda batches: _multiply(batches, k, digits), schema)
 
 
 def fuse(*ranked: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.finance import token_cost
+from assaylake.operators.numbering import numbered
 
 
 def round_robin(samples: DataFrame, n: int | None, *by: str, stratum: str = "task_family", order: str = "pos") -> DataFrame:
     """The samples taken in turn from the sorted strata, each in its own order; of each ``by`` the first n."""
-    place = Window.partitionBy(*by, stratum).orderBy(order)
     if n is None:
-        return samples.withColumn("turn", F.row_number().over(place))
+        return numbered(samples, [*by, stratum], [order], "turn")
+    place = Window.partitionBy(*by, stratum).orderBy(order)  # of each stratum n rows at most are kept while sorting
     first = samples.withColumn("turn", F.row_number().over(place)).where(F.col("turn") <= n)
     taken = Window.partitionBy(*by).orderBy("turn", stratum)
     return first.withColumn("place", F.row_number().over(taken)).where(F.col("place") <= n)
@@ -22,9 +23,9 @@ def interleave(samples: DataFrame, *by: str, stratum: str = "task_family", order
     """The samples with their ``place`` when the sorted strata are taken in turn.
 
     A place follows from the sizes of the strata alone: all that earlier turns took, and the strata before this one that still
-    have a sample. So only a stratum is ever sorted.
+    have a sample. The samples of a stratum are numbered range by range, so a stratum of all samples is spread over all tasks.
     """
-    turned = samples.withColumn("turn", F.row_number().over(Window.partitionBy(*by, stratum).orderBy(order)))
+    turned = numbered(samples, [*by, stratum], [order], "turn")
     sizes = samples.groupBy(*by, stratum).agg(F.count("*").alias("n")).groupBy(*by).agg(F.collect_list(F.struct(F.col(stratum).alias("s"), "n")).alias("strata"))  # a few for each group
     joined = turned.join(sizes, list(by)) if by else turned.crossJoin(sizes)
     taken = F.aggregate("strata", F.lit(0).cast("long"), lambda total, x: total + F.least(x["n"], (F.col("turn") - 1).cast("long")) + F.when((x["s"] < F.col(stratum)) & (x["n"] >= F.col("turn")), 1).otherwise(0).cast("long"))

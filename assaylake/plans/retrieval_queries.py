@@ -77,7 +77,7 @@ def bm25_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dense_topk", f"WITH {_UNIT}, {_DENSE} SELECT * FROM {_ranked('dense')}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, all_vectors = vectors(spark, sf_dir)
-    return R.top_k(R.dense(asked, all_vectors), K, 6)
+    return R.top_k(R.dense(asked, all_vectors, K, 6), K, 6)
 
 
 #: Vectors stand in for the embeddings of documents with the same number.
@@ -89,7 +89,7 @@ fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS score
 def hybrid(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     _, every = vectors(spark, sf_dir)
     asked = questions(spark, sf_dir).select("query_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "vector")
-    return R.hybrid(lexical(spark, sf_dir), R.dense(asked, every), k, 6)
+    return R.hybrid(lexical(spark, sf_dir), R.dense(asked, every, 2 * k, 6), k, 6)
 
 
 @query("hybrid_rrf", f"WITH {_TOKENS}, {_BM25}, {_UNIT}, {_FUSED} SELECT * FROM {_ranked('fused')}")
@@ -156,7 +156,7 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = asked.select("query_id", "document_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "document_id", "vector")
     deep = lambda arm, scored: R.top_k(scored, 2 * DEEP, 6).withColumn("arm", F.lit(arm))
     searched = stash(
-        deep("bm25", R.search(asked, chunks)).unionByName(deep("bm25_scoped", R.search(asked, chunks, "document_id"))).unionByName(deep("dense", R.dense(wanted, placed))).unionByName(deep("dense_scoped", R.dense(wanted, placed, scope="document_id")))
+        deep("bm25", R.search(asked, chunks)).unionByName(deep("bm25_scoped", R.search(asked, chunks, "document_id"))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
     )
     of = lambda arm: searched.where(F.col("arm") == arm)
     fused = [R.top_k(R.fuse(of(f"bm25{s}"), of(f"dense{s}")), DEEP, 12).withColumn("arm", F.lit(f"hybrid{s}")) for s in ("", "_scoped")]
@@ -177,7 +177,7 @@ def retrieval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dense_label_agreement", f"WITH {_UNIT}, {_DENSE} SELECT r.query_id, count(*) FILTER (a.label = b.label) AS n_same FROM {_ranked('dense')} r JOIN v a ON a.vec_id = r.query_id JOIN v b ON b.vec_id = r.chunk_id GROUP BY r.query_id")
 def dense_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, every = vectors(spark, sf_dir)
-    top = R.top_k(R.dense(asked, every), K, 6)
+    top = R.top_k(R.dense(asked, every, K, 6), K, 6)
     labels = every.select("chunk_id", "label")
     both = top.join(labels, "chunk_id").join(labels.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     return both.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("n_same"))

@@ -148,7 +148,7 @@ def test_fusion_and_cosine(spark):
     got = {r.chunk_id: r.score for r in retrieval.fuse(a, b).collect()}
     assert got == {"x": pytest.approx(1 / 61), "y": pytest.approx(1 / 62 + 1 / 61), "z": pytest.approx(1 / 62)}
     v = spark.createDataFrame([("u", [3.0, 4.0]), ("o", [0.0, 0.0])], "chunk_id string, vector array<double>")
-    got = {r.chunk_id: r.score for r in retrieval.dense(spark.createDataFrame([(1, [6.0, 8.0])], "query_id int, vector array<double>"), v).collect()}
+    got = {r.chunk_id: r.score for r in retrieval.dense(spark.createDataFrame([(1, [6.0, 8.0])], "query_id int, vector array<double>"), v, 10).collect()}
     assert got == {"u": pytest.approx(1.0), "o": 0.0}
 
 
@@ -295,3 +295,33 @@ def test_results_do_not_depend_on_partitions(spark):
     rows = [("m", float(i % 3 == 0), i % 3 == 0) for i in range(500)]
     df = spark.createDataFrame(rows, "metric_name string, value double, passed boolean")
     assert rollup.metric_aggregate(df.repartition(1)).collect() == rollup.metric_aggregate(df.repartition(8)).collect()
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_dense_search_in_blocks_equals_all_products(spark, monkeypatch, scoped):
+    """Several blocks, ties across them, vectors without length, short ones and such as are none."""
+    import random
+
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
+    draw = random.Random(4)
+    rows = [(f"c{i}", f"s{i % 3 if i % 4 else 0}", [draw.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(draw.choice((3, 4)))]) for i in range(300)]
+    rows += [("null", "s0", None), ("part", "s0", [1.0, None]), ("nan", "s0", [float("nan"), 1.0]), ("zero", None, [1.0, 2.0]), ("none", "s1", [])]
+    asked = [(i, f"s{i % 4}", [draw.gauss(0, 1) for _ in range(4)]) for i in range(11)] + [(11, "s0", [0.0, 0.0]), (12, "s1", None), (13, None, [1.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, scope_id string, vector array<double>")
+    q = spark.createDataFrame(asked, "query_id int, scope_id string, vector array<double>")
+    found = retrieval.dense(q, v, 7, 6, "scope_id" if scoped else None)
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in retrieval.top_k(found, 7, 6).collect()}
+    usable = [(c, s, x) for c, s, x in rows if x is not None and all(y is not None and y == y for y in x)]
+    size = lambda x: sum(y * y for y in x) ** 0.5
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False)) / (size(a) * size(b)) if size(a) * size(b) else 0.0
+    expected = {}
+    for i, s, x in asked:
+        if x is None or scoped and s is None:
+            continue
+        scores = sorted((-round(cosine(x, y), 6), c) for c, t, y in usable if not scoped or s == t)
+        expected |= {(i, rank + 1): (c, -score) for rank, (score, c) in enumerate(scores[:7])}
+    assert got.keys() == expected.keys()
+    assert all(got[key][0] == expected[key][0] and abs(got[key][1] - expected[key][1]) < 2e-6 for key in got)
+    assert "Python" in found._jdf.queryExecution().executedPlan().toString() or "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() <= 7 * 12 * 9

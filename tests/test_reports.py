@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaylake.__main__ import main
-from assaylake.operators import evaluation, reports, retrieval, runs, samples
+from assaylake.operators import evaluation, numbering, reports, retrieval, runs, samples
 from assaylake.plans import evaluation_queries
 from assaylake.sources import benchmarks, sinks, tables, tasks
 
@@ -182,3 +183,25 @@ def test_the_cache_stores_a_key_once(spark, tmp_path):
         sinks.append_to_cache(rows(spark, [(k, "r") for k in keys], "request_hash string, response string"), path)
     assert tuple(sinks.cache_stats(spark, path).first()) == (3, 3)
     assert main(["cache-clear", "--cache", path]) == 0 and sinks.cache_stats(spark, path).first().n_responses == 0
+
+
+@pytest.mark.parametrize("groups", [1, 3, 40])
+def test_numbers_equal_a_window(spark, groups):
+    """Also for one group of all rows, with nulls in group and order and columns whose names are used inside."""
+    rows = spark.range(5_000).select(
+        F.when(F.col("id") % 7 != 0, F.col("id") % groups).alias("g"), F.when(F.col("id") % 11 != 0, F.xxhash64("id") % 900).alias("o"), "id", F.lit(1).alias("_part"), F.lit(2).alias("_place"), F.lit(3).alias("number")
+    )
+    found = numbering.numbered(rows, ["g"], ["o", "id"], ranges=9)
+    assert found.columns == [c for c in rows.columns if c != "number"] + ["number"]
+    expected = rows.withColumn("number", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_a_group_of_all_rows_is_spread(spark):
+    rows = spark.range(20_000).withColumn("g", F.lit("all"))
+    found = numbering.numbered(rows, ["g"], ["id"], "turn", ranges=8)
+    assert found.where("turn <> id + 1").count() == 0 and found.count() == 20_000
+    sizes = [r["count"] for r in rows.repartitionByRange(8, "g", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 20_000 / 4
+    assert numbering.numbered(rows.limit(0), ["g"], ["id"]).count() == 0
+    assert [r.number for r in numbering.numbered(rows.limit(3), [], ["id"]).orderBy("id").collect()] == [1, 2, 3]
