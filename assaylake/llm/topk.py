@@ -23,7 +23,7 @@ from assaylake.llm._common import partitions, slices, stash
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 512
 #: The shares of each list after which bounds are formed anew.
-DEPTHS = (1 / 32, 1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)
+DEPTHS = (1 / 16, 3 / 4, 1)
 #: The bar of a query that has none.
 NO_BAR = -(1 << 62)
 
@@ -60,7 +60,9 @@ class Block:
         self.names = np.argsort(lists, axis=1, kind="stable")
         self.values = np.take_along_axis(lists, self.names, axis=1)
         self.doubles = self.values.astype(float)
-        self.cells = self.names + np.arange(self.width)[:, None] * self.size
+        # the place of each vector in each list, which tells whether a list has shown it yet
+        self.places = np.empty(self.names.shape, dtype=np.int16 if self.size < 1 << 15 else np.int32)
+        np.put_along_axis(self.places, self.names, np.arange(self.size, dtype=self.places.dtype)[None, :], axis=1)
         self.largest = int(np.abs(lists).max(initial=0))
         self.read = self.unread = 0
 
@@ -90,9 +92,7 @@ class Block:
         exact = int(np.abs(weights).max(initial=0)) * self.largest * max(1, len(lists)) < 1 << 53  # of sums in doubles
         total = np.zeros(n, dtype=float if exact else np.int64)
         alive = np.setdiff1d(np.arange(n), self.own.get(query_id, ()), assume_unique=True)
-        unseen = np.ones(self.width * n, dtype=np.float32)
-        last, ends, every = np.zeros((3, self.width))
-        every[lists] = 1
+        last, ends = np.zeros((2, self.width))
         sides = [(up, lists[(weights < 0) == up]) for up in (False, True)]
         for up, some in sides:
             ends[some] = self.values[some, -1 if up else 0] * query[some].astype(float) if n else 0
@@ -107,23 +107,27 @@ class Block:
                 wanted[alive] = True
             for up, some in sides:
                 part = np.s_[place:stop] if up else np.s_[n - stop : n - place]
-                names, cells = self.names[some, part].ravel(), self.cells[some, part].ravel()
+                names = self.names[some, part].ravel()
                 worth = self.doubles[some, part] * query[some, None].astype(float) if exact else self.values[some, part] * query[some, None]
                 self.read += names.size
                 last[some] = worth[:, -1 if up else 0]
                 worth = worth.ravel()
                 if wanted is not None:
                     here = np.flatnonzero(wanted[names])
-                    names, worth, cells = names[here], worth[here], cells[here]
+                    names, worth = names[here], worth[here]
                 if exact:
                     total += np.bincount(names, weights=worth, minlength=n)
                 else:
                     np.add.at(total, names, worth)
-                unseen[cells] = 0
             place = stop
             if place < n:
                 slack = 1e-5 * (1 + np.abs(last).sum() + np.abs(ends).sum())  # of sums in single precision
-                most, least, left = (np.array([last, ends, every], dtype=np.float32) @ unseen.reshape(-1, n))[:, alive].astype(float)
+                most = least = left = 0
+                for up, some in sides:
+                    there = self.places[some] if wanted is None else self.places[some[:, None], alive]
+                    unseen = (there >= place if up else there < n - place).astype(np.float32)
+                    sums = np.array([last[some], ends[some], np.ones(len(some))], dtype=np.float32) @ unseen
+                    most, least, left = (x + y for x, y in zip((most, least, left), (sums if wanted is not None else sums[:, alive]).astype(float), strict=True))
                 known = total[alive].astype(float)
                 bar = max(bar, self._bar(known + least - slack, alive, query_id, k))
                 stay = known + most + slack >= bar
