@@ -15,22 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assaylake.functions.text import tokenize
+from assaylake.sources.tables import stash
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def postings(corpus: DataFrame, *scope: str, text: str = "text", queries: DataFrame | None = None) -> DataFrame:
+def tokenised(corpus: DataFrame, *scope: str, text: str = "text") -> DataFrame:
+    """The tokens of chunks and their number, written once: whatever is counted afterwards reads no text."""
+    return stash(corpus.select(*scope, "chunk_id", tokenize(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens")))
+
+
+def postings(sized: DataFrame, *scope: str, queries: DataFrame | None = None) -> DataFrame:
     """Term frequencies of chunks, with the chunk's length and, within each scope, the number of chunks, their mean length
     and the chunks that have the term. Empty chunks count in the statistics.
 
+    :param sized: chunks as ``tokenised`` gives them.
     :param queries: only their terms are indexed, each in the query's scope: all other tokens leave before anything is counted.
     """
-    sized = corpus.select(*scope, "chunk_id", tokenize(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
     stats = sized.groupBy(*scope).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
     words = sized.select(*scope, "chunk_id", "length", F.explode("tokens").alias("term"))
     if queries is not None:
         words = words.join(_terms(queries, *scope).select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
-    tf = words.groupBy(*scope, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    tf = stash(words.groupBy(*scope, "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     out = tf.join(df, [*scope, "term"])
     return out.join(stats, list(scope)) if scope else out.crossJoin(stats)  # one row of totals
@@ -47,12 +53,16 @@ def bm25(queries: DataFrame, index: DataFrame, *scope: str) -> DataFrame:
     return _terms(queries, *scope).join(index, [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
 
 
-def search(queries: DataFrame, corpus: DataFrame, scope: str | None = None) -> DataFrame:
-    """BM25 of queries over a corpus; with a scope a query sees the chunks of its own scope, and one whose scope is null sees all."""
+def search(queries: DataFrame, corpus: DataFrame, scope: str | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """BM25 of queries over a corpus; with a scope a query sees the chunks of its own scope, and one whose scope is null sees all.
+
+    :param sized: the corpus as ``tokenised`` gives it, where it is there already.
+    """
+    sized = tokenised(corpus, *([scope] if scope else [])) if sized is None else sized
     if scope is None:
-        return bm25(queries, postings(corpus, queries=queries))
+        return bm25(queries, postings(sized, queries=queries))
     own, free = queries.where(F.col(scope).isNotNull()), queries.where(F.col(scope).isNull())
-    return bm25(own, postings(corpus, scope, queries=own), scope).unionByName(bm25(free, postings(corpus, queries=free)))
+    return bm25(own, postings(sized, scope, queries=own), scope).unionByName(bm25(free, postings(sized, queries=free)))
 
 
 def containing(passages: DataFrame, corpus: DataFrame, passage: str = "text", text: str = "text") -> DataFrame:

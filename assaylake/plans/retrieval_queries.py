@@ -155,8 +155,9 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = every.join(chunks.select("chunk_id", "document_id"), "chunk_id")
     wanted = asked.select("query_id", "document_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "document_id", "vector")
     deep = lambda arm, scored: R.top_k(scored, 2 * DEEP, 6).withColumn("arm", F.lit(arm))
+    sized = R.tokenised(chunks, "document_id")
     searched = stash(
-        deep("bm25", R.search(asked, chunks)).unionByName(deep("bm25_scoped", R.search(asked, chunks, "document_id"))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
+        deep("bm25", R.search(asked, chunks, sized=sized)).unionByName(deep("bm25_scoped", R.search(asked, chunks, "document_id", sized))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
     )
     of = lambda arm: searched.where(F.col("arm") == arm)
     fused = [R.top_k(R.fuse(of(f"bm25{s}"), of(f"dense{s}")), DEEP, 12).withColumn("arm", F.lit(f"hybrid{s}")) for s in ("", "_scoped")]

@@ -123,10 +123,10 @@ def test_conversations(spark):
 def test_retrieval_of_three_pages(spark):
     pages = spark.createDataFrame([("d#p1", "d", "Total revenue was 5,000 million."), ("d#p2", "d", "Capital expenditure of the year was 1,577."), ("d#p3", "d", "Lease liabilities, lease costs."), ("d#p4", "d", "")], "chunk_id string, document_id string, text string")
     asked = spark.createDataFrame([(1, "What was the capital expenditure?"), (2, "lease lease"), (3, "nothing here matches, zzz")], "query_id int, text string")
-    got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.top_k(retrieval.bm25(asked, retrieval.postings(pages)), 2).collect()}
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.top_k(retrieval.bm25(asked, retrieval.postings(retrieval.tokenised(pages))), 2).collect()}
     assert got == {(1, 1): "d#p2", (2, 1): "d#p3"}
-    twice = retrieval.bm25(asked.where("query_id = 2"), retrieval.postings(pages)).first().score
-    once = retrieval.bm25(spark.createDataFrame([(2, "lease")], "query_id int, text string"), retrieval.postings(pages)).first().score
+    twice = retrieval.bm25(asked.where("query_id = 2"), retrieval.postings(retrieval.tokenised(pages))).first().score
+    once = retrieval.bm25(spark.createDataFrame([(2, "lease")], "query_id int, text string"), retrieval.postings(retrieval.tokenised(pages))).first().score
     assert twice == pytest.approx(2 * once)
 
 
