@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from assaylake.llm._common import bucketed, partitions, slices, stash, unused
 from assaylake.llm.components import components
+from assaylake.operators.numbering import numbered
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -517,14 +518,30 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     return prints.join(named, (prints["digest"] == named["key"]) & (prints["fp"] == named["key0"])).select("doc_id", "component_id")
 
 
+def _own_ids(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with ids ``name`` of which each stands for one text: where the rows of an id have several, the first by its hash keeps the
+    id, and the others have ids beyond the largest. Rows with a null id have none."""
+    own, digest = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(own.alias("id"), digest.alias("digest")).where("id is not null").distinct()
+    several = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    named = stash(texts.join(several, "id", "left_semi"))
+    if named.isEmpty():  # as ids are meant to be
+        return docs.withColumn(name, own)
+    largest = docs.agg(F.max(own)).first()[0]
+    later = numbered(numbered(named, ["id"], ["digest"], "turn").where("turn > 1"), [], ["id", "digest"], "number")
+    given = later.select(F.col("id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest"), (F.lit(largest) + F.col("number")).alias(name))
+    return docs.join(given, (own == F.col(f"{name}_id")) & (digest == F.col(f"{name}_digest")), "left").select(*(docs[c] for c in docs.columns), F.coalesce(F.col(name), own).alias(name))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate class, with the columns of ``docs``: a row with the smallest id. Rows with a null
-    id stay.
+    id stay. Rows of one id with different texts are documents of their own; the one whose text hashes least counts as the first.
 
     :param similarity: classes by the similarity of five-word shingles; without it, by fingerprints alone.
     """
-    kept_id = f"{unused(docs, 'kept_')}id"
-    found = near_duplicates(docs, id_col, text_col) if similarity is None else similar_documents(docs, similarity, id_col=id_col, text_col=text_col)
+    own, kept_id = f"{unused(docs, 'own_')}id", f"{unused(docs, 'kept_')}id"
+    named = _own_ids(docs, id_col, text_col, own)
+    found = near_duplicates(named, own, text_col) if similarity is None else similar_documents(named, similarity, id_col=own, text_col=text_col)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep[kept_id]).dropDuplicates([kept_id])
-    return kept.select(*(docs[c] for c in docs.columns)).union(docs.where(F.col(id_col).isNull()))
+    kept = named.join(keep, named[own] == keep[kept_id]).dropDuplicates([kept_id])
+    return kept.select(*(named[c] for c in docs.columns)).union(docs.where(F.col(id_col).isNull()))

@@ -658,3 +658,19 @@ def test_packing_of_a_very_long_blank_text(spark):
     pieces = packing.pack(docs).collect()
     whole = {p.doc_id: p.doc_tokens for p in pieces}
     assert {d: sum(p.length for p in pieces if p.doc_id == d) for d in whole} == whole and whole[3] == 1
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_rows_of_one_id_are_compared_by_text(spark, similarity):
+    """A text stays that is nobody's near-duplicate, though its id has others; copies under one id go."""
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(draw.choice(letters) for _ in range(6)) for _ in range(60)) for _ in range(6)]
+    longer = texts[2] + (" end" if similarity else "")
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (1, longer), (2, texts[2]), (3, texts[3]), (3, texts[3]), (9, texts[4]), (9, texts[0]), (9, None), (9, ""), (None, texts[0]), (None, texts[0])]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, own_id int").repartition(3)
+    kept = [tuple(r) for r in simhash.deduplicate(docs, similarity=similarity).select("doc_id", "text").collect()]
+    named = [(i, t) for i, t in kept if i is not None]
+    assert len(kept) - len(named) == 2 and len(named) == len(set(named)) == 6
+    groups = [{(1, texts[0]), (9, texts[0])}, {(1, texts[1])}, {(1, longer), (2, texts[2])}, {(3, texts[3])}, {(9, texts[4])}, {(9, None), (9, "")}]
+    assert all(len(g & set(named)) == 1 for g in groups)
