@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class of near-duplicates, the one with the smallest id; candidates by SimHash, held against the
     similarity of five-word shingles.
 
-    Texts without a word are one class. Of rows with the same id one stays, though their texts differ; rows with a null id all stay.
+    Texts without a word are one class. Rows with the same id and different texts are documents of their own; rows with a null id all stay.
     """
     return simhash.deduplicate(docs, similarity=SIMILARITY)
 
