@@ -35,14 +35,15 @@ def postings(sized: DataFrame, *scope: str, queries: DataFrame | None = None) ->
     stats = sized.groupBy(*scope).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
     words = sized.select(*scope, "chunk_id", "length", F.explode("tokens").alias("term"))
     if queries is not None:
-        words = words.join(_terms(queries, *scope).select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+        words = words.join(query_terms(queries, *scope).select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
     tf = stash(words.groupBy(*scope, "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     out = tf.join(df, [*scope, "term"])
     return out.join(stats, list(scope)) if scope else out.crossJoin(stats)  # one row of totals
 
 
-def _terms(queries: DataFrame, *scope: str, text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, *scope: str, text: str = "text") -> DataFrame:
+    """The terms of queries with their repeats as ``qtf``."""
     return queries.select("query_id", *scope, F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count("*").alias("qtf"))
 
 
@@ -50,7 +51,7 @@ def bm25(queries: DataFrame, index: DataFrame, *scope: str) -> DataFrame:
     """The BM25 score of each query and chunk that share a term; a scoped query sees its own scope alone."""
     idf = F.ln(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return _terms(queries, *scope).join(index, [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+    return query_terms(queries, *scope).join(index, [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, scope: str | None = None, sized: DataFrame | None = None) -> DataFrame:

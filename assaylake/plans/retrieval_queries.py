@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.text import STOPWORDS, tokenize
+from assaylake.operators import lexical_index
 from assaylake.operators import retrieval as R
 from assaylake.plans.derived import relation
 from assaylake.plans.registry import query
-from assaylake.sources.tables import stash
+from assaylake.sources.tables import lasting_path, stash, version
 
 K, DEEP = 5, 20
 DEPTHS = (1, 3, 5, 10, 20)
@@ -48,8 +49,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"), "text")
 
 
-def lexical(spark: SparkSession, sf_dir: str, scoped: bool = False) -> DataFrame:
-    return R.search(questions(spark, sf_dir), corpus(spark, sf_dir), "document_id" if scoped else None)
+def stored_index(spark: SparkSession, sf_dir: str, scoped: bool = False) -> lexical_index.LexicalIndex:
+    """The index of the documents, built at its first use and kept in the shared folder; changed documents get a new one."""
+    scope = ("document_id",) if scoped else ()
+    name = "-".join(["lexical", version(spark, f"{sf_dir}/documents.parquet"), *scope])
+    path, _ = lasting_path(spark, name)
+    _, complete = lasting_path(spark, f"{name}/terms/_SUCCESS")  # the part that is written last
+    return lexical_index.read_index(spark, path, *scope) if complete else lexical_index.write_index(corpus(spark, sf_dir), path, *scope)
+
+
+def lexical(spark: SparkSession, sf_dir: str, k: int, scoped: bool = False) -> DataFrame:
+    """Chunks among which are the k best of each question."""
+    return lexical_index.search_index(stored_index(spark, sf_dir, scoped), questions(spark, sf_dir), k, 6)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -64,14 +75,27 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy("document_id", "term").count().groupBy("document_id").agg(F.sum("count").alias("n_tokens"), F.count("*").alias("n_terms"))
 
 
+@query(
+    "bm25_index",
+    f"""WITH {_TOKENS}, placed AS (SELECT chunk_id, length, (row_number() OVER (ORDER BY length, chunk_id) - 1) // {lexical_index.BLOCK_CHUNKS} AS block FROM lengths), s AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths)
+      SELECT term, count(*) AS df, count(DISTINCT block) AS n_blocks, round(any_value(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5))), 6) AS idf, round(max(tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * p.length / s.mean))), 6) AS bound
+      FROM tf JOIN placed p USING (chunk_id) JOIN (SELECT term, count(*) AS df FROM tf GROUP BY term) d USING (term), s GROUP BY term""",
+)
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the stored index with the blocks that hold them and their greatest weight."""
+    index = stored_index(spark, sf_dir)
+    held = index.blocks.groupBy("term").agg(F.count("*").alias("n_blocks"), F.round(F.max("bound"), 6).alias("bound"))
+    return index.terms.join(held, "term").select("term", "df", "n_blocks", F.round("idf", 6).alias("idf"), "bound")
+
+
 @query("bm25_topk", f"WITH {_TOKENS}, {_BM25} SELECT * FROM {_ranked('bm25')}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(lexical(spark, sf_dir), K, 6)
+    return R.top_k(lexical(spark, sf_dir, K), K, 6)
 
 
 @query("bm25_scoped_topk", f"WITH {_TOKENS}, {_SCOPED} SELECT * FROM {_ranked('bm25')}")
 def bm25_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(lexical(spark, sf_dir, scoped=True), K, 6)
+    return R.top_k(lexical(spark, sf_dir, K, scoped=True), K, 6)
 
 
 @query("dense_topk", f"WITH {_UNIT}, {_DENSE} SELECT * FROM {_ranked('dense')}")
@@ -89,7 +113,7 @@ fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS score
 def hybrid(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     _, every = vectors(spark, sf_dir)
     asked = questions(spark, sf_dir).select("query_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "vector")
-    return R.hybrid(lexical(spark, sf_dir), R.dense(asked, every, 2 * k, 6), k, 6)
+    return R.hybrid(lexical(spark, sf_dir, 2 * k), R.dense(asked, every, 2 * k, 6), k, 6)
 
 
 @query("hybrid_rrf", f"WITH {_TOKENS}, {_BM25}, {_UNIT}, {_FUSED} SELECT * FROM {_ranked('fused')}")
@@ -129,7 +153,7 @@ def _arm(name: str, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     f"WITH {_TOKENS}, {_BM25}, {_MEASURES.format(arms=_ARM.format(arm='bm25', ranked=_ranked('bm25', DEEP)))} SELECT arm, query_id, k, first_rank, {', '.join(f'CAST(round({n}, 6) AS DOUBLE) AS {n}' for n in _NAMES)} FROM full_measures",
 )
 def retrieval_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _arm("bm25", R.top_k(lexical(spark, sf_dir), DEEP, 6), corpus(spark, sf_dir))
+    hits = _arm("bm25", R.top_k(lexical(spark, sf_dir, DEEP), DEEP, 6), corpus(spark, sf_dir))
     return R.relevance_measures(hits, relevant(spark, sf_dir), list(DEPTHS), "arm").withColumns({n: F.round(n, 6) for n in _NAMES})
 
 
@@ -155,9 +179,8 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = every.join(chunks.select("chunk_id", "document_id"), "chunk_id")
     wanted = asked.select("query_id", "document_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "document_id", "vector")
     deep = lambda arm, scored: R.top_k(scored, 2 * DEEP, 6).withColumn("arm", F.lit(arm))
-    sized = R.tokenised(chunks, "document_id")
     searched = stash(
-        deep("bm25", R.search(asked, chunks, sized=sized)).unionByName(deep("bm25_scoped", R.search(asked, chunks, "document_id", sized))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
+        deep("bm25", lexical(spark, sf_dir, 2 * DEEP)).unionByName(deep("bm25_scoped", lexical(spark, sf_dir, 2 * DEEP, scoped=True))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
     )
     of = lambda arm: searched.where(F.col("arm") == arm)
     fused = [R.top_k(R.fuse(of(f"bm25{s}"), of(f"dense{s}")), DEEP, 12).withColumn("arm", F.lit(f"hybrid{s}")) for s in ("", "_scoped")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,6 +47,23 @@ def shared_path(spark: SparkSession, name: str, is_table: bool = False) -> str:
     return path
 
 
+def lasting_path(spark: SparkSession, name: str) -> tuple[str, bool]:
+    """A path in the shared folder that stays until the driver ends, whatever ``scratch`` is open, and whether something is there."""
+    path = f"{shared_dir(spark)}/{name}"
+    if (path, None) not in _OPEN[0]:
+        _OPEN[0].append((path, None))
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def version(spark: SparkSession, path: str) -> str:
+    """A digest of a file's or folder's path, and the sizes and times of its files: another one after any change."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    told = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.md5("\n".join([path, *told]).encode()).hexdigest()
+
+
 def _remove(written: list[tuple[str, str | None]]) -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or SparkContext._active_spark_context is None:
