@@ -98,6 +98,12 @@ def tokenize(text: Column) -> Column:
     return F.filter(clean, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
+def program_operands(program: Column) -> Column:
+    """The numbers that a program states, as an array; references to steps and constants are none."""
+    plain = F.regexp_replace(F.regexp_replace(program, r"const_[\d_]+", ""), r"#\d+", "")
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"(?<![#\w.])(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+
+
 def matching_lines(text: Column, query: Column, most: int = 20) -> Column:
     """The first lines that contain a query, whatever the case."""
     needle = F.lower(strip(query))

@@ -2,9 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.numbers import to_float
+from assaylake.functions.text import program_operands
+
+#: How near an operand and an answer are, relative to the answer or to 1, where that is more.
+TOLERANCE = 1e-4
+
+
+def _cell(x: Column) -> Column:
+    """The cell of a number on a grid that is linear up to 1 and logarithmic beyond, so wide that near numbers lie in one cell or in
+    neighbours: the scale changes by at most ``TOLERANCE / (1 - TOLERANCE)`` between them."""
+    size = F.abs(x)
+    return F.floor(F.signum(x) * F.when(size <= 1, size).otherwise(1 + F.ln(size)) / (1.01 * TOLERANCE))
+
+
+def turn_sources(turns: DataFrame) -> DataFrame:
+    """Each turn with ``sources``, the earlier turns of its conversation whose answer its program uses, in order; an empty array if none.
+
+    An operand uses an answer within ``TOLERANCE`` of it. Both meet on a grid, the operand in three cells and the answer in one, so a
+    conversation costs what its operands, answers and matches are, not their product; its turns are spread by cell. Rows of one turn
+    count together. Answers that are no finite number, and rows with a null conversation or turn, take no part.
+
+    :param turns: ``conv_id``, ``turn``, ``program``, ``answer`` (text).
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    known = turns.dropna(subset=["conv_id", "turn"])
+    used = known.select("conv_id", "turn", F.explode(F.array_distinct(program_operands(F.coalesce("program", F.lit(""))))).alias("operand")).where(finite(F.col("operand"))).distinct()
+    asked = used.select("*", F.explode(F.array(*(_cell(F.col("operand")) + d for d in (-1, 0, 1)))).alias("cell"))
+    said = known.select("conv_id", F.col("turn").alias("source"), to_float(F.col("answer")).alias("value")).where(finite(F.col("value"))).distinct().withColumn("cell", _cell(F.col("value")))
+    near = F.abs(F.col("operand") - F.col("value")) <= TOLERANCE * F.greatest(F.abs("value"), F.lit(1.0))
+    met = asked.join(said, ["conv_id", "cell"]).where((F.col("source") < F.col("turn")) & near)
+    found = met.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    empty = F.array().cast(found.schema["sources"].dataType)
+    return known.select("conv_id", "turn").distinct().join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("sources", empty).alias("sources"))
+
 
 def dependence(turns: DataFrame) -> DataFrame:
     """The dependent turns whose sources are all known, with ``clean``: all sources were right.

@@ -92,7 +92,15 @@ TURNS = """
 SELECT conv_id, turn, length(coalesce(text, '')) % 3 <> 0 AS passed, CASE WHEN turn > 0 AND turn % 2 = 0 THEN turn - 1 END AS source_turn FROM conversations
 """
 
-SQL = {"predicted": PREDICTED, "business": BUSINESS, "fx_rates": FX_RATES, "budget": BUDGET, "invoices": INVOICES, "payables": PAYABLES, "transactions": TRANSACTIONS, "turns": TURNS}
+#: The lines of a supplier as one long conversation: programs state prices near those of other lines, and quantities.
+PROGRAMS = """
+SELECT l_suppkey AS conv_id, l_orderkey * 10 + l_linenumber AS turn,
+       'subtract(' || CAST(CAST(l_extendedprice * CASE l_linenumber % 3 WHEN 0 THEN 1 WHEN 1 THEN 1.00009 ELSE 1.0002 END AS DECIMAL(18,2)) AS VARCHAR(30)) || ', const_100), divide(#0, -' || CAST(CAST(l_quantity AS DECIMAL(18,1)) AS VARCHAR(30)) || ')' AS program,
+       CASE l_linenumber % 5 WHEN 0 THEN 'yes' WHEN 1 THEN '-' || CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR(30)) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(30)) END AS answer
+FROM lineitem WHERE l_suppkey IS NOT NULL
+"""
+
+SQL = {"programs": PROGRAMS, "predicted": PREDICTED, "business": BUSINESS, "fx_rates": FX_RATES, "budget": BUDGET, "invoices": INVOICES, "payables": PAYABLES, "transactions": TRANSACTIONS, "turns": TURNS}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

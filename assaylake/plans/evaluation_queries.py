@@ -373,6 +373,22 @@ def conversation_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.analyse(_turns(spark, sf_dir))
 
 
+@query(
+    "turn_sources",
+    oracle(
+        """WITH stated AS (SELECT DISTINCT conv_id, turn, CAST(x AS DOUBLE) AS operand FROM (SELECT conv_id, turn, unnest(regexp_extract_all(regexp_replace(regexp_replace(program, 'const_[0-9_]+', '', 'g'), '#[0-9]+', '', 'g'), '-?[0-9]+(\\.[0-9]+)?')) AS x FROM programs)),
+             said AS (SELECT DISTINCT conv_id, turn AS source, CAST(answer AS DOUBLE) AS value FROM programs WHERE answer <> 'yes'),
+             used AS (SELECT DISTINCT t.conv_id, turn, source FROM stated t JOIN said s ON s.conv_id = t.conv_id AND s.source < t.turn AND abs(operand - value) <= 1e-4 * greatest(abs(value), 1))
+           SELECT p.conv_id, p.turn, count(source) AS n_sources, coalesce(string_agg(CAST(source AS VARCHAR), ',' ORDER BY source), '') AS sources
+           FROM (SELECT DISTINCT conv_id, turn FROM programs) p LEFT JOIN used u ON u.conv_id = p.conv_id AND u.turn = p.turn GROUP BY p.conv_id, p.turn""",
+        "programs",
+    ),
+)
+def turn_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation.turn_sources(relation(spark, sf_dir, "programs"))
+    return found.select("conv_id", "turn", F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
+
+
 @query("accuracy_by_turn", oracle("SELECT turn, count(*) AS n, round(avg(CAST(passed AS INTEGER)), 6) AS accuracy FROM turns GROUP BY turn", "turns"))
 def accuracy_by_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.accuracy_by_turn(_turns(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))

@@ -49,18 +49,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"), "text")
 
 
-def stored_index(spark: SparkSession, sf_dir: str, scoped: bool = False) -> lexical_index.LexicalIndex:
+def stored_index(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
     """The index of the documents, built at its first use and kept in the shared folder; changed documents get a new one."""
-    scope = ("document_id",) if scoped else ()
-    name = "-".join(["lexical", version(spark, f"{sf_dir}/documents.parquet"), *scope])
+    name = f"lexical-{version(spark, f'{sf_dir}/documents.parquet')}"
     path, _ = lasting_path(spark, name)
     _, complete = lasting_path(spark, f"{name}/terms/_SUCCESS")  # the part that is written last
-    return lexical_index.read_index(spark, path, *scope) if complete else lexical_index.write_index(corpus(spark, sf_dir), path, *scope)
+    return lexical_index.read_index(spark, path) if complete else lexical_index.write_index(corpus(spark, sf_dir), path)
 
 
-def lexical(spark: SparkSession, sf_dir: str, k: int, scoped: bool = False) -> DataFrame:
+def lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Chunks among which are the k best of each question."""
-    return lexical_index.search_index(stored_index(spark, sf_dir, scoped), questions(spark, sf_dir), k, 6)
+    return lexical_index.search_index(stored_index(spark, sf_dir), questions(spark, sf_dir), k, 6)
+
+
+def lexical_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of each question's own document; one search does not repay a second index."""
+    return R.search(questions(spark, sf_dir), corpus(spark, sf_dir), "document_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +99,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_scoped_topk", f"WITH {_TOKENS}, {_SCOPED} SELECT * FROM {_ranked('bm25')}")
 def bm25_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(lexical(spark, sf_dir, K, scoped=True), K, 6)
+    return R.top_k(lexical_scoped(spark, sf_dir), K, 6)
 
 
 @query("dense_topk", f"WITH {_UNIT}, {_DENSE} SELECT * FROM {_ranked('dense')}")
@@ -180,7 +184,7 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = asked.select("query_id", "document_id").join(every, F.col("query_id") == F.col("chunk_id")).select("query_id", "document_id", "vector")
     deep = lambda arm, scored: R.top_k(scored, 2 * DEEP, 6).withColumn("arm", F.lit(arm))
     searched = stash(
-        deep("bm25", lexical(spark, sf_dir, 2 * DEEP)).unionByName(deep("bm25_scoped", lexical(spark, sf_dir, 2 * DEEP, scoped=True))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
+        deep("bm25", lexical(spark, sf_dir, 2 * DEEP)).unionByName(deep("bm25_scoped", lexical_scoped(spark, sf_dir))).unionByName(deep("dense", R.dense(wanted, placed, 2 * DEEP, 6))).unionByName(deep("dense_scoped", R.dense(wanted, placed, 2 * DEEP, 6, "document_id")))
     )
     of = lambda arm: searched.where(F.col("arm") == arm)
     fused = [R.top_k(R.fuse(of(f"bm25{s}"), of(f"dense{s}")), DEEP, 12).withColumn("arm", F.lit(f"hybrid{s}")) for s in ("", "_scoped")]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions.numbers import parse_number, strip, to_float
+from assaylake.functions.text import program_operands
 from assaylake.schemas import SAMPLES
 
 _TABLE = "array<struct<table_id:string,caption:string,rows:array<array<string>>,header_rows:int,metadata:map<string,string>>>"
@@ -67,8 +68,7 @@ def tatqa(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 def reused_turns(program: Column, prior: Column) -> Column:
     """The earlier turns whose answer a program uses: an operand, no step reference or constant, within 1e-4 of its size."""
-    plain = F.regexp_replace(F.regexp_replace(program, r"const_[\d_]+", ""), r"#\d+", "")
-    operands = F.transform(F.regexp_extract_all(plain, F.lit(r"(?<![#\w.])(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    operands = program_operands(program)
     numbered = F.transform(prior, lambda a, i: F.struct(to_float(a).alias("a"), i.alias("i")))
     used = F.filter(numbered, lambda p: p["a"].isNotNull() & F.exists(operands, lambda x: F.abs(x - p["a"]) <= 1e-4 * F.greatest(F.abs(p["a"]), F.lit(1.0))))
     return F.transform(used, lambda p: p["i"])
