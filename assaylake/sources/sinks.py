@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +108,36 @@ def write_board(records: DataFrame, path: str) -> None:
     write_text(spark, reports.page("Leaderboard", [("Ranked", ranked), ("Left out", out)]), f"{path}/leaderboard.html")
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below a folder, by path."""
+#: Files up to this size are digested as one value; larger ones, up to any size, as a stream.
+WHOLE_BYTES, PIECE_BYTES = 64 << 20, 8 << 20
+
+
+def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digests of files that are read piece by piece; no more than a piece is in memory."""
+    from pyarrow.fs import FileSystem
+
+    for frame in frames:
+        for path, length in zip(frame["path"], frame["length"], strict=True):
+            scheme, rest = path.split(":", 1)
+            scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+            files, place = FileSystem.from_uri(f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest, safe='/:@')}")
+            digest = hashlib.sha256()
+            with files.open_input_stream(place) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+            yield pd.DataFrame({"path": [path], "length": [length], "sha256": [digest.hexdigest()]})
+
+
+def checksums(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """SHA-256 of every file below a folder, by path, whatever its size: a value of a row ends at 2 GB, a file does not.
+
+    Files beyond ``whole_bytes`` are read in pieces by the tasks, through the file system that their path names, each file
+    by a task of its own; a digest is sequential, so a single file is not split. Spark lists no files without a byte, so they have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path")
+    small = files.where(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select("path", "length").repartition("path")
+    return small.unionByName(large.mapInPandas(_digests, "path string, length long, sha256 string")).orderBy("path")
 
 
 def summary(metrics: DataFrame, gates: DataFrame, failures: DataFrame, most: int = 5) -> str:
