@@ -31,12 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _OPEN: list[list[tuple[str, str | None]]] = [[]]
 
 
+def _beside_warehouse(master: str, warehouse: str) -> str:
+    """A folder beside the warehouse's tables, unless that is a local one of a session whose executors may be elsewhere."""
+    if not master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("executors may not see the folder of spark.sql.warehouse.dir: set spark.checkpoint.dir to one that all share")
+    return f"{warehouse.rstrip('/')}/_shared"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse's tables where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse's tables where it is unset;
+    a local warehouse serves only local sessions."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+        context.setCheckpointDir(own or _beside_warehouse(context.master, spark.conf.get("spark.sql.warehouse.dir")))
     return context.getCheckpointDir()
 
 

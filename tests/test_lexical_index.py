@@ -85,3 +85,11 @@ def test_lasting_paths_outlive_scratch(spark):
         assert not there
         spark.range(1).write.parquet(path)
     assert tables.lasting_path(spark, "lasting-test")[1]
+
+
+def test_a_local_warehouse_is_no_shared_folder_of_a_cluster():
+    assert tables._beside_warehouse("local[4]", "file:/w/") == "file:/w/_shared"
+    assert tables._beside_warehouse("spark://a:7077", "hdfs://n/w") == "hdfs://n/w/_shared"
+    for place in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables._beside_warehouse("yarn", place)
