@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.sources.tables import table
+from assaylake.sources.tables import dealt, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -103,12 +103,15 @@ FROM lineitem WHERE l_suppkey IS NOT NULL
 SQL = {"programs": PROGRAMS, "predicted": PREDICTED, "business": BUSINESS, "fx_rates": FX_RATES, "budget": BUDGET, "invoices": INVOICES, "payables": PAYABLES, "transactions": TRANSACTIONS, "turns": TURNS}
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived relation, or a table, of a data folder."""
+def relation(spark: SparkSession, sf_dir: str, name: str, task_rows: int | None = None) -> DataFrame:
+    """A derived relation, or a table, of a data folder.
+
+    :param task_rows: about so many rows of each table go to a task, where given.
+    """
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        return table(spark, sf_dir, name) if task_rows is None else dealt(table(spark, sf_dir, name), task_rows)
     text = SQL[name].replace("{half_even}", "bround")
-    used = {t: relation(spark, sf_dir, t) for t in TABLES if f" {t} " in text or f" {t}\n" in text}
+    used = {t: relation(spark, sf_dir, t, task_rows) for t in TABLES if f" {t} " in text or f" {t}\n" in text}
     for t in used:  # tables become parameters of the statement, so no view is left behind
         text = text.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ").replace(f"FROM {t}\n", f"FROM {{{t}}}\n")
     return spark.sql(_literal_braces(text, used), **used)

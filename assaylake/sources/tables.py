@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` over so many tasks that each has about ``rows`` rows at most, for work whose memory grows with the rows of a task;
+    a table of no more rows than that for each core is left as it is."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 #: Folders, and tables by name, written in each open ``scratch``, the innermost last; the first are removed when the driver ends.
 _OPEN: list[list[tuple[str, str | None]]] = [[]]
 

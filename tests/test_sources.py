@@ -141,3 +141,23 @@ def test_pages_have_plain_blanks(spark, tmp_path):
     path = put(tmp_path / "p.jsonl", [{"document_id": "d", "page": 1, "text": " a   b\t c\n\n\n\nd "}, {"document_id": "d", "page": 2, "text": None}], lines=True)
     got = {r.chunk_id: r.text for r in benchmarks.pages(spark, path).collect()}
     assert got == {"d#p1": "a b c\n\nd", "d#p2": ""}
+
+
+def test_tasks_are_dealt_by_rows(spark):
+    from assaylake.sources import tables
+
+    wide = spark.range(0, 10_000, 1, 2)
+    dealt = tables.dealt(wide, 500)
+    assert dealt.rdd.getNumPartitions() == 20 and max(dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 600
+    assert sorted(r.id for r in dealt.collect()) == list(range(10_000))
+    assert tables.dealt(wide, 10_000).rdd.getNumPartitions() == 2
+
+
+def test_predictions_are_written_by_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from assaylake.plans import derived, evaluation_queries
+
+    monkeypatch.setattr(evaluation_queries, "TASK_ORDERS", 100)
+    p = derived.relation(spark, "/root/testdata/sf0.001", "predicted", evaluation_queries.TASK_ORDERS)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert p.rdd.getNumPartitions() >= orders // 100 and p.count() == 2 * orders
+    assert evaluation_queries.predictions(spark, "/root/testdata/sf0.001").count() == 2 * orders
