@@ -270,7 +270,7 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = samples.coverage(predictions(spark, sf_dir), "run_id", "benchmark")
+    out = samples.coverage(unread(spark, sf_dir), "run_id", "benchmark")  # no answer is read
     return out.withColumns({c: F.round(c, 6) for c in ("table_text_share", "bilingual_share", "multimodal_share", "agentic_share")})
 
 
@@ -289,7 +289,7 @@ _PRICES = "(VALUES ('orders-a', 0.15, 0.6), ('orders-b', 2.5, 10.0)) x(model_ref
 )
 def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = spark.createDataFrame([("orders-a", 0.15, 0.6), ("orders-b", 2.5, 10.0)], "model_ref string, prompt_price double, completion_price double")
-    p = predictions(spark, sf_dir).withColumn("model_ref", F.when(F.col("key") % 6 == 0, "unpriced").otherwise(F.concat(F.lit("orders-"), F.col("run_id"))))
+    p = unread(spark, sf_dir).withColumn("model_ref", F.when(F.col("key") % 6 == 0, "unpriced").otherwise(F.concat(F.lit("orders-"), F.col("run_id"))))
     return samples.cost_totals(p, prices, "run_id", "benchmark").withColumn("cache_hit_rate", F.round("cache_hit_rate", 6))
 
 
