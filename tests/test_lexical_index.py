@@ -93,3 +93,27 @@ def test_a_local_warehouse_is_no_shared_folder_of_a_cluster():
     for place in ("file:/w", "/w"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             tables._beside_warehouse("yarn", place)
+
+
+@pytest.mark.parametrize("scope", [(), ("document_id",)])
+def test_bounded_search_gives_the_same(spark, pages, asked, tmp_path, scope):
+    index = lexical_index.write_index(pages, str(tmp_path / "index"), *scope, block_chunks=16)
+    assert _top(lexical_index.search_bounded(index, asked, 5, 6, 2), 5) == _top(lexical_index.search_index(index, asked, 5, 6), 5)
+
+
+def test_few_rows_of_each_query_leave_a_group(spark, tmp_path):
+    alike = spark.createDataFrame([(i, "waa wba") for i in range(3000)], "chunk_id long, text string")  # copies score alike
+    index = lexical_index.write_index(alike, str(tmp_path / "index"), block_chunks=16)
+    queries = spark.createDataFrame([(q, "waa wba") for q in range(20)], "query_id int, text string")
+    found = lexical_index.search_index(index, queries, 5, 6, 64)
+    assert found.count() <= 20 * 3 * 5  # three groups, and not 20 times 3,000 scores
+    assert all(chunk < 5 for _, _, chunk, _ in _top(found, 5))
+
+
+def test_candidates_hold_the_best_however_ties_are_rounded():
+    import numpy as np
+
+    scores = np.array([1.0000005, 1.000001, 0.0, 1.0, 1.0000004, 1.000001, 2.0])
+    assert set(lexical_index._candidates(scores, 2, 6)) >= {6, 0, 1}  # the first may round to what the second is
+    assert 2 not in lexical_index._candidates(scores, 7, 6)
+    assert list(lexical_index._candidates(np.full(100, 0.5), 3, 6)) == [0, 1, 2]
