@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.finance import token_cost
 from assaylake.operators.numbering import numbered
+from assaylake.sources.tables import stash
 
 
 def round_robin(samples: DataFrame, n: int | None, *by: str, stratum: str = "task_family", order: str = "pos") -> DataFrame:
@@ -58,10 +63,61 @@ def head(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(*by)))  # n rows
 
 
+#: Characters of joined ids in a piece that is hashed at a time.
+PIECE_CHARS = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of (group, range, id) as (group, range, piece, number of ids, ids joined by line ends)."""
+    current, ids, size, piece = None, [], 0, 0
+    names = ["group", "part", "piece", "n", "ids"]
+    made = lambda: pa.RecordBatch.from_pylist([dict(zip(names, (*current, piece, len(ids), "\n".join(ids)), strict=True))], schema=pa.schema([("group", pa.string()), ("part", pa.int32()), ("piece", pa.int64()), ("n", pa.int64()), ("ids", pa.string())]))
+    for batch in batches:
+        for group, part, key in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "id")), strict=True):
+            if ids and ((group, part) != current or size >= PIECE_CHARS):
+                yield made()
+                ids, size, piece = [], 0, piece + 1
+            current = group, part
+            ids.append(key)
+            size += len(key) + 1
+    if ids:
+        yield made()
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of ids and the hash of each group from its pieces in order, one piece in memory at a time."""
+    current, n, digest, found = None, 0, hashlib.sha256(), []
+    for batch in batches:
+        for group, more, ids in zip(*(batch.column(c).to_pylist() for c in ("group", "n", "ids")), strict=True):
+            if group != current:
+                if current is not None:
+                    found.append((current, n, digest.hexdigest()[:16]))
+                current, n, digest = group, 0, hashlib.sha256()
+            if more:
+                digest.update(("\n" if n else "").encode() + ids.encode())
+                n += more
+    if current is not None:
+        found.append((current, n, digest.hexdigest()[:16]))
+    for group, count, text in found:
+        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([count]), pa.array([text])], names=["group", "n_ids", "id_hash"])
+
+
 def id_set_hash(samples: DataFrame, *by: str, key: str = "sample_id") -> DataFrame:
-    """The first 16 hex digits of the hash of the sorted distinct ids."""
-    ids = F.array_join(F.array_sort(F.collect_set(key)), "\n")
-    return samples.groupBy(*by).agg(F.countDistinct(key).alias("n_ids"), F.substring(F.sha2(ids, 256), 1, 16).alias("id_hash"))
+    """The first 16 hex digits of the hash of the sorted distinct ids; null ids do not count.
+
+    The ids are made distinct and sorted over all tasks, joined to pieces of about a million characters there, and a group's hash, which
+    is sequential by its definition, reads the pieces in order: no row and no memory holds a group.
+    """
+    # a group's name is one text, so that a table of any columns, nulls among them, sorts by it
+    group = F.to_json(F.struct(*(F.col(b) for b in by)), {"ignoreNullFields": "false"}) if by else F.lit("")
+    named = samples.select(*by, group.alias("group"), F.col(key).cast("string").alias("id"))
+    groups = stash(named.groupBy("group").agg(*(F.first(b).alias(b) for b in by), F.count("id").alias("n_rows")) if by else named.agg(F.first(group).alias("_"), F.count("id").alias("n_rows")).select(F.lit("").alias("group"), "n_rows"))
+    ids = named.where("id is not null").select("group", "id").distinct().repartitionByRange("group", "id").sortWithinPartitions("group", "id")
+    schema = "group string, part int, piece long, n long, ids string"
+    pieces = stash(ids.select("group", F.spark_partition_id().alias("part"), "id").mapInArrow(_pieces, schema))
+    none = groups.select("group", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("n"), F.lit("").alias("ids"))
+    ordered = pieces.unionByName(none).repartition("group").sortWithinPartitions("group", "part", "piece")
+    return groups.join(ordered.mapInArrow(_hashes, "group string, n_ids long, id_hash string"), "group").select(*by, "n_ids", "id_hash")
 
 
 def request_hash(*fields: str, version: int = 1) -> Column:

@@ -325,3 +325,30 @@ def test_dense_search_in_blocks_equals_all_products(spark, monkeypatch, scoped):
     assert all(got[key][0] == expected[key][0] and abs(got[key][1] - expected[key][1]) < 2e-6 for key in got)
     assert "Python" in found._jdf.queryExecution().executedPlan().toString() or "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() <= 7 * 12 * 9
+
+
+def test_hash_of_ids_reads_pieces_in_order(spark, monkeypatch):
+    import hashlib
+
+    assert samples.PIECE_CHARS <= 1 << 20  # a group of any size is read by pieces
+    rows = [("a" if i % 3 else None, f"s{i * 7919 % 5000}") for i in range(9000)] + [("z", None), ("a", "é"), ("a", "Z"), ("a", "")]
+    want = {}
+    for g, s in rows:
+        want.setdefault(g, set()).update([] if s is None else [s])
+    hashed = lambda ids: (len(ids), hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()[:16])
+    table = spark.createDataFrame(rows, "g string, sample_id string").repartition(7)
+    found = samples.id_set_hash(table, "g")
+    assert "collect_set" not in found._jdf.queryExecution().toString()
+    assert {r.g: (r.n_ids, r.id_hash) for r in found.collect()} == {g: hashed(ids) for g, ids in want.items()}
+    whole = samples.id_set_hash(table).collect()
+    assert [(r.n_ids, r.id_hash) for r in whole] == [hashed(set().union(*want.values()))]
+    assert [(r.n_ids, r.id_hash) for r in samples.id_set_hash(table.limit(0)).collect()] == [hashed(set())] and samples.id_set_hash(table.limit(0), "g").count() == 0
+
+
+def test_pieces_join_to_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(samples, "PIECE_CHARS", 8)
+    rows = pa.RecordBatch.from_pydict({"group": ["a"] * 5 + ["b"] * 2, "part": pa.array([0] * 7, pa.int32()), "id": ["s1", "s2", "s3", "s4", "s5", "s1", "s2"]})
+    pieces = [p.to_pylist()[0] for p in samples._pieces(iter([rows.slice(0, 4), rows.slice(4)]))]
+    assert len(pieces) == 3 and [p["ids"] for p in pieces if p["group"] == "a"] == ["s1\ns2\ns3", "s4\ns5"]
