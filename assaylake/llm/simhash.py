@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.llm._common import bucketed, partitions, slices, stash, unused
-from assaylake.llm.components import components
+from assaylake.llm.components import components, forest
 from assaylake.operators.numbering import numbered
 
 SEED = 42
@@ -136,22 +136,6 @@ class GrayTree:
         return q[at][near], place[near]
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each of n places can reach over the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 _PIECE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("node", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("fps", pa.binary()), ("labels", pa.binary())])
 _PIECE_DDL = "a long, b long, bucket long, node long, mask long, pattern long, fps binary, labels binary"
 
@@ -170,7 +154,7 @@ def _nearest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarra
             la, lb = label[a[todo]], label[b[todo]]
             pick = np.union1d(np.unique(la, return_index=True)[1], np.unique(lb, return_index=True)[1])
             chosen.append(todo[pick])
-            grown = _forest(n, np.concatenate([label, la[pick]]), np.concatenate([np.arange(n), lb[pick]]))
+            grown = forest(n, np.concatenate([label, la[pick]]), np.concatenate([np.arange(n), lb[pick]]))
             label = grown
     return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
@@ -217,7 +201,7 @@ class _Indexer:
             some = _nearest(len(fp), q, place, far)
             yield _links(rep[q[some]], rep[place[some]])
         else:
-            label = _forest(len(fp), q, place)
+            label = forest(len(fp), q, place)
             linked = np.flatnonzero(label != np.arange(len(fp)))
             yield _links(rep[linked], rep[label[linked]])
             low = rep[label]
@@ -267,7 +251,7 @@ class _Crosser:
                     some = _nearest(len(names), left, right, far)
                     a, b = names[left[some]], names[right[some]]
                 else:  # of the links between the same two labels one is kept
-                    label = _forest(len(names), left, right)
+                    label = forest(len(names), left, right)
                     linked = np.flatnonzero(label != np.arange(len(names)))
                     a, b = names[linked], names[label[linked]]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -522,11 +506,11 @@ def _own_ids(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFram
     """``docs`` with ids ``name`` of which each stands for one text: where the rows of an id have several, the first by its hash keeps the
     id, and the others have ids beyond the largest. Rows with a null id have none."""
     own, digest = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    texts = docs.select(own.alias("id"), digest.alias("digest")).where("id is not null").distinct()
-    several = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    named = stash(texts.join(several, "id", "left_semi"))
-    if named.isEmpty():  # as ids are meant to be
+    texts = docs.select(own.alias("id"), digest.alias("digest")).where("id is not null")
+    several = stash(texts.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id"))
+    if several.isEmpty():  # as ids are meant to be
         return docs.withColumn(name, own)
+    named = stash(texts.join(several, "id", "left_semi").distinct())
     largest = docs.agg(F.max(own)).first()[0]
     later = numbered(numbered(named, ["id"], ["digest"], "turn").where("turn > 1"), [], ["id", "digest"], "number")
     given = later.select(F.col("id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest"), (F.lit(largest) + F.col("number")).alias(name))

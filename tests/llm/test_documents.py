@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 import random
 import re
@@ -199,6 +200,19 @@ def test_components_of_chains_loops_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_shuffles(spark, monkeypatch):
+    parts = importlib.import_module("assaylake.llm.components")
+    chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(10).select(F.lit(1000), F.col("id") + 2000))
+    right = dict.fromkeys(range(401), 0) | dict.fromkeys([1000, *range(2000, 2010)], 1000)
+    rounds, step = [], parts._contracted
+    monkeypatch.setattr(parts, "_contracted", lambda edges: rounds.append(step(edges)) or rounds[-1])
+    assert {r.node: r.label for r in parts.components(chain.repartition(7)).collect()} == right
+    assert not rounds  # a few written edges are contracted where they are read
+    monkeypatch.setattr(parts, "_forests", lambda edges: edges)
+    found = parts.components(chain).collect()
+    assert rounds and {r.node: r.label for r in found} == right and len(found) == len(right)
+
+
 def test_deduplicate_keeps_one_of_each_group(docs, clashing):
     kept = simhash.deduplicate(clashing)
     assert kept.columns == clashing.columns
