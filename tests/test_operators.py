@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import random
+import tracemalloc
 from datetime import date
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +354,15 @@ def test_pieces_join_to_the_whole(monkeypatch):
     rows = pa.RecordBatch.from_pydict({"group": ["a"] * 5 + ["b"] * 2, "part": pa.array([0] * 7, pa.int32()), "id": ["s1", "s2", "s3", "s4", "s5", "s1", "s2"]})
     pieces = [p.to_pylist()[0] for p in samples._pieces(iter([rows.slice(0, 4), rows.slice(4)]))]
     assert len(pieces) == 3 and [p["ids"] for p in pieces if p["group"] == "a"] == ["s1\ns2\ns3", "s4\ns5"]
+
+
+def test_exact_draws_of_whole_values_are_made_in_blocks():
+    values = [float(i % 3 == 0) for i in range(5000)]
+    draws = random.Random(stats.SEED)
+    means = sorted(sum(values[draws._randbelow(5000)] for _ in range(5000)) / 5000 for _ in range(20))
+    assert stats.exact_interval(values, iterations=20)[1:] == (means[int((1 - stats.CONFIDENCE) / 2 * 20)], means[min(int((1 - (1 - stats.CONFIDENCE) / 2) * 20), 19)])
+    many = np.array([0.0, 1.0] * 200_000)
+    tracemalloc.start()
+    stats.exact_interval(many, iterations=2)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
