@@ -36,6 +36,8 @@ DOWN_WORDS = r"\b(decrease[sd]?|decreasing|fell|fall(?:ing)?|declin(?:e|ed|ing)|
 STOPWORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "for", "on", "at", "by", "is", "are", "was", "were", "be", "been", "as", "that", "this", "it", "its", "with", "from", "we")
 
 _FLAGS = "(?iuU)"
+#: A letter, or anything beyond ASCII; without one a text has no phrase of refusal and no hedge.
+_WORDED = r"[A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def states_substantive_number(text: Column) -> Column:
@@ -51,11 +53,11 @@ def states_substantive_number(text: Column) -> Column:
 
 def says_no(text: Column) -> Column:
     """Whether a text has a phrase of refusal."""
-    return text.rlike(_FLAGS + "|".join(f"(?:{p})" for p in REFUSAL_PATTERNS))
+    return text.rlike(_WORDED) & text.rlike(_FLAGS + "|".join(f"(?:{p})" for p in REFUSAL_PATTERNS))
 
 
 def hedges(text: Column) -> Column:
-    return text.rlike(_FLAGS + HEDGE_PATTERN)
+    return text.rlike(_WORDED) & text.rlike(_FLAGS + HEDGE_PATTERN)
 
 
 def looks_like_refusal(text: Column) -> Column:
@@ -72,7 +74,9 @@ def refusal_outcome(answer: Column, explanation: Column, number: Column, flag: C
 
     def of(text: Column) -> Column:
         flagged = F.coalesce(flag, F.lit(False))
-        figure = number.isNotNull() | states_substantive_number(text)
+        return let(number.isNotNull() | states_substantive_number(text), lambda figure: outcome(text, flagged, figure))
+
+    def outcome(text: Column, flagged: Column, figure: Column) -> Column:
         return (
             F.when(~exists | ((text == "") & number.isNull() & ~flagged), "no_answer")
             .when(figure & flagged, "flagged_but_answered")

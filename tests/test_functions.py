@@ -156,3 +156,15 @@ def test_tokens_have_the_values_that_the_parser_gives(spark):
     tokens = ["5", "5.", "1,577", "(1,577)", "-5", "(-5)", "(5", "5)", "(12)%", "12%", "(12%", "12)%", "- 5", "-$ 5", "$ 1,2,3. ", "($40.5 )", "0", "-0.5", "(0)", "00.10", "1,000,000%"]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", numbers.token_value(F.col("t")).alias("v"), numbers.parse_number(F.col("t"))["value"].alias("p")).collect()
     assert {r.t: r.v for r in rows} == {r.t: r.p for r in rows}
+
+
+def test_plain_figures_need_no_syntax_tree(monkeypatch):
+    read, tree = [], programs._tree
+    monkeypatch.setattr(programs, "_tree", lambda text: read.append(text) or tree(text))
+    assert [programs.prose_number(t) for t in ("12.50", "-7", "$12.50", "It was 5 then")] == [12.5, -7, 12.5, None] and not read
+    assert [programs.prose_value(t) for t in ("1 # $", "True", "1e3", "007", "2*(3+4)", "1 if 2 else 3", "'$'")] == [1, True, 1000.0, None, 14, None, None]
+
+
+def test_a_figure_is_looked_for_once(spark):
+    outcome = str(text.refusal_outcome(F.col("a"), F.col("e"), F.col("n"), F.col("f"), F.col("x")))  # as Spark writes it
+    assert outcome.count("regexp_extract_all") <= 2  # for a figure, and for one after a hedge
